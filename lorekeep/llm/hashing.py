@@ -15,6 +15,8 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 #: ASCII white space: space and 0x09-0x0D.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: White space, and ASCII punctuation and controls: all but letters, digits and bytes of non-ASCII characters.
+IS_NO_LETTER = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -73,12 +75,12 @@ def range_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64))
 
 
-def words(text: str, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """UTF-8 bytes (A-Z lowered), and starts, ends and hashes of the words ``[^\\x20\\x09-\\x0D]+``."""
+def words(text: str, lower: bool = True, gaps: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """UTF-8 bytes (A-Z lowered), and starts, ends and hashes of the words ``[^\\x20\\x09-\\x0D]+`` (or between other gaps)."""
     b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
     if lower:
         b = _LOWER[b]
-    starts, ends = spans(IS_SPACE[b])
+    starts, ends = spans(gaps[b])
     return b, starts, ends, range_hashes(b, starts, ends)
 
 

@@ -6,12 +6,7 @@ banded on their compressed registers; colliding representatives are candidates,
 kept when the collision-corrected estimate comes near the threshold, and
 confirmed on their full sets.  Components of the confirmed links are the groups.
 
-Work in a bucket stays bounded however large it grows:
-
-* up to ``small_bucket`` members: all pairs, a constant number for each member;
-* beyond: each member against a few pivots.  Members that the links found so
-  far leave in another component than most of their bucket are then compared
-  with the rest of it exactly, in blocks of at most ``2 * block`` sketches.
+Work in a bucket stays bounded however large it grows, see ``lsh``.
 
 Bands: 40 of 5 registers.  Two sets of similarity 0.8 share no band with a
 probability of 1.2e-7; sets of up to ``tiny`` shingles, where lent registers
@@ -28,17 +23,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hyperminhash as hmh
 from .hashing import shingles, words
-from .tables import arrow_map, components, materialise, slices
+from .lsh import groups
+from .tables import arrow_map, materialise, slices
 
 BANDS, ROWS = 40, 5
-PIVOTS = 4
 
 
 def _set_of(text: str | None, k: int) -> np.ndarray:
@@ -65,16 +59,16 @@ def _sketches(docs: DataFrame, k: int, tiny: int, percent: int) -> DataFrame:
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """(key, rep): band keys of every representative, and prefix keys of tiny sets."""
+    """(key, id): band keys of every representative, and prefix keys of tiny sets."""
     positions = hmh.band_positions(BANDS, ROWS)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for i in range(0, batch.num_rows, 1024):
             part = batch.slice(i, 1024)
             regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, hmh.BUCKETS)
-            yield {"key": hmh.band_keys(regs, positions).ravel(), "rep": np.repeat(part.column("doc_id").to_numpy(), BANDS)}
+            yield {"key": hmh.band_keys(regs, positions).ravel(), "id": np.repeat(part.column("doc_id").to_numpy(), BANDS)}
 
-    bands = arrow_map(reps.select("doc_id", "regs"), run, "key bigint, rep bigint")
+    bands = arrow_map(reps.select("doc_id", "regs"), run, "key bigint, id bigint")
     return bands.union(reps.select(F.explode("prefix").alias("key"), "doc_id"))
 
 
@@ -85,23 +79,6 @@ def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, perce
     return (est >= low - 5 * np.sqrt(low * (1 - low) / np.maximum(used, 1))) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
-def _rows(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), dtype=np.uint16).reshape(-1, hmh.BUCKETS)
-
-
-def _estimated(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Those of the (a, b) pairs whose sketches are close."""
-    side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"r_{x}"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i in range(0, len(f), 4096):
-                p = f.iloc[i : i + 4096]
-                yield p.loc[_close(_rows(p.r_a), _rows(p.r_b), p.n_a.to_numpy(), p.n_b.to_numpy(), percent), ["a", "b"]]
-
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, "a bigint, b bigint")
-
-
 def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Those of the (a, b) pairs whose full sets reach the threshold."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
@@ -125,52 +102,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b"), run, "a bigint, b bigint")
 
 
-def _first_pairs(postings: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates of the first round, and the postings of the large buckets."""
-    order = [F.xxhash64("rep", F.lit(i)) for i in range(PIVOTS)]
-    stats = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *(F.min(h).alias(f"p{i}") for i, h in enumerate(order))).where("size > 1")
-    is_pivot = None
-    for i, h in enumerate(order):
-        is_pivot = (h == F.col(f"p{i}")) if is_pivot is None else is_pivot | (h == F.col(f"p{i}"))
-    shared = materialise(postings.join(stats, "key").select("key", "rep", "size", is_pivot.alias("pivot")), "buckets")
-    few = shared.where(F.col("size") <= small)
-    pairs = few.select("key", F.col("rep").alias("a")).join(few.select("key", F.col("rep").alias("b")), "key").where("a < b").select("a", "b")
-    many = shared.where(F.col("size") > small)
-    star = many.where("pivot").select("key", F.col("rep").alias("p")).join(many.select("key", "rep"), "key").where("p <> rep")
-    return pairs.union(star.select(F.least("p", "rep"), F.greatest("p", "rep"))).distinct(), many
-
-
-def _left_pairs(many: DataFrame, comps: DataFrame, reps: DataFrame, block: int, percent: int) -> DataFrame:
-    """Close pairs between members of large buckets that the first links leave in different components."""
-    at = many.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("comp"))
-    counts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n_all")).where("n_main < n_all")
-    chunk = lambda n: F.ceil(F.col(n) / block).cast("int")
-    dealt = at.join(main.select("key", "main", chunk("n_main").alias("m"), F.ceil((F.col("n_all") - F.col("n_main")) / block).cast("int").alias("s")), "key").withColumn("stray", F.col("comp") != F.col("main"))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("stray"), F.col("s")).otherwise(F.col("m"))).cast("int"))
-    # a block pairs one chunk of strays (lo) with one chunk of the main component (hi >= s) or of strays (lo <= hi < s)
-    of_stray = F.concat(
-        F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda j: F.struct(F.col("own").alias("lo"), (F.col("s") + j).alias("hi"))),
-        F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("lo"), F.greatest(F.col("own"), j).alias("hi"))),
-    )
-    of_main = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(j.alias("lo"), (F.col("s") + F.col("own")).alias("hi")))
-    dealt = dealt.select("key", "rep", "comp", F.explode(F.when(F.col("stray"), of_stray).otherwise(of_main)).alias("blk"), F.when(F.col("stray"), F.col("own")).otherwise(F.col("s") + F.col("own")).alias("own"))
-    rows = dealt.join(reps.select(F.col("doc_id").alias("rep"), "n", "regs"), "rep").select("key", "rep", "comp", F.col("blk.lo").alias("lo"), F.col("blk.hi").alias("hi"), "own", "n", "regs")
-
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = f.lo.iloc[0], f.hi.iloc[0]
-        left, right = f[f.own == lo], f[f.own == hi]
-        regs, n, rep, comp = _rows(right.regs), right.n.to_numpy(), right.rep.to_numpy(), right.comp.to_numpy()
-        found = []
-        for r, row, c, i in zip(_rows(left.regs) if len(left) else (), left.n, left.comp, left.rep, strict=True):
-            ok = (comp != c) & ((rep > i) | (lo != hi))
-            ok[ok] = _close(np.broadcast_to(r, (ok.sum(), hmh.BUCKETS)), regs[ok], np.full(ok.sum(), row), n[ok], percent)
-            found += [(min(i, j), max(i, j)) for j in rep[ok]]
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return rows.groupBy("key", "lo", "hi").applyInPandas(run, "a bigint, b bigint").distinct()
-
-
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, small_bucket: int = 24, block: int = 1000, tiny: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -179,17 +110,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     classes = sk.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
     reps = materialise(sk.where("n > 0").select("doc_id", "n", "set_hash", "regs", "prefix").join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hash"]), "reps")
 
-    first, many = _first_pairs(_postings(reps), small_bucket)
-    links = materialise(_confirmed(materialise(_estimated(first, reps, percent), "pairs"), real, shingle_words, percent), "links")
-    comps = components(links)
-    if not many.isEmpty():
-        left = materialise(_left_pairs(many, comps, reps, block, percent), "pairs")
-        if not left.isEmpty():
-            more = _confirmed(left, real, shingle_words, percent)
-            comps = components(materialise(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").union(more), "links"))
-
-    groups = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    out = sk.select("doc_id", "n", "set_hash").join(groups, "set_hash", "left")
+    items = reps.select(F.col("doc_id").alias("id"), "n", F.col("regs").alias("sig"))
+    comps = groups(items, _postings(reps), lambda a, b, n_a, n_b: _close(a, b, n_a, n_b, percent), lambda pairs: _confirmed(pairs, real, shingle_words, percent), small_bucket, block)
+
+    of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
+    out = sk.select("doc_id", "n", "set_hash").join(of_class, "set_hash", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     lost = docs.where("doc_id is null")
