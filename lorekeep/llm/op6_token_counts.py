@@ -64,7 +64,7 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         held = counters[0] if counters else counters.append(Counter(vocab.value)) or counters[0]
-        for part in slices(batch, "text", 2 << 20):
+        for part in slices(batch, "text", 1 << 20):
             n, score = held(part.column("text").to_pylist())
             yield {"doc_id": part.column("doc_id"), "n_tokens": n, "score": score}
 

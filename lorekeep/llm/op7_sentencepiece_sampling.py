@@ -316,7 +316,7 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, theta: float = THETA
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         encode, decode = Encoder(vocab.value, k, theta), Decoder(vocab.value)
-        for part in slices(batch, "text", 3 << 20):
+        for part in slices(batch, "text", 1 << 19):
             doc_ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
             out: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
             keys = np.array([x or 0 for x in doc_ids], dtype=np.int64)
