@@ -15,7 +15,7 @@ def adoption_stats(events: DataFrame) -> DataFrame:
     ``events``: event_id, entry_id, effect, ts, seq (order in the log).
     """
     ok = events.where(F.col("effect").isin(EFFECTS) & (F.trim("event_id") != "") & (F.trim("entry_id") != ""))
-    once = ok.groupBy("event_id").agg(F.min_by(F.struct("entry_id", "effect", "ts", "seq"), "seq").alias("e")).select("e.*")
+    once = ok.groupBy("event_id").agg(F.min(F.struct("seq", "entry_id", "effect", "ts")).alias("e")).select("e.*")
     heats = F.col("effect").isin(HEAT_EFFECTS)
     return once.groupBy("entry_id").agg(
         F.count(F.lit(1)).alias("n_events"),

@@ -5,6 +5,334 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lorekeep.functions import records as R
+from lorekeep.operators import index as IX
+from lorekeep.operators import retrieval as RT
+from lorekeep.operators import usage as U
+from lorekeep.plans.adapters import ADOPTION, CLOSEOUTS, QUERIES as QUERY_SQL, RECORDS, SEARCHES, adoption_events, closeouts, queries, records, search_log, table
+from lorekeep.streaming.events import daily_activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *ctes: str) -> Callable:
+    """Register a query under its function's name."""
+
+    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
+        return fn
+
+    return add
+
+
+STATUS = "replace(lower(trim(status)), '-', '_')"
+CURRENT = "('', 'active', 'current', 'implemented', 'decision_confirmed', 'partial_current')"
+POSTINGS = "po AS (SELECT DISTINCT lower(trim(k)) AS keyword, id, repo || '/' || branch AS bucket FROM (SELECT id, repo, branch, unnest(keywords) AS k FROM rec) WHERE trim(k) <> '')"
+INDEX = "ix AS (SELECT keyword, count(DISTINCT id) AS n_entries, count(DISTINCT bucket) AS n_buckets FROM po GROUP BY 1)"
+COUNTS = "sc AS (SELECT keyword, count(*) AS search_count, max(ts) AS last_search FROM (SELECT ts, unnest(string_split(lower(query), ' ')) AS keyword FROM sl) WHERE keyword <> '' GROUP BY 1)"
+SEARCHED = "si AS (SELECT coalesce(ix.keyword, sc.keyword) AS keyword, coalesce(n_entries, 0) AS n_entries, coalesce(n_buckets, 0) AS n_buckets, coalesce(search_count, 0) AS search_count, last_search FROM ix FULL JOIN sc ON ix.keyword = sc.keyword)"
+
+
+# ---- filters and scalars
+
+
+@query("SELECT id, kind, repo FROM rec WHERE NOT deleted", RECORDS)
+def active_records(spark, sf):
+    return records(spark, sf).where(~F.col("deleted")).select("id", "kind", "repo")
+
+
+@query("SELECT id, kind FROM rec WHERE kind IN ('pitfall', 'issue')", RECORDS)
+def kind_filter(spark, sf):
+    return records(spark, sf).where(F.col("kind").isin("pitfall", "issue")).select("id", "kind")
+
+
+_LEGACY = ["bugfix", "note", "glossary", "map", "env_var", "unknown", "technical_decision", "experience"]
+
+
+@query(f"SELECT doc_id, t AS type, CASE WHEN t IN ('map', 'experience') THEN t WHEN t = 'bugfix' THEN 'issue' WHEN t = 'note' THEN 'requirement' WHEN t IN ('glossary', 'env_var') THEN 'map' WHEN t = 'technical_decision' THEN 'implementation' END AS kind FROM (SELECT doc_id, ({_LEGACY!r})[CAST(doc_id % 8 + 1 AS INTEGER)] AS t FROM documents)")
+def legacy_kind_map(spark, sf):
+    t = F.element_at(F.array(*map(F.lit, _LEGACY)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", t.alias("type"), R.legacy_kind(t).alias("kind"))
+
+
+@query("SELECT id FROM rec WHERE list_has_any(tags, ['de', 'src3'])", RECORDS)
+def tag_filter_any(spark, sf):
+    return records(spark, sf).where(F.arrays_overlap("tags", F.array(F.lit("de"), F.lit("src3")))).select("id")
+
+
+@query("SELECT id FROM rec WHERE contains(lower(title), 'tion') OR contains(lower(repo), 'tion') OR len(list_filter(tags, lambda x: contains(lower(x), 'tion'))) > 0", RECORDS)
+def term_containment(spark, sf):
+    has = lambda c: F.contains(F.lower(c), F.lit("tion"))
+    return records(spark, sf).where(has(F.col("title")) | has(F.col("repo")) | F.exists("tags", has)).select("id")
+
+
+@query("SELECT id FROM rec WHERE contains(lower(story), 'idiot') OR contains(lower(story), 'license')", RECORDS)
+def match_any(spark, sf):
+    s = F.lower("story")
+    return records(spark, sf).where(F.exists(F.array(F.lit("idiot"), F.lit("license")), lambda t: F.contains(s, t))).select("id")
+
+
+@query("SELECT id FROM rec WHERE (contains(lower(story), 'license') OR contains(lower(story), 'licensed')) AND contains(lower(story), 'mit')", RECORDS)
+def match_all(spark, sf):
+    s = F.lower("story")
+    groups = F.array(F.array(F.lit("license"), F.lit("licensed")), F.array(F.lit("mit")))
+    return records(spark, sf).where(F.forall(groups, lambda g: F.exists(g, lambda t: F.contains(s, t)))).select("id")
+
+
+@query("SELECT id, ts FROM rec WHERE ts >= '2024-01-01 12:00:00'", RECORDS)
+def recent_filter(spark, sf):
+    return records(spark, sf).where(F.col("ts") >= "2024-01-01 12:00:00").select("id", "ts")
+
+
+@query(f"SELECT id, {STATUS} AS status FROM rec WHERE {STATUS} IN {CURRENT}", RECORDS)
+def current_status_filter(spark, sf):
+    return records(spark, sf).where(R.is_current(F.col("status"), F.lit(None))).select("id", R.status_value(F.col("status")).alias("status"))
+
+
+@query("SELECT doc_id, substring(sha256(ts || '|' || title), 1, 8) AS entry_id FROM rec", RECORDS)
+def entry_id(spark, sf):
+    return records(spark, sf).select("doc_id", R.entry_id(F.col("ts"), F.col("title")).alias("entry_id"))
+
+
+@query("SELECT doc_id, CAST(('0x' || substring(sha256(CAST(doc_id AS VARCHAR)), 1, 16)) AS UBIGINT)::DOUBLE / 18446744073709551616.0 < 0.1 AS sampled FROM documents")
+def stable_sample(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", (R.hash_fraction(F.col("doc_id").cast("string")) < 0.1).alias("sampled"))
+
+
+@query("SELECT id, count(DISTINCT t) AS n_terms, coalesce(sum(length(t)), 0)::BIGINT AS n_chars FROM (SELECT DISTINCT id, t FROM (SELECT id, unnest(string_split_regex(lower(title), '[\\s,;:/|]+')) AS t FROM rec) WHERE length(t) >= 2) GROUP BY id", RECORDS)
+def split_terms(spark, sf):
+    t = R.terms(F.col("title"))
+    return records(spark, sf).where(F.size(t) > 0).select("id", F.size(t).cast("bigint").alias("n_terms"), F.aggregate(t, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("n_chars"))
+
+
+@query("SELECT id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(substring(t, 1, 77)) || '...' END AS summary FROM (SELECT id, trim(regexp_replace(story, '\\s+', ' ', 'g')) AS t FROM rec)", RECORDS)
+def summary_clip(spark, sf):
+    return records(spark, sf).select("id", R.clipped(F.col("story"), 80).alias("summary"))
+
+
+_SECRET = r"(?i)\b(token|password|passwd|secret|api[_-]?key)\b\s*[:=]\s*([^\s,;]+)"
+
+
+@query(rf"SELECT doc_id, sha256(t) AS redacted_sha256, t <> text AS changed FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '{_SECRET}', '\1=<redacted>', 'g'), '\bsk-[A-Za-z0-9_-]{{10,}}\b', '<redacted-token>', 'g'), '\b(?:10\.(?:\d{{1,3}}\.){{2}}\d{{1,3}}|192\.168\.(?:\d{{1,3}}\.)\d{{1,3}}|172\.(?:1[6-9]|2\d|3[01])\.(?:\d{{1,3}}\.)\d{{1,3}})\b', '<private-ip>', 'g') AS t FROM documents)")
+def redact_query(spark, sf):
+    t = R.redact_query(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", F.sha2(t, 256).alias("redacted_sha256"), (t != F.col("text")).alias("changed"))
+
+
+# ---- corpus hygiene
+
+
+@query("SELECT id, n_copies, doc_id FROM (SELECT substring(sha256(story), 1, 8) AS id, doc_id, count(*) OVER (PARTITION BY sha256(story)) AS n_copies, row_number() OVER (PARTITION BY sha256(story) ORDER BY ts DESC, doc_id) AS r FROM rec) WHERE r = 1", RECORDS)
+def dedupe_by_id_latest(spark, sf):
+    # the newest copy by a struct maximum: partial aggregates, so a key of many copies isn't one sort
+    rows = records(spark, sf).select(F.sha2("story", 256).alias("h"), "ts", "doc_id")
+    newest = rows.groupBy("h").agg(F.max(F.struct("ts", (-F.col("doc_id")).alias("d"))).alias("m"), F.count(F.lit(1)).alias("n_copies"))
+    return newest.select(F.substring("h", 1, 8).alias("id"), "n_copies", (-F.col("m.d")).alias("doc_id"))
+
+
+@query("SELECT repo, branch, lower(title) AS title, count(*) AS n FROM rec GROUP BY 1, 2, 3 HAVING count(*) > 1", RECORDS)
+def quality_gate(spark, sf):
+    return records(spark, sf).groupBy("repo", "branch", F.lower("title").alias("title")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+@query("SELECT repo, branch, count(*) AS n FROM rec GROUP BY ROLLUP (repo, branch)", RECORDS)
+def bucket_counts(spark, sf):
+    return records(spark, sf).rollup("repo", "branch").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, ts FROM rec WHERE ts < '2024-01-01 06:00:00' AND used_count = 0", RECORDS)
+def stale_records(spark, sf):
+    return records(spark, sf).where((F.col("ts") < "2024-01-01 06:00:00") & (F.col("used_count") == 0)).select("id", "ts")
+
+
+@query("SELECT kind, field, count(*) AS n FROM (SELECT kind, unnest(['title', 'story', 'status']) AS field, unnest([title, story, status]) AS v FROM rec) WHERE v <> '' GROUP BY GROUPING SETS ((field), (kind, field))", RECORDS)
+def field_usage(spark, sf):
+    pairs = F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("v")) for c in ("title", "story", "status")))
+    rows = records(spark, sf).select("kind", F.explode(pairs).alias("p")).select("kind", "p.field", "p.v").where("v <> ''")
+    return rows.groupingSets([[F.col("field")], [F.col("kind"), F.col("field")]], "kind", "field").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, CASE WHEN kind = 'map' AND NOT contains(story, '/') THEN 'map_without_path' WHEN title = '' THEN 'no_title' END AS problem FROM rec WHERE (kind = 'map' AND NOT contains(story, '/')) OR title = ''", RECORDS)
+def map_mapping_check(spark, sf):
+    problem = F.when((F.col("kind") == "map") & ~F.contains("story", F.lit("/")), "map_without_path").when(F.col("title") == "", "no_title")
+    return records(spark, sf).select("id", problem.alias("problem")).where("problem is not null")
+
+
+@query(f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {STATUS} IN {CURRENT} THEN 'current_status' WHEN substring(ts, 1, 10) >= '2024-01-02' THEN 'recent_activity' ELSE 'explicit_noncurrent_and_old' END AS reason FROM rec) GROUP BY 1", RECORDS)
+def archive_split(spark, sf):
+    s = R.status_value(F.col("status"))
+    reason = F.when((s == "") | s.isin(R.ARCHIVE_CURRENT), "current_status").when(F.substring("ts", 1, 10) >= "2024-01-02", "recent_activity").otherwise("explicit_noncurrent_and_old")
+    return records(spark, sf).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT repo, CAST(count(*) AS BIGINT) AS archived, min(ts) AS ts_from, max(ts) AS ts_to FROM (SELECT repo, ts, row_number() OVER (PARTITION BY repo ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY repo) AS n FROM rec) WHERE r <= n - ceil(n * 0.3) GROUP BY 1", RECORDS)
+def compaction_summary(spark, sf):
+    w = Window.partitionBy("repo")
+    rows = records(spark, sf).select("repo", "ts", F.row_number().over(w.orderBy("doc_id")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    return rows.where("r <= n - ceil(n * 0.3)").groupBy("repo").agg(F.count(F.lit(1)).alias("archived"), F.min("ts").alias("ts_from"), F.max("ts").alias("ts_to"))
+
+
+@query("SELECT page_id, first_page, page_id <> first_page AS reused FROM (SELECT page_id, min(page_id) OVER (PARTITION BY sha256(html), length(html)) AS first_page FROM pages)")
+def asset_dedup(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.sha2("html", 256).alias("h"), F.length("html").alias("n"))
+    first = p.groupBy("h", "n").agg(F.min("page_id").alias("first_page"))
+    return p.join(first, ["h", "n"]).select("page_id", "first_page", (F.col("page_id") != F.col("first_page")).alias("reused"))
+
+
+@query("SELECT page_id, CASE WHEN regexp_matches(url, '\\?utm_') THEN 'tracked' WHEN regexp_matches(url, '/en/') THEN 'doc' ELSE 'other' END AS kind, length(html) <= 2000 AS include, substring(sha256(html), 1, 12) AS sha256_12 FROM pages")
+def doc_classify(spark, sf):
+    kind = F.when(F.col("url").rlike(r"\?utm_"), "tracked").when(F.col("url").rlike("/en/"), "doc").otherwise("other")
+    return table(spark, sf, "pages").select("page_id", kind.alias("kind"), (F.length("html") <= 2000).alias("include"), F.substring(F.sha2("html", 256), 1, 12).alias("sha256_12"))
+
+
+@query("SELECT doc_id, length(text) - length(replace(text, chr(65533), '')) AS n_replacement, strlen(text) AS n_bytes FROM documents")
+def encoding_check(spark, sf):
+    bad = F.length("text") - F.length(F.replace(F.col("text"), F.lit("�"), F.lit("")))
+    return table(spark, sf, "documents").select("doc_id", bad.cast("bigint").alias("n_replacement"), F.octet_length("text").cast("bigint").alias("n_bytes"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS path, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'changed' END AS change FROM (SELECT page_id AS k, sha256(html) AS h FROM pages WHERE page_id % 3 <> 0) a FULL JOIN (SELECT page_id AS k, sha256(CASE WHEN page_id % 5 = 0 THEN url ELSE html END) AS h FROM pages WHERE page_id % 4 <> 0) b ON a.k = b.k WHERE a.h IS DISTINCT FROM b.h")
+def tree_diff(spark, sf):
+    p = table(spark, sf, "pages")
+    a = p.where("page_id % 3 <> 0").select(F.col("page_id").alias("path"), F.sha2("html", 256).alias("ha"))
+    b = p.where("page_id % 4 <> 0").select(F.col("page_id").alias("path"), F.sha2(F.when(F.col("page_id") % 5 == 0, F.col("url")).otherwise(F.col("html")), 256).alias("hb"))
+    change = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("changed")
+    return a.join(b, "path", "full").where(~F.col("ha").eqNullSafe(F.col("hb"))).select("path", change.alias("change"))
+
+
+# ---- index
+
+
+def _postings(spark, sf):
+    return IX.postings(records(spark, sf))
+
+
+def _searched(spark, sf):
+    return IX.with_searches(IX.inverted_index(_postings(spark, sf)), IX.search_counts(search_log(spark, sf)))
+
+
+@query("SELECT * FROM ix", RECORDS, POSTINGS, INDEX)
+def build_inverted_index(spark, sf):
+    return IX.inverted_index(_postings(spark, sf))
+
+
+@query("SELECT count(DISTINCT keyword) AS n_keywords, count(DISTINCT id) AS n_entries, count(*) AS n_postings FROM po", RECORDS, POSTINGS)
+def index_stats(spark, sf):
+    return _postings(spark, sf).agg(F.count_distinct("keyword").alias("n_keywords"), F.count_distinct("id").alias("n_entries"), F.count(F.lit(1)).alias("n_postings"))
+
+
+@query("SELECT keyword, string_agg(DISTINCT id, ',' ORDER BY id) AS entry_ids, string_agg(DISTINCT bucket, ',' ORDER BY bucket) AS buckets FROM po WHERE keyword IN ('licensed', 'src7') GROUP BY 1", RECORDS, POSTINGS)
+def keyword_info(spark, sf):
+    return IX.keyword_lists(_postings(spark, sf), ["Licensed ", "src7"])
+
+
+@query("SELECT * FROM si", RECORDS, POSTINGS, INDEX, SEARCHES, COUNTS, SEARCHED)
+def search_count_update(spark, sf):
+    return _searched(spark, sf)
+
+
+@query("SELECT keyword, search_count FROM si WHERE search_count >= 5 AND n_entries >= 3 AND n_buckets >= 2", RECORDS, POSTINGS, INDEX, SEARCHES, COUNTS, SEARCHED)
+def aggregation_candidates(spark, sf):
+    return IX.aggregation_candidates(_searched(spark, sf)).select("keyword", "search_count")
+
+
+@query("SELECT keyword, tag, n, r AS rank, n * 2 >= total AS common FROM (SELECT keyword, tag, n, row_number() OVER (PARTITION BY keyword ORDER BY n DESC, tag) AS r FROM (SELECT keyword, tag, count(*) AS n FROM po JOIN (SELECT id, unnest(tags) AS tag FROM rec) USING (id) GROUP BY 1, 2)) JOIN (SELECT keyword, count(DISTINCT id) AS total FROM po GROUP BY 1) USING (keyword) WHERE r <= 10", RECORDS, POSTINGS)
+def create_aggregation(spark, sf):
+    return IX.tag_distribution(records(spark, sf), _postings(spark, sf))
+
+
+@query("SELECT repo, keyword, n, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, keyword) AS r FROM (SELECT split_part(bucket, '/', 1) AS repo, keyword, count(*) AS n FROM po WHERE keyword IN (SELECT keyword FROM sc WHERE search_count >= 2) GROUP BY 1, 2 HAVING count(*) >= 2)) WHERE r <= 10", RECORDS, POSTINGS, SEARCHES, COUNTS)
+def learn_project_keywords(spark, sf):
+    return IX.project_keywords(_postings(spark, sf), IX.search_counts(search_log(spark, sf)))
+
+
+# ---- usage
+
+STATS = "st AS (SELECT entry_id, count(*) AS n_events, count(*) FILTER (effect = 'locate') AS n_locate, count(*) FILTER (effect = 'decide') AS n_decide, count(*) FILTER (effect = 'fix') AS n_fix, count(*) FILTER (effect = 'write') AS n_write, count(*) FILTER (effect <> 'locate') AS heated_count, max(ts) FILTER (effect <> 'locate') AS last_used_ts FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY seq, entry_id, effect, ts) AS r FROM ev WHERE effect <> 'skim') WHERE r = 1 GROUP BY 1)"
+
+
+@query("SELECT * FROM st", ADOPTION, STATS)
+def adoption_stats(spark, sf):
+    return U.adoption_stats(adoption_events(spark, sf))
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS id, greatest(0, p_size) + coalesce(heated_count, 0) AS effective_usage FROM part LEFT JOIN st ON entry_id = CAST(p_partkey AS VARCHAR)", ADOPTION, STATS)
+def heat_join(spark, sf):
+    part = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.col("p_size").cast("bigint").alias("used_count"))
+    return U.heat_join(part, U.adoption_stats(adoption_events(spark, sf))).select("id", "effective_usage")
+
+
+@query("SELECT closeout_id, array_to_string(list_filter([CASE WHEN hit_count > 0 AND rag_calls <= 0 THEN 'hits_without_calls' END, CASE WHEN len(used_entry_ids) + len(written_entry_ids) + len(updated_entry_ids) = 0 AND trim(skipped_reason) = '' THEN 'no_action_no_reason' END, CASE WHEN len(hit_entry_ids) > 0 AND len(list_filter(used_entry_ids, lambda x: NOT list_contains(hit_entry_ids, x))) > 0 THEN 'used_outside_hits' END], lambda x: x IS NOT NULL), ',') AS issues, array_to_string(list_filter([CASE WHEN len(list_filter(used_entry_ids, lambda x: NOT list_contains(heated_entry_ids, x))) > 0 THEN 'not_fully_heated' END, CASE WHEN rag_calls > 0 AND len(linked_retrieval_ids) = 0 THEN 'linkage_missing' END], lambda x: x IS NOT NULL), ',') AS warnings FROM co", CLOSEOUTS)
+def evaluate_closeout(spark, sf):
+    return U.closeout_issues(closeouts(spark, sf))
+
+
+@query("SELECT *, round(used_hits / nullif(hits, 0), 4) AS use_rate, round(adopted_hits / nullif(hits, 0), 4) AS confirmed_rate FROM (SELECT count(*) AS total, count(*) FILTER (hit_count > 0) AS hits, count(*) FILTER (hit_count <= 0) AS no_hits, count(*) FILTER (hit_count > 0 AND len(used_entry_ids) > 0) AS used_hits, count(*) FILTER (hit_count > 0 AND len(heated_entry_ids) > 0) AS adopted_hits, count(*) FILTER (len(used_entry_ids) > 0 AND len(heated_entry_ids) = 0) AS unconfirmed, count(*) FILTER (len(written_entry_ids) > 0) AS written FROM co)", CLOSEOUTS)
+def runtime_value_report(spark, sf):
+    return U.runtime_value_report(closeouts(spark, sf))
+
+
+@query("SELECT closeout_id, entry_id, CASE min(p) WHEN 1 THEN 'write' WHEN 2 THEN 'fix' WHEN 3 THEN 'decide' ELSE 'locate' END AS effect FROM (SELECT l_orderkey AS closeout_id, CAST(l_suppkey AS VARCHAR) AS entry_id, CASE l_returnflag WHEN 'R' THEN 2 WHEN 'A' THEN 3 ELSE 4 END AS p FROM lineitem) GROUP BY 1, 2")
+def closeout_effect_precedence(spark, sf):
+    effect = F.when(F.col("l_returnflag") == "R", "fix").when(F.col("l_returnflag") == "A", "decide").otherwise("locate")
+    return U.effect_precedence(table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("closeout_id"), F.col("l_suppkey").cast("string").alias("entry_id"), effect.alias("effect")))
+
+
+@query("SELECT query, count(*) AS n, count(*) FILTER (hits > 0) AS n_hit, 100 * count(*) FILTER (hits > 0) // count(*) AS hit_percent FROM sl GROUP BY 1", SEARCHES)
+def search_stats(spark, sf):
+    return search_log(spark, sf).groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("hits") > 0).alias("n_hit")).withColumn("hit_percent", F.expr("100 * n_hit div n"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def daily_activity_window(spark, sf):
+    return daily_activity(table(spark, sf, "events"))
+
+
+# ---- sessions
+
+
+@query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS user_turn FROM conversations WHERE conv_id IS NOT NULL")
+def current_turn(spark, sf):
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, sf, "conversations").where("conv_id is not null").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), True).over(w).alias("user_turn"))
+
+
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, regexp_replace(lower(text), '\\s+', '', 'g') ORDER BY turn) > 1 AS repeated FROM conversations WHERE role = 'user'")
+def possible_duplicate_prompts(spark, sf):
+    key = F.regexp_replace(F.lower("text"), r"\s+", "")
+    w = Window.partitionBy("conv_id", key).orderBy("turn")
+    return table(spark, sf, "conversations").where("role = 'user'").select("conv_id", "turn", (F.row_number().over(w) > 1).alias("repeated"))
+
+
+@query("SELECT role, count(*) AS n, count(DISTINCT conv_id) AS n_sessions, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY 1")
+def session_audit_report(spark, sf):
+    return table(spark, sf, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("n_sessions"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))
+
+
+# ---- retrieval
+
+SCORES = "sco AS (SELECT query_id, id, used_count, ts, CAST(max(CASE WHEN t = q AND lower(title) = t THEN 30 WHEN t = q AND contains(lower(title), t) THEN 18 ELSE 0 END) + least(24, 6 * count(*) FILTER (contains(lower(title), t))) + least(16, 4 * count(*) FILTER (contains(lower(array_to_string(tags, ' ')), t))) + max(CASE WHEN t = q AND contains(lower(story), t) THEN 4 ELSE 0 END) + least(8, count(*) FILTER (contains(lower(story), t))) - max(CASE WHEN lower(status) IN ('superseded', 'archived', 'obsolete') THEN 12 ELSE 0 END) AS BIGINT) AS score FROM rec JOIN (SELECT query_id, query AS q, unnest(terms) AS t FROM qr) ON contains(lower(title), t) OR contains(lower(story), t) OR contains(lower(array_to_string(tags, ' ')), t) GROUP BY 1, 2, 3, 4)"
+
+
+def _scores(spark, sf):
+    rec, q = records(spark, sf), queries(spark, sf)
+    # a query batch is bounded by the caller; its terms' number is checked
+    terms = [r[0] for r in q.select(F.explode("terms")).distinct().limit(RT.MAX_TERMS + 1).collect()]
+    return RT.relevance(RT.term_hits(rec, terms), q, rec), rec
+
+
+@query("SELECT query_id, id, score FROM sco", RECORDS, QUERY_SQL, SCORES)
+def relevance_score(spark, sf):
+    return _scores(spark, sf)[0]
+
+
+@query("SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, used_count DESC, ts DESC, id) AS rank FROM sco) WHERE rank <= 5", RECORDS, QUERY_SQL, SCORES)
+def ranked_search(spark, sf):
+    scores, rec = _scores(spark, sf)
+    return RT.top_k(scores, rec, 5)
