@@ -5,11 +5,15 @@ minimiser positions are retained: positions whose ``K``-word hash is smallest in
 a window of ``WINDOW`` of them, so every run of ``K + WINDOW - 1`` = 47 words
 holds one, at the same place in all its copies.  Suffixes whose first K words
 occur once can't be repeated and go.  The rest are sorted by their next
-``RIGHT`` words, each is compared with its neighbour in the order, and the match
-is extended right and left, up to ``RIGHT`` and ``LEFT`` words; overlapping
+``RIGHT`` words, each is compared with its nearest neighbours in the order (up to
+``NEIGHBOURS``, as long as K words agree), and the match is extended right and left, up to ``RIGHT`` and ``LEFT`` words; overlapping
 matches of one document join into spans.  A match of ``min_words`` (50) words
 or more is a repeat: the occurrence later in (doc_id, position) is reported.
 
+Neighbours share the longest right context, so copies of a passage meet; where
+many half-copies share the right context of a place but not its left, a match of
+hardly ``min_words`` words can escape (tests measure the words found).
+
 Words are compared by 32 bits of their hashes over runs of 50 words and more, so
 chance matches don't occur in practice; spans are of whole words.
 
@@ -20,6 +24,7 @@ at equal positions.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +40,7 @@ from .tables import arrow_map, materialise, slices
 K, WINDOW = 8, 40
 LEFT, RIGHT = K + WINDOW - 1, 50
 MIN_WORDS = 50
+NEIGHBOURS = 12
 
 
 def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,19 +120,25 @@ def _neighbours(sorted_suffixes: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first_doc_id", pa.int64()), ("first_start", pa.int32()), ("part", pa.int32()), ("last", pa.bool_()), ("right", pa.binary()), ("left", pa.binary())])
         part = TaskContext.get().partitionId()
-        before = None
+        before: deque[tuple] = deque(maxlen=NEIGHBOURS)
         for batch in batches:
             out = []
             for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if before is None:
+                if not before:
                     out.append((row[2], row[3], None, None, None, part, False, row[0], row[1]))
-                elif m := _match(before, row, min_words):
-                    out.append((*m, None, None, None, None))
-                before = row
+                for other in before:
+                    if other[0][: 4 * K] != row[0][: 4 * K]:
+                        break
+                    if m := _match(other, row, min_words):
+                        out.append((*m, None, None, None, None))
+                        if m[2] - m[1] == LEFT + RIGHT:
+                            break
+                before.appendleft(row)
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-        if before is not None:
-            row = (before[2], before[3], None, None, None, part, True, before[0], before[1])
+        if before:
+            last = before[0]
+            row = (last[2], last[3], None, None, None, part, True, last[0], last[1])
             yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
 
     return sorted_suffixes.select(*columns).mapInArrow(run, f"{_FOUND}, part int, last boolean, right binary, left binary")

@@ -54,7 +54,7 @@ def schedule(share: dict[str, int], period: int = PERIOD) -> list[tuple[str, int
     waiting = sorted((i * period // s, k, i) for k, s in share.items() for i in range(s))
     ready: list[tuple[int, int, str, int]] = []
     out, at = [], 0
-    for slot in range(period):
+    for slot in range(period if share else 0):
         while at < len(waiting) and waiting[at][0] <= slot:
             release, k, i = waiting[at]
             due = -(-(i + 1) * period // share[k])

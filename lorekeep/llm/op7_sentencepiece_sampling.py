@@ -19,7 +19,8 @@ tokenizer reads it).
 
 Defined results: a null or empty text has one empty segmentation, of
 log-probability 0 and log-inclusion 0.  A text with fewer than ``k`` segmentations
-returns all it has.  A null doc_id has the key 0.
+returns all it has; what has less than 1e-13 of its
+place's probability counts as none (double precision).  A null doc_id has the key 0.
 """
 
 from __future__ import annotations
