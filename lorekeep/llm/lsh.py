@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .tables import components, materialise
 
-PIVOTS = 4
+PIVOTS = 2
 #: (sketches, sketches, sizes, sizes) -> whether each pair may be linked
 Close = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
