@@ -6,9 +6,9 @@ Items have an id (any orderable type), a set size ``n`` and a fixed-size binary
 * up to ``small`` items in a bucket: all pairs, a constant number for each item;
 * beyond: each item against a few pivots.  Items that the confirmed links leave
   in another component than most of their bucket are then compared with the
-  rest of it exactly, in blocks of at most ``2 * block`` sketches.
+  rest of it exactly, in blocks of at most ``2 * block`` items with their sets.
 
-Candidates whose sketches are close are confirmed by the caller on full sets.
+Candidates whose sketches are close are confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -17,14 +17,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import components, materialise
+from .tables import arrow_map, components, materialise
 
 PIVOTS = 2
 #: (sketches, sketches, sizes, sizes) -> whether each pair may be linked
 Close = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+#: sketches -> band keys of each
+Keys = Callable[[np.ndarray], np.ndarray]
+#: table of ids -> (id, hashes): full sets as ascending 64-bit hashes
+Sets = Callable[[DataFrame], DataFrame]
 
 
 def rows_of(column: pd.Series) -> np.ndarray:
@@ -60,8 +65,8 @@ def _first_pairs(postings: DataFrame, small: int) -> tuple[DataFrame, DataFrame]
     return pairs.union(star.select(F.least("p", "id"), F.greatest("p", "id"))).distinct(), many
 
 
-def _left_pairs(many: DataFrame, comps: DataFrame, items: DataFrame, block: int, close: Close) -> DataFrame:
-    """Close pairs between members of large buckets that the first links leave in different components."""
+def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int, close: Close, keys_of: Keys, sets_of: Sets, percent: int) -> DataFrame:
+    """Links between members of large buckets that the first links leave in different components: one for each two of them in a block."""
     at = many.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("comp"))
     counts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n_all")).where("n_main < n_all")
@@ -75,40 +80,67 @@ def _left_pairs(many: DataFrame, comps: DataFrame, items: DataFrame, block: int,
     )
     of_main = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(j.alias("lo"), (F.col("s") + F.col("own")).alias("hi")))
     dealt = dealt.select("key", "id", "comp", F.explode(F.when(F.col("stray"), of_stray).otherwise(of_main)).alias("blk"), F.when(F.col("stray"), F.col("own")).otherwise(F.col("s") + F.col("own")).alias("own"))
-    rows = dealt.join(items.select("id", "n", "sig"), "id").select("key", "id", "comp", F.col("blk.lo").alias("lo"), F.col("blk.hi").alias("hi"), "own", "n", "sig")
+    full = items.select("id", "n", "sig").join(materialise(sets_of(at.join(main.select("key"), "key").select("id").distinct()), "sets"), "id")
+    rows = dealt.join(full, "id").select("key", "id", "comp", F.col("blk.lo").alias("lo"), F.col("blk.hi").alias("hi"), "own", "n", "sig", "hashes")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         lo, hi = f.lo.iloc[0], f.hi.iloc[0]
         left, right = f[f.own == lo], f[f.own == hi]
         if not len(left) or not len(right):
             return pd.DataFrame({"a": f.id[:0], "b": f.id[:0]})
+        key = f.key.iloc[0]
         sig, n, ids, comp = rows_of(right.sig), right.n.to_numpy(), right.id.to_numpy(), right.comp.to_numpy()
-        a, b = [], []
-        for r, row, c, i in zip(rows_of(left.sig), left.n, left.comp, left.id, strict=True):
+        keys, sets = keys_of(sig), right.hashes.to_numpy()
+        a, b, done = [], [], set()
+        for r, own_keys, row, c, i, own in zip(rows_of(left.sig), keys_of(rows_of(left.sig)), left.n, left.comp, left.id, left.hashes, strict=True):
             ok = (comp != c) & ((ids > i) | (lo != hi))
+            # a pair is looked at in the first bucket that it shares, and nowhere else
+            same = keys[ok] == own_keys
+            first = same.argmax(axis=1)
+            ok[ok] = ~same.any(axis=1) | (own_keys[first] == key)
             ok[ok] = close(np.broadcast_to(r, (ok.sum(), len(r))), sig[ok], np.full(ok.sum(), row), n[ok])
-            for j in ids[ok]:
-                a.append(min(i, j))
-                b.append(max(i, j))
+            for j in np.flatnonzero(ok):  # one link joins two components
+                if (c, comp[j]) not in done and linked(own, sets[j], percent):
+                    done |= {(c, comp[j]), (comp[j], c)}
+                    a.append(min(i, ids[j]))
+                    b.append(max(i, ids[j]))
         return pd.DataFrame({"a": pd.Series(a, dtype=f.id.dtype), "b": pd.Series(b, dtype=f.id.dtype)})
 
     kind = items.schema["id"].dataType.simpleString()
     return rows.groupBy("key", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
-def groups(items: DataFrame, postings: DataFrame, close: Close, confirm: Callable[[DataFrame], DataFrame], small: int = 24, block: int = 1000) -> DataFrame:
+def linked(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two sets, as ascending 64-bit hashes, have a Jaccard similarity of ``percent`` or more."""
+    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _confirmed(pairs: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
+    """Those of the (a, b) pairs whose full sets reach the threshold."""
+    full = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    side = lambda x: full.select(F.col("id").alias(x), F.col("hashes").alias(f"h_{x}"))
+
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        mask = pa.array([linked(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True)], type=pa.bool_())
+        yield {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
+
+    return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b"), run, pairs.schema)
+
+
+def groups(items: DataFrame, postings: DataFrame, close: Close, keys_of: Keys, sets_of: Sets, percent: int, small: int = 24, block: int = 500) -> DataFrame:
     """(node, component) for every item with a confirmed link.
 
     ``items``: id, n, sig, one row for each id.  ``postings``: key, id.
-    ``confirm`` takes pairs (a, b) and returns those that are linked.
     """
     first, many = _first_pairs(postings, small)
-    links = materialise(confirm(materialise(_estimated(first, items, close), "pairs")), "links")
-    comps = components(links)
+    comps = components(materialise(_confirmed(materialise(_estimated(first, items, close), "pairs"), sets_of, percent), "links"))
     if many.isEmpty():
         return comps
-    left = materialise(_left_pairs(many, comps, items, block, close), "pairs")
-    if left.isEmpty():
+    more = materialise(_left_links(many, comps, items, block, close, keys_of, sets_of, percent), "links")
+    if more.isEmpty():
         return comps
+    # components that the blocks join
     held = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
-    return components(materialise(held.union(confirm(left)), "links"))
+    return components(held.union(more))

@@ -79,30 +79,17 @@ def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, perce
     return (est >= low - 5 * np.sqrt(low * (1 - low) / np.maximum(used, 1))) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the (a, b) pairs whose full sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def sets(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in slices(batch, "text"):
-            yield {"doc_id": part.column("doc_id"), "hashes": [_set_of(t.as_py(), k).tobytes() for t in part.column("text")]}
-
-    full = arrow_map(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi"), sets, "doc_id bigint, hashes binary")
-    side = lambda x: full.select(F.col("doc_id").alias(x), F.col("hashes").alias(f"h_{x}"))
+def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, hashes): the full sets of some documents, made again from their texts."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        keep = []
-        for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True):
-            s, t = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
-            both = len(np.intersect1d(s, t, assume_unique=True))
-            keep.append(100 * both >= percent * (len(s) + len(t) - both))
-        mask = pa.array(keep, type=pa.bool_())
-        yield {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
+        for part in slices(batch, "text"):
+            yield {"id": part.column("doc_id"), "hashes": [_set_of(t.as_py(), k).tobytes() for t in part.column("text")]}
 
-    return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b"), run, "a bigint, b bigint")
+    return arrow_map(docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["id"], "left_semi"), run, "id bigint, hashes binary")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, small_bucket: int = 24, block: int = 1000, tiny: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, small_bucket: int = 24, block: int = 500, tiny: int = 32) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     real = docs.where("doc_id is not null")
@@ -111,7 +98,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     reps = materialise(sk.where("n > 0").select("doc_id", "n", "set_hash", "regs", "prefix").join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hash"]), "reps")
 
     items = reps.select(F.col("doc_id").alias("id"), "n", F.col("regs").alias("sig"))
-    comps = groups(items, _postings(reps), lambda a, b, n_a, n_b: _close(a, b, n_a, n_b, percent), lambda pairs: _confirmed(pairs, real, shingle_words, percent), small_bucket, block)
+    positions = hmh.band_positions(BANDS, ROWS)
+    comps = groups(items, _postings(reps), lambda a, b, n_a, n_b: _close(a, b, n_a, n_b, percent), lambda regs: hmh.band_keys(regs, positions), lambda ids: _sets(ids, real, shingle_words), percent, small_bucket, block)
 
     of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
     out = sk.select("doc_id", "n", "set_hash").join(of_class, "set_hash", "left")
