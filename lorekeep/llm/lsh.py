@@ -70,6 +70,7 @@ def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int,
     # an item has a fixed number of keys: it meets its component once, not once for each key
     per_item = many.groupBy("id").agg(F.collect_list("key").alias("keys"))
     at = per_item.join(comps.withColumnRenamed("node", "id"), "id", "left").select(F.explode("keys").alias("key"), "id", F.coalesce("component", "id").alias("comp"))
+    at = materialise(at, "placed")  # read by counts, blocks and sets
     counts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n_all")).where("n_main < n_all")
     chunk = lambda n: F.ceil(F.col(n) / block).cast("int")
