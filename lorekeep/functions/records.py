@@ -88,3 +88,9 @@ def redact_query(text: Column) -> Column:
 def recency_boost(age_days: Column) -> Column:
     """0.5 for a new record, falling to 0 over 30 days."""
     return F.when(age_days <= 0, 0.5).when(age_days >= 30, 0.0).otherwise(0.5 * (1 - age_days / 30))
+
+
+def first_field_error(kind: Column, title: Column, story: Column, confidence: Column) -> Column:
+    """The first broken rule of a record's fields, null if none is."""
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    return F.when(~F.coalesce(kind.isin(KINDS), F.lit(False)), "invalid_kind").when(blank(title) & blank(story), "no_title_or_story").when(~confidence.between(0, 1), "confidence_range")

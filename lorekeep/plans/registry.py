@@ -197,12 +197,11 @@ def encoding_check(spark, sf):
     return table(spark, sf, "documents").select("doc_id", bad.cast("bigint").alias("n_replacement"), F.octet_length("text").cast("bigint").alias("n_bytes"))
 
 
-@query("SELECT coalesce(a.k, b.k) AS path, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'changed' END AS change FROM (SELECT page_id AS k, sha256(html) AS h FROM pages WHERE page_id % 3 <> 0) a FULL JOIN (SELECT page_id AS k, sha256(CASE WHEN page_id % 5 = 0 THEN url ELSE html END) AS h FROM pages WHERE page_id % 4 <> 0) b ON a.k = b.k WHERE a.h IS DISTINCT FROM b.h")
+@query("SELECT coalesce(a.k, b.k) AS path, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.k IS NULL THEN 'extra' ELSE 'changed' END AS change FROM (SELECT page_id AS k, sha256(html) AS h FROM pages) a FULL JOIN (SELECT doc_id AS k, sha256(text) AS h FROM documents) b ON a.k = b.k WHERE a.h IS DISTINCT FROM b.h")
 def tree_diff(spark, sf):
-    p = table(spark, sf, "pages")
-    a = p.where("page_id % 3 <> 0").select(F.col("page_id").alias("path"), F.sha2("html", 256).alias("ha"))
-    b = p.where("page_id % 4 <> 0").select(F.col("page_id").alias("path"), F.sha2(F.when(F.col("page_id") % 5 == 0, F.col("url")).otherwise(F.col("html")), 256).alias("hb"))
-    change = F.when(F.col("hb").isNull(), "missing").when(F.col("ha").isNull(), "extra").otherwise("changed")
+    a = table(spark, sf, "pages").select(F.col("page_id").alias("path"), F.sha2("html", 256).alias("ha"), F.lit(True).alias("in_a"))
+    b = table(spark, sf, "documents").select(F.col("doc_id").alias("path"), F.sha2("text", 256).alias("hb"), F.lit(True).alias("in_b"))
+    change = F.when(F.col("in_b").isNull(), "missing").when(F.col("in_a").isNull(), "extra").otherwise("changed")
     return a.join(b, "path", "full").where(~F.col("ha").eqNullSafe(F.col("hb"))).select("path", change.alias("change"))
 
 
@@ -320,7 +319,8 @@ def session_audit_report(spark, sf):
 SCORES = "sco AS (SELECT query_id, id, used_count, ts, CAST(max(CASE WHEN t = q AND lower(title) = t THEN 30 WHEN t = q AND contains(lower(title), t) THEN 18 ELSE 0 END) + least(24, 6 * count(*) FILTER (contains(lower(title), t))) + least(16, 4 * count(*) FILTER (contains(lower(array_to_string(tags, ' ')), t))) + max(CASE WHEN t = q AND contains(lower(story), t) THEN 4 ELSE 0 END) + least(8, count(*) FILTER (contains(lower(story), t))) - max(CASE WHEN lower(status) IN ('superseded', 'archived', 'obsolete') THEN 12 ELSE 0 END) AS BIGINT) AS score FROM rec JOIN (SELECT query_id, query AS q, unnest(terms) AS t FROM qr) ON contains(lower(title), t) OR contains(lower(story), t) OR contains(lower(array_to_string(tags, ' ')), t) GROUP BY 1, 2, 3, 4)"
 
 
-def _scores(spark, sf):
+def scores(spark, sf):
+    """Scores of the query batch, and the records."""
     rec, q = records(spark, sf), queries(spark, sf)
     # a query batch is bounded by the caller; its terms' number is checked
     terms = [r[0] for r in q.select(F.explode("terms")).distinct().limit(RT.MAX_TERMS + 1).collect()]
@@ -329,10 +329,13 @@ def _scores(spark, sf):
 
 @query("SELECT query_id, id, score FROM sco", RECORDS, QUERY_SQL, SCORES)
 def relevance_score(spark, sf):
-    return _scores(spark, sf)[0]
+    return scores(spark, sf)[0]
 
 
 @query("SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, used_count DESC, ts DESC, id) AS rank FROM sco) WHERE rank <= 5", RECORDS, QUERY_SQL, SCORES)
 def ranked_search(spark, sf):
-    scores, rec = _scores(spark, sf)
-    return RT.top_k(scores, rec, 5)
+    found, rec = scores(spark, sf)
+    return RT.top_k(found, rec, 5)
+
+
+from lorekeep.plans import reports  # noqa: E402, F401  registers the rest

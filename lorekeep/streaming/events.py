@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lorekeep.operators.usage import closeout_issues
+
 
 def daily_activity(events: DataFrame, delay: str = "1 day") -> DataFrame:
     """day, event_type, n in tumbling windows; works on streams and tables."""
@@ -15,3 +17,9 @@ def daily_activity(events: DataFrame, delay: str = "1 day") -> DataFrame:
 def adoption_once(events: DataFrame, delay: str = "7 days") -> DataFrame:
     """Adoption events without retries of one event_id inside the delay (``ts`` is a timestamp)."""
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
+
+
+def watch_closeouts(closeouts: DataFrame) -> DataFrame:
+    """closeout_id, issues, warnings, level (issue, warn, ok); stateless, for streams and tables."""
+    level = F.when(F.col("issues") != "", "issue").when(F.col("warnings") != "", "warn").otherwise("ok")
+    return closeout_issues(closeouts).withColumn("level", level)
