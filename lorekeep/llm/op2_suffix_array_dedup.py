@@ -2,20 +2,23 @@
 
 Texts are sequences of words (lower-cased, between white space).  Only suffixes at
 minimiser positions are retained: positions whose ``K``-word hash is smallest in
-a window of ``WINDOW`` of them, so every run of ``K + WINDOW - 1`` = 47 words
-holds one, at the same place in all its copies.  Suffixes whose first K words
+a window of ``WINDOW`` of them (the first of equals).  A passage of ``min_words``
+(50) words is placed at the minimiser of its first ``K + WINDOW - 1`` = 47 words,
+which is the same place in all its copies.  Suffixes whose first K words
 occur once can't be repeated and go.  The rest are sorted by their next
-``RIGHT`` words, each is compared with its nearest neighbours in the order (up to
-``NEIGHBOURS``, as long as K words agree), and the match is extended right and left, up to ``RIGHT`` and ``LEFT`` words; overlapping
-matches of one document join into spans.  A match of ``min_words`` (50) words
-or more is a repeat: the occurrence later in (doc_id, position) is reported.
+``min_words`` words; the longest run of words that a suffix shares with a neighbour in
+the order is the longest it shares with any other, so passages that reach
+beyond it occur once and go as well.  The other passages form runs of equal
+words, wherever the order put their suffixes: each run keeps its smallest
+(doc_id, position), an aggregated minimum, and all its other members are
+reported; overlapping and adjoining ones of one document join into spans.
 
-Neighbours share the longest right context, so copies of a passage meet; where
-many half-copies share the right context of a place but not its left, a match of
-hardly ``min_words`` words can escape (tests measure the words found).
+The first and the last suffix of a partition, which have a neighbour elsewhere,
+keep all their passages; the runs decide.  So every passage of ``min_words`` words
+that occurs before is reported, however many copies it has.
 
-Words are compared by 32 bits of their hashes over runs of 50 words and more, so
-chance matches don't occur in practice; spans are of whole words.
+Words are compared by 32 bits of their hashes and passages by 64 bits over all their
+words, so chance matches don't occur in practice; spans are of whole words.
 
 Defined results: null and empty texts have no suffixes; rows of null doc_id
 take no part; rows of equal doc_id count as one document and aren't compared
@@ -24,151 +27,133 @@ at equal positions.
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .hashing import shingles, words
+from .hashing import _BASE, _BASE_INV, U64, _powers, mix, shingles, words
 from .tables import arrow_map, materialise, slices
 
 K, WINDOW = 8, 40
-LEFT, RIGHT = K + WINDOW - 1, 50
+LEFT = WINDOW - 1
 MIN_WORDS = 50
-NEIGHBOURS = 12
 
 
-def minimisers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and K-word hashes that are the smallest of a window (the first of equals)."""
-    if len(h) < K:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+def minimisers(h: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Positions, K-word hashes, and words from the last and the first passage of ``min_words`` words placed there to the position."""
+    n = len(h) - min_words + 1
+    if n < 1:
+        none = np.zeros(0, dtype=np.int64)
+        return none, none.astype(np.uint64), none, none
     s = shingles(h, K)
-    if len(s) <= WINDOW:
-        at = np.array([int(np.argmin(s))])
-    else:
-        w = np.lib.stride_tricks.sliding_window_view(s, WINDOW)
-        at = np.unique(np.arange(len(w)) + w.argmin(axis=1))
-    return at, s[at]
+    w = np.lib.stride_tricks.sliding_window_view(s, WINDOW)[:n]
+    at, first, many = np.unique(np.arange(n) + w.argmin(axis=1), return_index=True, return_counts=True)
+    return at, s[at], at - first - many + 1, at - first
 
 
-def _seeds(docs: DataFrame) -> DataFrame:
+def _seeds(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "text"):
-            keys, ids, places = [], [], []
-            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("text"), strict=True):
-                at, s = minimisers(words(text.as_py() or "")[3])
-                keys.append(s.view(np.int64))
-                ids += [doc_id] * len(at)
-                places.append(at)
-            yield {"key": np.concatenate(keys) if keys else [], "doc_id": ids, "pos": np.concatenate(places).astype(np.int32) if places else []}
-
-    return arrow_map(docs.select("doc_id", "text"), run, "key bigint, doc_id bigint, pos int")
+            made = [minimisers(words(text.as_py() or "")[3], min_words) for text in part.column("text")]
+            at, key, near, far = (np.concatenate(c) for c in zip(*made, strict=True))
+            yield {"key": key.view(np.int64), "doc_id": part.column("doc_id").take(pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made]))), "pos": at.astype(np.int32), "near": near.astype(np.int32), "far": far.astype(np.int32)}
 
+    return arrow_map(docs.select("doc_id", "text"), run, "key bigint, doc_id bigint, pos int, near int, far int")
 
-def _suffixes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """right, left (nearest word first), doc_id, pos of the retained suffixes; words as big-endian 32-bit hashes."""
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        for part in slices(batch, "text", 1 << 20):
-            out: dict[str, list] = {c: [] for c in ("right", "left", "doc_id", "pos")}
-            for doc_id, text, places in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("places").to_pylist(), strict=True):
-                h = (words(text.as_py() or "")[3] >> np.uint64(32)).astype(">u4")
-                for p in places:
-                    out["right"].append(h[p : p + RIGHT].tobytes())
-                    out["left"].append(h[max(0, p - LEFT) : p][::-1].tobytes())
-                    out["doc_id"].append(doc_id)
-                    out["pos"].append(p)
-            yield out
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of equal width as binary values."""
+    n, width = len(rows), rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
 
-    lists = wanted.groupBy("doc_id").agg(F.collect_set("pos").alias("places")).withColumnRenamed("doc_id", "__id")
-    return arrow_map(docs.join(lists, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "places"), run, "right binary, left binary, doc_id bigint, pos int")
 
+def _suffixes(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+    """right, left (the ``LEFT`` words before), doc_id, pos, near, far of the retained suffixes; words as big-endian 32-bit hashes."""
 
-def _common(a: bytes, b: bytes) -> int:
-    """Words that two runs of 32-bit words have in common at the beginning."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n >> 2
-    x = np.frombuffer(a, dtype="V4", count=n >> 2) != np.frombuffer(b, dtype="V4", count=n >> 2)
-    return int(x.argmax())
+    def run(batch: pa.RecordBatch) -> Iterator[dict]:
+        for part in slices(batch, "text", 1 << 20):
+            rows, ids, places = [], [], []
+            for doc_id, text, found in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("places").to_pylist(), strict=True):
+                h = (words(text.as_py() or "")[3] >> U64(32)).astype(">u4")
+                at = np.array([(p["pos"], p["near"], p["far"]) for p in found], dtype=np.int32).reshape(-1, 3)
+                # another text of the same doc_id may be shorter
+                at[:, 1] = np.maximum(at[:, 1], at[:, 0] + min_words - len(h))
+                at = at[at[:, 1] <= at[:, 2]]
+                padded = np.concatenate([np.zeros(LEFT, dtype=">u4"), h, np.zeros(min_words, dtype=">u4")])
+                rows.append(padded[at[:, :1] + np.arange(LEFT + min_words)])
+                ids += [doc_id] * len(at)
+                places.append(at)
+            x, at = np.concatenate(rows), np.concatenate(places)
+            yield {"right": _binary(x[:, LEFT:]), "left": _binary(x[:, :LEFT]), "doc_id": ids, "pos": at[:, 0], "near": at[:, 1], "far": at[:, 2]}
 
+    lists = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "near", "far")).alias("places")).withColumnRenamed("doc_id", "__id")
+    return arrow_map(docs.join(lists, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "places"), run, "right binary, left binary, doc_id bigint, pos int, near int, far int")
 
-def _match(x: tuple, y: tuple, min_words: int) -> tuple | None:
-    """(doc_id, start, end, other doc_id, other start) of the later of two suffixes, if the match is long enough."""
-    r = _common(x[0], y[0])
-    if r < K:
-        return None
-    left = _common(x[1], y[1])
-    if left + r < min_words or x[2:] == y[2:]:
-        return None
-    a, b = sorted((x, y), key=lambda v: v[2:])
-    return b[2], b[3] - left, b[3] + r, a[2], a[3] - left
 
+def _common(right: np.ndarray) -> np.ndarray:
+    """Words that each row and the next have in common at the beginning."""
+    other = right[1:] != right[:-1]
+    return np.where(other.any(axis=1), other.argmax(axis=1), right.shape[1])
 
-_FOUND = "doc_id bigint, start int, stop int, first_doc_id bigint, first_start int"
 
+def _passages(sorted_suffixes: DataFrame, min_words: int) -> DataFrame:
+    """key, doc_id, start of the passages whose words right of the minimiser are shared with a neighbour in the order."""
+    width = LEFT + min_words
+    up, down = _powers(_BASE, width), _powers(_BASE_INV, LEFT + 1)
 
-def _neighbours(sorted_suffixes: DataFrame, min_words: int) -> DataFrame:
-    """Matches of neighbours in the order; and the ends of each partition, whose neighbours are elsewhere."""
-    columns = ["right", "left", "doc_id", "pos"]
+    def emit(x: np.ndarray, at: np.ndarray, shared: np.ndarray) -> dict:
+        total = np.zeros((len(x), width + 1), dtype=U64)
+        np.cumsum(mix(x.astype(U64) + U64(1)) * up, axis=1, out=total[:, 1:])
+        key = mix((total[:, min_words:] - total[:, : LEFT + 1]) * down)
+        back = LEFT - np.arange(LEFT + 1)  # words of a passage left of the minimiser
+        row, c = np.nonzero((back >= np.maximum(at[:, 2], min_words - shared)[:, None]) & (back <= at[:, 3:4]))
+        return {"key": key[row, c].view(np.int64), "doc_id": at[row, 0], "start": (at[row, 1] - back[c]).astype(np.int32)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("first_doc_id", pa.int64()), ("first_start", pa.int32()), ("part", pa.int32()), ("last", pa.bool_()), ("right", pa.binary()), ("left", pa.binary())])
-        part = TaskContext.get().partitionId()
-        before: deque[tuple] = deque(maxlen=NEIGHBOURS)
+        schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
+        x, at, before = np.zeros((0, width), dtype=">u4"), np.zeros((0, 4), dtype=np.int64), min_words
         for batch in batches:
-            out = []
-            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
-                if not before:
-                    out.append((row[2], row[3], None, None, None, part, False, row[0], row[1]))
-                for other in before:
-                    if other[0][: 4 * K] != row[0][: 4 * K]:
-                        break
-                    if m := _match(other, row, min_words):
-                        out.append((*m, None, None, None, None))
-                        if m[2] - m[1] == LEFT + RIGHT:
-                            break
-                before.appendleft(row)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-        if before:
-            last = before[0]
-            row = (last[2], last[3], None, None, None, part, True, last[0], last[1])
-            yield pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, schema, strict=True)], schema=schema)
-
-    return sorted_suffixes.select(*columns).mapInArrow(run, f"{_FOUND}, part int, last boolean, right binary, left binary")
+            for i in range(0, batch.num_rows, 4096):
+                part = batch.slice(i, 4096)
+                words_of = lambda c, n: np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=">u4").reshape(-1, n)  # noqa: B023, E731
+                x = np.concatenate([x, np.concatenate([words_of("left", LEFT), words_of("right", min_words)], axis=1)])
+                at = np.concatenate([at, np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "pos", "near", "far")], axis=1)])
+                after = _common(x[:, LEFT:])
+                shared = np.maximum(np.concatenate([[before], after[:-1]]), after) if len(after) else after
+                yield pa.RecordBatch.from_pydict(emit(x[:-1], at[:-1], shared), schema=schema)
+                before = after[-1] if len(after) else before
+                x, at = x[-1:], at[-1:]
+        if len(x):
+            yield pa.RecordBatch.from_pydict(emit(x, at, np.array([min_words])), schema=schema)
+
+    return sorted_suffixes.select("right", "left", "doc_id", "pos", "near", "far").mapInArrow(run, "key bigint, doc_id bigint, start int")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, start_word, end_word, n_words, first_doc_id: spans of words that occur before."""
+    if min_words < K + WINDOW - 1:
+        raise ValueError(f"passages of {min_words} words may hold no minimiser")
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    seeds = materialise(_seeds(docs), "seeds")
-    often = seeds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-    wanted = seeds.join(often, "key").select("doc_id", "pos")
-    suffixes = _suffixes(docs, wanted)
-    order = ["right", "left", "doc_id", "pos"]
+    seeds = materialise(_seeds(docs, min_words), "seeds")
+    # written, so that the join's sides are plain shuffles and a hot key's rows are dealt anew
+    often = materialise(seeds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
+    suffixes = _suffixes(docs, seeds.join(often, "key").select("doc_id", "pos", "near", "far"), min_words)
+    order = ["right", "doc_id", "pos"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = materialise(_neighbours(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order), min_words), "matches")
-    # two rows for each partition at most: the last of one and the first of the next that has rows
-    ends = found.where("part is not null").select("right", "left", "doc_id", F.col("start").alias("pos"), "part", "last")
-    w = Window.partitionBy(F.lit(0)).orderBy("part", "last")
-    pairs = ends.select("*", *(F.lag(c).over(w).alias(f"b_{c}") for c in (*order, "last"))).where("not last and b_last")
-
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        got = [m for x, y in zip(zip(*(batch.column(f"b_{c}").to_pylist() for c in order), strict=True), zip(*(batch.column(c).to_pylist() for c in order), strict=True), strict=True) if (m := _match(x, y, min_words))]
-        yield {name: [m[i] for m in got] for i, name in enumerate(("doc_id", "start", "stop", "first_doc_id", "first_start"))}
-
-    matches = found.where("part is null").select("doc_id", "start", "stop", "first_doc_id", "first_start").union(arrow_map(pairs, run, _FOUND)).distinct()
-    # overlapping matches of a document become one span
-    by = Window.partitionBy("doc_id").orderBy("start", "stop")
-    reach = F.max("stop").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    spans = matches.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(by))
-    out = spans.groupBy("doc_id", "span").agg(F.min("start").alias("start_word"), F.max("stop").alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
+    passages = materialise(_passages(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order), min_words), "passages")
+    # the smallest place of each run
+    runs = passages.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first <> last")
+    runs = materialise(runs.select("key", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "runs")
+    later = passages.join(runs, "key").where("doc_id <> first_doc_id or start <> first_start").select("doc_id", "start", "first_doc_id")
+    # overlapping passages of a document become one span
+    by = Window.partitionBy("doc_id").orderBy("start")
+    new = F.coalesce(F.col("start") > F.lag("start").over(by) + min_words, F.lit(True))
+    spans = later.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(by))
+    out = spans.groupBy("doc_id", "span").agg(F.min("start").alias("start_word"), (F.max("start") + min_words).alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
     return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 

@@ -172,6 +172,16 @@ def test_suffixes(docs, none):
     assert op2.repeated_spans(none).count() == 0
 
 
+def test_suffixes_of_many_copies(spark):
+    """One 55-word passage in 1,000 documents of different surroundings: all copies but the first are reported, whole."""
+    passage, ids = prose(8, 55), random.Random(9).sample(range(10**6), 1000)
+    at = {i: random.Random(i).randint(0, 30) for i in ids}
+    around = lambda i, n, side: " ".join(f"{side}{i}w{j}" for j in range(n))
+    rows = [(i, f"{around(i, at[i], 'b')} {passage} {around(i, 10 + i % 7, 'a')}") for i in ids]
+    got = {(r.doc_id, r.start_word, r.end_word, r.first_doc_id) for r in op2.repeated_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(i, at[i], at[i] + 55, min(ids)) for i in ids if i != min(ids)}
+
+
 def test_media(docs, none):
     texts = {}
     for i, t, *_ in corpus():
