@@ -141,8 +141,9 @@ def predict(model: dict, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.cumsum(sizes) - sizes
     g = grams(np.frombuffer(b"".join(parts), dtype=np.uint8))
     for i in range(3):  # grams that reach back into the text before
-        for j in range(i + 1):
-            g[i, starts + j] = 0
+        for j in range(i + 1):  # an empty text has two bytes, of which the last text's may end the array
+            at = starts + j
+            g[i, at[at < g.shape[1]]] = 0
     table = np.ascontiguousarray(model["table"].astype(np.float32))
     used = np.add.reduceat((g != 0).sum(axis=0), starts)
     z = np.zeros((len(parts), len(model["langs"])))

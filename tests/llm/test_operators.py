@@ -393,6 +393,16 @@ def test_language(spark, none):
     assert {r.lang_pred for r in op8.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_empty_last(spark):
+    model = {"langs": ["de", "en"], "table": np.random.default_rng(1).normal(size=(op8.BUCKETS, 2)), "accept": 0.5}
+    schema = "doc_id bigint, text string, lang string"
+    for last in (None, ""):
+        for texts in ([last], ["the and", last], [last, "the and", last, last]):
+            got = op8.identify(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], schema).coalesce(1), model).collect()
+            alone = {r.doc_id: r for r in op8.identify(spark.createDataFrame([(1, "the and", None)], schema), model).collect()}[1]
+            assert [(r.lang_pred, r.score) for r in sorted(got)] == [(alone.lang_pred, alone.score) if t else ("und", 0.0) for t in texts]
+
+
 def labelled(spark, n=600):
     rows, labels = [], []
     for i in range(n):
