@@ -26,7 +26,7 @@ from .tables import arrow_map, components, materialise
 PIVOTS = 2
 #: (sketches, sketches, sizes, sizes) -> whether each pair may be linked
 Close = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
-#: sketches -> band keys of each
+#: sketches -> band keys of each; 0 is no key
 Keys = Callable[[np.ndarray], np.ndarray]
 #: table of ids -> (id, hashes): full sets as ascending 64-bit hashes
 Sets = Callable[[DataFrame], DataFrame]
@@ -98,7 +98,7 @@ def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int,
         for r, own_keys, row, c, i, own in zip(rows_of(left.sig), keys_of(rows_of(left.sig)), left.n, left.comp, left.id, left.hashes, strict=True):
             ok = (comp != c) & ((ids > i) | (lo != hi))
             # a pair is looked at in the first bucket that it shares, and nowhere else
-            same = keys[ok] == own_keys
+            same = (keys[ok] == own_keys) & (own_keys != 0)
             first = same.argmax(axis=1)
             ok[ok] = ~same.any(axis=1) | (own_keys[first] == key)
             ok[ok] = close(np.broadcast_to(r, (ok.sum(), len(r))), sig[ok], np.full(ok.sum(), row), n[ok])

@@ -151,6 +151,23 @@ def test_paragraphs(docs, none):
     assert op1.repeated_paragraphs(none).count() == 0 and op1.without_repeats(none).count() == 0
 
 
+def test_short_paragraphs(spark, tmp_path):
+    """Lines from five words on, in the query and in the pipeline stage: exact and close copies, broken passages, large buckets of short lines."""
+    broken = "\n".join([prose(20, 7), prose(21, 25), prose(22, 25), prose(23, 3), prose(24, 6)])
+    line, middle = prose(25, 38), prose(26, 44)
+    texts = [broken, prose(27, 30) + "\n" + broken, prose(23, 3), prose(24, 6).replace(" ", "  "), prose(28, 4), prose(28, 5), line, line + " end"]
+    texts += [edit(line, i, 0.02) for i in range(60)] + [edit(middle, i, 0.02) for i in range(20)] + [" ".join(line.split(" ")[: 30 + i]) for i in range(8)]
+    docs = spark.createDataFrame([(7 * i, t, len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = [(7 * i, n, shingle_set(p, 5)) for i, t in enumerate(texts) for n, p in enumerate(t.split("\n")) if len(p.split()) >= 5]
+    links = [(x, y) for x, y in itertools.combinations(range(len(found)), 2) if 100 * len(found[x][2] & found[y][2]) >= 80 * len(found[x][2] | found[y][2])]
+    want = {(*found[x][:2], *found[c][:2]) for x, c in enumerate(closure(len(found), links)) if x != c}
+    got = {(r.doc_id, r.line, r.first_doc_id, r.first_line) for r in op1.op1_substring_dedup(spark, str(tmp_path)).collect()}
+    assert got == want and {(7, n, 0, n - 1) for n in (1, 2, 3, 5)} <= want
+    kept = {r.doc_id: r.text for r in corpus_pipeline.substring_dedup(spark, docs, str(tmp_path)).collect()}
+    assert kept[7] == prose(27, 30) + "\n" + prose(23, 3) and kept[0] == broken
+
+
 def test_suffixes(docs, none):
     got = {}
     for r in op2.repeated_spans(docs).collect():
