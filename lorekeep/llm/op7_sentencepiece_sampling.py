@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .hashing import U64, mix
 from .lattice import MARK, SPACE, Sampler, Vocabulary, build, distinct, sampler, units
@@ -307,10 +308,11 @@ class Path:
 SCHEMA = "doc_id bigint, sample int, n_pieces int, log_prob double, log_inclusion double, ids array<int>, text string"
 
 
-def sample_segmentations(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, tokenizer: str = TOKENIZER, digest: bool = False) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, tokenizer: str = TOKENIZER, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each sample: doc_id, sample, n_pieces, log_prob, log_inclusion, ids and the decoded text.
 
     With ``digest`` SHA-256 of the ids (little-endian int32) and whether decoding gives the text back take their place.
+    Columns of ``docs`` named in ``keep`` follow.
     """
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer))
     schema = SCHEMA if not digest else "doc_id bigint, sample int, n_pieces int, log_prob double, log_inclusion double, ids_sha256 string, round_trip boolean"
@@ -320,8 +322,10 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, theta: float = THETA
         for part in slices(batch, "text", 1 << 19):
             doc_ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
             out: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
+            rows: list[int] = []
             keys = np.array([x or 0 for x in doc_ids], dtype=np.int64)
-            for doc_id, text, samples in zip(doc_ids, texts, encode(keys, texts), strict=True):
+            for row, (doc_id, text, samples) in enumerate(zip(doc_ids, texts, encode(keys, texts), strict=True)):
+                rows += [row] * len(samples)
                 for n, (ids, log_p, inclusion) in enumerate(samples):
                     out["doc_id"].append(doc_id)
                     out["sample"].append(n)
@@ -334,9 +338,10 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, theta: float = THETA
                     else:
                         out["ids"].append(ids)
                         out["text"].append(decode(ids))
-            yield out
+            yield out | {c: part.column(c).take(pa.array(rows, type=pa.int64())) for c in keep}
 
-    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")), run, schema)
+    target = T.StructType([*T.StructType.fromDDL(schema), *docs.select(*keep).schema])
+    return arrow_map(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *keep), run, target)
 
 
 def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -447,6 +447,30 @@ def test_quality(spark, docs, none):
     assert op9.graded(odd).collect()[0].grade == 1
 
 
+def test_pipeline_keeps_the_mix(spark, tmp_path):
+    """Read by (slot, place), each prefix of the result holds the target shares within one block."""
+    source = lambda i: "hot" if i % 10 < 7 else "b" if i % 10 < 9 else None
+    texts = [(i, prose(i, 9), "en", source(i), 1) for i in range(1000)] + [(None, prose(5000, 9), "en", "b", 1)]
+    spark.createDataFrame(texts, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    place = {(r.slot, r.place): r.doc_id for r in got}
+    ids = set(place.values())
+    assert len(place) == len(ids) and None in ids and len({(r.doc_id, r.slot, r.place) for r in got}) == len(ids)
+    of = lambda i: "b" if i is None else source(i)
+    n = {s: sum(of(i) == s for i in ids) for s in ("hot", "b", None)}
+    share = op5.shares({"-" if s is None else "+" + s: c**op5.ALPHA for s, c in n.items()})
+    done = dict.fromkeys(n, 0)
+    slots = {slot: [of(place[at]) for at in group] for slot, group in itertools.groupby(sorted(place), key=lambda at: at[0])}
+    full = next(i for i in itertools.count() if i not in slots)
+    assert full > 5
+    for slot in range(full):
+        assert len(set(slots[slot])) == 1
+        done[slots[slot][0]] += 1
+        for s in n:
+            assert abs(done[s] - share["-" if s is None else "+" + s] / op5.PERIOD * (slot + 1)) < 1
+
+
 def test_pipeline(spark, tmp_path):
     rows, labels = labelled(spark)
     copies = rows.where("doc_id % 8 = 0").withColumn("doc_id", F.col("doc_id") + 10000)
