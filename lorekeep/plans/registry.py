@@ -72,6 +72,13 @@ def term_containment(spark, sf):
     return records(spark, sf).where(has(F.col("title")) | has(F.col("repo")) | F.exists("tags", has)).select("id")
 
 
+@query("SELECT id FROM rec WHERE contains(lower(title), 'tion') OR contains(lower(story), 'tion') OR contains(kind, 'tion') OR contains(lower(repo), 'tion') OR contains(lower(branch), 'tion') OR len(list_filter(tags, lambda x: contains(lower(x), 'tion'))) > 0", RECORDS)
+def term_in_record(spark, sf):
+    has = lambda c: F.contains(F.lower(c), F.lit("tion"))
+    fields = [has(F.col(c)) for c in ("title", "story", "kind", "repo", "branch")]
+    return records(spark, sf).where(F.coalesce(*(F.when(f, True) for f in (*fields, F.exists("tags", has))))).select("id")
+
+
 @query("SELECT id FROM rec WHERE contains(lower(story), 'idiot') OR contains(lower(story), 'license')", RECORDS)
 def match_any(spark, sf):
     s = F.lower("story")
