@@ -6,7 +6,8 @@ Items have an id (any orderable type), a set size ``n`` and a fixed-size binary
 * up to ``small`` items in a bucket: all pairs, a constant number for each item;
 * beyond: each item against a few pivots.  Items that the confirmed links leave
   in another component than most of their bucket are then compared with the
-  rest of it exactly, in blocks of at most ``2 * block`` items with their sets.
+  rest of it exactly, in blocks of at most ``2 * block`` items: by sketches
+  first, then with the full sets of those that have a close pair.
 
 Candidates whose sketches are close are confirmed on full sets.
 """
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import arrow_map, components, materialise
+from .tables import arrow_map, components, discard, materialise
 
 PIVOTS = 2
 #: (sketches, sketches, sizes, sizes) -> whether each pair may be linked
@@ -47,22 +48,32 @@ def _estimated(pairs: DataFrame, items: DataFrame, close: Close) -> DataFrame:
                 p = f.iloc[i : i + 4096]
                 yield p.loc[close(rows_of(p.r_a), rows_of(p.r_b), p.n_a.to_numpy(), p.n_b.to_numpy()), ["a", "b"]]
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInPandas(run, pairs.schema)
+    return pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").mapInPandas(run, pairs.schema)
 
 
-def _first_pairs(postings: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
-    """Candidates of the first round, and the postings of the large buckets."""
-    order = [F.xxhash64("id", F.lit(i)) for i in range(PIVOTS)]
-    stats = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), *(F.min(h).alias(f"p{i}") for i, h in enumerate(order))).where("size > 1")
-    is_pivot = None
-    for i, h in enumerate(order):
-        is_pivot = (h == F.col(f"p{i}")) if is_pivot is None else is_pivot | (h == F.col(f"p{i}"))
-    shared = materialise(postings.join(stats, "key").select("key", "id", "size", is_pivot.alias("pivot")), "buckets")
+def _buckets(postings: DataFrame) -> DataFrame:
+    """The postings of keys that several items share, with their number; counts and postings meet as plain shuffles, of which Spark splits a hot key's partition."""
+    counts = materialise(postings.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "counts")
+    out = materialise(postings.join(counts.hint("merge"), "key").select("key", "id", "n", "size"), "buckets")
+    discard(counts)
+    return out
+
+
+def _first_pairs(shared: DataFrame, small: int, block: int, percent: int) -> DataFrame:
+    """Candidates of the first round whose sizes allow a link."""
+    fit = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
     few = shared.where(F.col("size") <= small)
-    pairs = few.select("key", F.col("id").alias("a")).join(few.select("key", F.col("id").alias("b")), "key").where("a < b").select("a", "b")
+    side = lambda x: few.select("key", F.col("id").alias(x), F.col("n").alias(f"n_{x}"))
+    pairs = side("a").join(side("b"), "key").where((F.col("a") < F.col("b")) & fit("n_a", "n_b")).select("a", "b")
     many = shared.where(F.col("size") > small)
-    star = many.where("pivot").select("key", F.col("id").alias("p")).join(many.select("key", "id"), "key").where("p <> id")
-    return pairs.union(star.select(F.least("p", "id"), F.greatest("p", "id"))).distinct(), many
+    pivots = many.groupBy("key").agg(F.max("size").alias("size"), *(F.min(F.struct(F.xxhash64("id", F.lit(i)).alias("h"), "id", "n")).alias(f"p{i}") for i in range(PIVOTS)))
+    # a bucket's members are dealt to chunks, and its pivots go to each chunk
+    chunks = F.ceil(F.col("size") / block).cast("int")
+    spread = pivots.select("key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), *(f"p{i}" for i in range(PIVOTS)))
+    spread = materialise(spread.select("key", "chunk", F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p")).select("key", "chunk", F.col("p.id").alias("p"), F.col("p.n").alias("n_p")).distinct(), "pivots")
+    star = many.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int")).join(spread.hint("merge"), ["key", "chunk"])
+    star = star.where((F.col("p") != F.col("id")) & fit("n_p", "n"))
+    return pairs.union(star.select(F.least("p", "id"), F.greatest("p", "id"))).distinct()
 
 
 def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int, close: Close, keys_of: Keys, sets_of: Sets, percent: int) -> DataFrame:
@@ -73,8 +84,9 @@ def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int,
     at = materialise(at, "placed")  # read by counts, blocks and sets
     counts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n_all")).where("n_main < n_all")
+    main = materialise(main, "main")
     chunk = lambda n: F.ceil(F.col(n) / block).cast("int")
-    dealt = at.join(main.select("key", "main", chunk("n_main").alias("m"), F.ceil((F.col("n_all") - F.col("n_main")) / block).cast("int").alias("s")), "key").withColumn("stray", F.col("comp") != F.col("main"))
+    dealt = at.join(main.select("key", "main", chunk("n_main").alias("m"), F.ceil((F.col("n_all") - F.col("n_main")) / block).cast("int").alias("s")).hint("merge"), "key").withColumn("stray", F.col("comp") != F.col("main"))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("stray"), F.col("s")).otherwise(F.col("m"))).cast("int"))
     # a block pairs one chunk of strays (lo) with one chunk of the main component (hi >= s) or of strays (lo <= hi < s)
     of_stray = F.concat(
@@ -83,34 +95,59 @@ def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int,
     )
     of_main = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(j.alias("lo"), (F.col("s") + F.col("own")).alias("hi")))
     dealt = dealt.select("key", "id", "comp", F.explode(F.when(F.col("stray"), of_stray).otherwise(of_main)).alias("blk"), F.when(F.col("stray"), F.col("own")).otherwise(F.col("s") + F.col("own")).alias("own"))
-    full = items.select("id", "n", "sig").join(materialise(sets_of(at.join(main.select("key"), "key").select("id").distinct()), "sets"), "id")
-    rows = dealt.join(full, "id").select("key", "id", "comp", F.col("blk.lo").alias("lo"), F.col("blk.hi").alias("hi"), "own", "n", "sig", "hashes")
+    dealt = materialise(dealt.select("key", "id", "comp", F.col("blk.lo").alias("lo"), F.col("blk.hi").alias("hi"), "own"), "dealt")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = f.lo.iloc[0], f.hi.iloc[0]
-        left, right = f[f.own == lo], f[f.own == hi]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": f.id[:0], "b": f.id[:0]})
-        key = f.key.iloc[0]
+    def pairs_of(left: pd.DataFrame, right: pd.DataFrame, key: int, same: bool) -> Iterator[tuple[int, np.ndarray]]:
+        """For each row of ``left`` the rows of ``right`` that it may be linked with, in another component."""
         sig, n, ids, comp = rows_of(right.sig), right.n.to_numpy(), right.id.to_numpy(), right.comp.to_numpy()
-        keys, sets = keys_of(sig), right.hashes.to_numpy()
-        a, b, done = [], [], set()
-        for r, own_keys, row, c, i, own in zip(rows_of(left.sig), keys_of(rows_of(left.sig)), left.n, left.comp, left.id, left.hashes, strict=True):
-            ok = (comp != c) & ((ids > i) | (lo != hi))
+        keys = keys_of(sig)
+        for k, (r, own_keys, row, c, i) in enumerate(zip(rows_of(left.sig), keys_of(rows_of(left.sig)), left.n, left.comp, left.id, strict=True)):
+            ok = (comp != c) & ((ids > i) | (not same)) & (100 * np.minimum(n, row) >= percent * np.maximum(n, row))
             # a pair is looked at in the first bucket that it shares, and nowhere else
-            same = (keys[ok] == own_keys) & (own_keys != 0)
-            first = same.argmax(axis=1)
-            ok[ok] = ~same.any(axis=1) | (own_keys[first] == key)
-            ok[ok] = close(np.broadcast_to(r, (ok.sum(), len(r))), sig[ok], np.full(ok.sum(), row), n[ok])
-            for j in np.flatnonzero(ok):  # one link joins two components
-                if (c, comp[j]) not in done and linked(own, sets[j], percent):
-                    done |= {(c, comp[j]), (comp[j], c)}
-                    a.append(min(i, ids[j]))
-                    b.append(max(i, ids[j]))
+            share = (keys[ok] == own_keys) & (own_keys != 0)
+            first = share.argmax(axis=1)
+            ok[ok] = ~share.any(axis=1) | (own_keys[first] == key)
+            if close is not None:
+                ok[ok] = close(np.broadcast_to(r, (ok.sum(), len(r))), sig[ok], np.full(ok.sum(), row), n[ok])
+            yield k, np.flatnonzero(ok)
+
+    def halves(f: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, bool]:
+        lo, hi = f.lo.iloc[0], f.hi.iloc[0]
+        return f[f.own == lo], f[f.own == hi], lo == hi
+
+    def near(f: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = halves(f)
+        found = [np.zeros(0, dtype=np.int64)]
+        mine = []
+        if len(left) and len(right):
+            for k, at in pairs_of(left, right, f.key.iloc[0], same):
+                if len(at):
+                    mine.append(k)
+                    found.append(at)
+        return pd.DataFrame({"id": pd.concat([left.id.iloc[mine], right.id.iloc[np.unique(np.concatenate(found))]])})
+
+    def join(f: pd.DataFrame) -> pd.DataFrame:
+        left, right, same = halves(f)
+        a, b, done = [], [], set()
+        if len(left) and len(right):
+            ids, comp, sets = right.id.to_numpy(), right.comp.to_numpy(), right.hashes.to_numpy()
+            for k, at in pairs_of(left, right, f.key.iloc[0], same):
+                i, c, own = left.id.iloc[k], left.comp.iloc[k], left.hashes.iloc[k]
+                for j in at:  # one link joins two components
+                    if (c, comp[j]) not in done and linked(own, sets[j], percent):
+                        done |= {(c, comp[j]), (comp[j], c)}
+                        a.append(min(i, ids[j]))
+                        b.append(max(i, ids[j]))
         return pd.DataFrame({"a": pd.Series(a, dtype=f.id.dtype), "b": pd.Series(b, dtype=f.id.dtype)})
 
     kind = items.schema["id"].dataType.simpleString()
-    return rows.groupBy("key", "lo", "hi").applyInPandas(run, f"a {kind}, b {kind}").distinct()
+    # sketches alone show which items have a close pair; the full sets of those go to their blocks
+    rows = dealt.join(items.select("id", "n", "sig").hint("merge"), "id")
+    wanted = materialise(rows.groupBy("key", "lo", "hi").applyInPandas(near, f"id {kind}").distinct(), "wanted")
+    full = materialise(sets_of(wanted), "sets")
+    out = materialise(rows.join(full.hint("merge"), "id").groupBy("key", "lo", "hi").applyInPandas(join, f"a {kind}, b {kind}").distinct(), "links")
+    discard(at, main, dealt, wanted, full)
+    return out
 
 
 def linked(x: bytes, y: bytes, percent: int) -> bool:
@@ -122,26 +159,35 @@ def linked(x: bytes, y: bytes, percent: int) -> bool:
 
 def _confirmed(pairs: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
     """Those of the (a, b) pairs whose full sets reach the threshold."""
-    full = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    # written, as both sides read it
+    full = materialise(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
     side = lambda x: full.select(F.col("id").alias(x), F.col("hashes").alias(f"h_{x}"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         mask = pa.array([linked(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True)], type=pa.bool_())
         yield {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
 
-    return arrow_map(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b"), run, pairs.schema)
+    return arrow_map(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "h_a", "h_b"), run, pairs.schema)
 
 
-def groups(items: DataFrame, postings: DataFrame, close: Close, keys_of: Keys, sets_of: Sets, percent: int, small: int = 24, block: int = 500) -> DataFrame:
+def groups(items: DataFrame, postings: DataFrame, close: Close | None, keys_of: Keys, sets_of: Sets, percent: int, small: int = 24, block: int = 500) -> DataFrame:
     """(node, component) for every item with a confirmed link.
 
-    ``items``: id, n, sig, one row for each id.  ``postings``: key, id.
+    ``items``: id, n, sig, one row for each id.  ``postings``: key, id, n.
+    Without ``close`` all candidates of fitting sizes are confirmed on their sets.
     """
-    first, many = _first_pairs(postings, small)
-    comps = components(materialise(_confirmed(materialise(_estimated(first, items, close), "pairs"), sets_of, percent), "links"))
+    shared = _buckets(postings)
+    pairs = materialise(_first_pairs(shared, small, block, percent), "candidates")
+    if close is not None:
+        candidates, pairs = pairs, materialise(_estimated(pairs, items, close), "pairs")
+        discard(candidates)
+    links = materialise(_confirmed(pairs, sets_of, percent), "links")
+    discard(pairs)
+    comps = materialise(components(links), "components")
+    many = shared.where(F.col("size") > small).select("key", "id")
     if many.isEmpty():
         return comps
-    more = materialise(_left_links(many, comps, items, block, close, keys_of, sets_of, percent), "links")
+    more = _left_links(many, comps, items, block, close, keys_of, sets_of, percent)
     if more.isEmpty():
         return comps
     # components that the blocks join

@@ -9,13 +9,17 @@ confirmed on their full sets.  Components of the confirmed links are the groups.
 Work in a bucket stays bounded however large it grows, see ``lsh``.
 
 Bands: 40 of 5 registers.  Two sets of similarity 0.8 share no band with a
-probability of 1.2e-7; sets of up to ``tiny`` shingles, where lent registers
+probability of 1.2e-7; sets of up to ``tiny`` (64) shingles, where lent registers
 make bands depend on each other, also meet by prefix keys, which miss nothing.
 
 Defined results: null or blank texts have an empty set, are linked with nothing
-and are kept.  Rows with the same ``doc_id`` count as one document.  A null
-``doc_id`` takes no part: null component, kept.  Of equal texts the smallest
-``doc_id`` is kept.
+and are kept.  Ties: of equal texts, as of a component, the smallest ``doc_id`` is
+kept.  Each row counts: repeated rows have equal results, and rows of one
+``doc_id`` with unlike texts are documents of their own that may lie in
+different components.  A null ``doc_id`` takes no part: null component, kept.
+Texts of any length are read whole, one at a time.  An empty table gives an
+empty table.  Other columns are not read, whatever their names;
+``drop_near_duplicates`` returns them as they are.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import hyperminhash as hmh
 from .hashing import shingles, words
@@ -45,7 +50,7 @@ def _sketches(docs: DataFrame, k: int, tiny: int, percent: int) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "text"):
-            out: dict[str, list] = {"doc_id": part.column("doc_id"), "n": [], "set_hash": [], "regs": [], "prefix": []}
+            out: dict[str, list] = {"doc_id": part.column("doc_id"), "text_hash": part.column("text_hash"), "n": [], "set_hash": [], "regs": [], "prefix": []}
             for text in part.column("text"):
                 s = _set_of(text.as_py(), k)
                 out["n"].append(len(s))
@@ -55,21 +60,21 @@ def _sketches(docs: DataFrame, k: int, tiny: int, percent: int) -> DataFrame:
                 out["prefix"].append(s[:need].view(np.int64).tolist() if 0 < len(s) <= tiny else None)
             yield out
 
-    return arrow_map(docs.select("doc_id", "text"), run, "doc_id bigint, n bigint, set_hash binary, regs binary, prefix array<bigint>")
+    return arrow_map(docs.select("doc_id", "text", "text_hash"), run, "doc_id bigint, text_hash bigint, n bigint, set_hash binary, regs binary, prefix array<bigint>")
 
 
 def _postings(reps: DataFrame) -> DataFrame:
-    """(key, id): band keys of every representative, and prefix keys of tiny sets."""
+    """(key, id, n): band keys of every representative, and prefix keys of tiny sets."""
     positions = hmh.band_positions(BANDS, ROWS)
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for i in range(0, batch.num_rows, 1024):
             part = batch.slice(i, 1024)
             regs = np.frombuffer(b"".join(part.column("regs").to_pylist()), dtype=np.uint16).reshape(-1, hmh.BUCKETS)
-            yield {"key": hmh.band_keys(regs, positions).ravel(), "id": np.repeat(part.column("doc_id").to_numpy(), BANDS)}
+            yield {"key": hmh.band_keys(regs, positions).ravel(), "id": np.repeat(part.column("id").to_numpy(), BANDS), "n": np.repeat(part.column("n").to_numpy(), BANDS)}
 
-    bands = arrow_map(reps.select("doc_id", "regs"), run, "key bigint, id bigint")
-    return bands.union(reps.select(F.explode("prefix").alias("key"), "doc_id"))
+    bands = arrow_map(reps.select("id", "n", "regs"), run, "key bigint, id bigint, n bigint")
+    return bands.union(reps.select(F.explode("prefix").alias("key"), "id", "n"))
 
 
 def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int) -> np.ndarray:
@@ -79,50 +84,67 @@ def _close(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, perce
     return (est >= low - 5 * np.sqrt(low * (1 - low) / np.maximum(used, 1))) & (100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b))
 
 
-def _sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(id, hashes): the full sets of some documents, made again from their texts."""
+def _sets(ids: DataFrame, where: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(id, hashes): the full sets of some classes, made again from the texts of their first documents."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "text"):
-            yield {"id": part.column("doc_id"), "hashes": [_set_of(t.as_py(), k).tobytes() for t in part.column("text")]}
+            yield {"id": part.column("id"), "hashes": [_set_of(t.as_py(), k).tobytes() for t in part.column("text")]}
 
-    return arrow_map(docs.select("doc_id", "text").join(ids, docs["doc_id"] == ids["id"], "left_semi"), run, "id bigint, hashes binary")
+    # the same plan at every size: the few ids are hashed beside the texts
+    wanted = ids.join(where.hint("merge"), "id")
+    rows = docs.join(wanted.hint("shuffle_hash"), ["doc_id", "text_hash"])
+    return arrow_map(rows.select("id", "text"), run, "id bigint, hashes binary").dropDuplicates(["id"])
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, small_bucket: int = 24, block: int = 500, tiny: int = 32) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of ``docs`` (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, small_bucket: int = 24, block: int = 500, tiny: int = 64) -> DataFrame:
+    """doc_id, text_hash, n_shingles, component_id, kept: one row for each row of ``docs`` (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     real = docs.where("doc_id is not null")
     sk = materialise(_sketches(real, shingle_words, tiny, percent), "sketches")
-    classes = sk.where("n > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"))
-    reps = materialise(sk.where("n > 0").select("doc_id", "n", "set_hash", "regs", "prefix").join(classes.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"], "left_semi").dropDuplicates(["doc_id", "set_hash"]), "reps")
+    place = F.struct("doc_id", "text_hash")
+    classes = materialise(sk.where("n > 0").groupBy("set_hash").agg(F.min(place).alias("rep")), "classes")
+    # a class has the smallest doc_id as its id; where unlike texts share one, the others get an id beyond all of those
+    lead = classes.groupBy("rep.doc_id").agg(F.min("set_hash").alias("lead"))
+    beyond = F.shiftright(F.xxhash64("set_hash").bitwiseAND(F.lit((1 << 63) - 1)), 1).bitwiseOR(F.lit(1 << 62))
+    classes = classes.select("set_hash", "rep", "rep.doc_id").join(lead.hint("merge"), "doc_id").select("set_hash", "rep", F.when(F.col("set_hash") == F.col("lead"), F.col("doc_id")).otherwise(beyond).alias("id"))
+    reps = sk.where("n > 0").select("doc_id", "text_hash", "n", "set_hash", "regs", "prefix").join(classes.hint("merge"), "set_hash").where("doc_id = rep.doc_id and text_hash = rep.text_hash")
+    reps = materialise(reps.select("id", "n", "doc_id", "text_hash", "set_hash", "regs", "prefix").dropDuplicates(["id"]), "reps")
 
-    items = reps.select(F.col("doc_id").alias("id"), "n", F.col("regs").alias("sig"))
     positions = hmh.band_positions(BANDS, ROWS)
-    comps = groups(items, _postings(reps), lambda a, b, n_a, n_b: _close(a, b, n_a, n_b, percent), lambda regs: hmh.band_keys(regs, positions), lambda ids: _sets(ids, real, shingle_words), percent, small_bucket, block)
-
-    of_class = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("set_hash", F.coalesce("component", "rep").alias("component"))
-    out = sk.select("doc_id", "n", "set_hash").join(of_class, "set_hash", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    where = reps.select("id", "doc_id", "text_hash")
+    comps = groups(reps.select("id", "n", F.col("regs").alias("sig")), _postings(reps), lambda a, b, n_a, n_b: _close(a, b, n_a, n_b, percent), lambda regs: hmh.band_keys(regs, positions), lambda ids: _sets(ids, where, real, shingle_words), percent, small_bucket, block)
+
+    of_class = reps.select("set_hash", "id", F.col("doc_id").alias("rep")).join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("set_hash", "rep", F.coalesce("component", "id").alias("component"))
+    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = materialise(of_class.join(least.hint("merge"), "component").select("set_hash", "component_id"), "components")
+    out = sk.select("doc_id", "text_hash", "n", "set_hash").join(of_class.hint("merge"), "set_hash", "left")
+    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     lost = docs.where("doc_id is null")
-    return out.union(arrow_map(lost, lambda batch: iter([{"doc_id": batch.column("doc_id"), "n_shingles": [len(_set_of(t.as_py(), shingle_words)) for t in batch.column("text")], "component_id": [None] * batch.num_rows, "kept": [True] * batch.num_rows}]), out.schema))
+    return out.union(arrow_map(lost, lambda batch: iter([{"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": [len(_set_of(t.as_py(), shingle_words)) for t in batch.column("text")], "component_id": [None] * batch.num_rows, "kept": [True] * batch.num_rows}]), out.schema))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that are not kept; all columns stay.
+    """``docs`` with one row of each component; all columns stay.
 
-    A document without words is kept.  Rows repeated with one ``doc_id`` stay once.
+    The row kept is that of the smallest doc_id, of the smallest hash of its text
+    where it has several texts, and of the smallest hash of all columns where
+    rows repeat with other values beside.  Rows without words or doc_id stay,
+    each doc_id and text once where there is a doc_id.
     """
-    lost = near_duplicates(docs, **options).where("not kept").select(F.col("doc_id").alias("__lost")).distinct()
-    kept = docs.join(lost, docs["doc_id"] == F.col("__lost"), "left_anti")
-    # the first of several rows with one id, so that equal rows leave one document
-    return kept.where("doc_id is null").union(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    rows = near_duplicates(docs, **options).where("kept and doc_id is not null")
+    # of a component; a document without words stands for itself
+    rows = rows.groupBy("doc_id", F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("blank")).agg(F.min("text_hash").alias("text_hash")).select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
+    at = (F.col("doc_id").cast("bigint") == F.col("__kept_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__kept_hash"))
+    same = Window.partitionBy("__kept_id", "__kept_hash").orderBy(F.xxhash64(*(c for c, kind in docs.dtypes if not kind.startswith("map"))))
+    kept = docs.join(rows.hint("shuffle_hash"), at).withColumn("__row", F.row_number().over(same)).where("__row = 1")
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, shingle_words=2)
+    return near_duplicates(docs, shingle_words=2).drop("text_hash")
 
 
 #: Exact links over full sets by a prefix filter on shingle order, then reachability.

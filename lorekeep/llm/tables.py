@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,21 +16,41 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Where the setting is absent (tests in local mode) a temporary folder is set.
+    Where the setting is absent a temporary folder is set, in local mode only:
+    on a cluster the executors would not see it.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The write's shuffle files are of no more use; Spark removes them once the
+    driver's garbage is collected, which is asked for here (``tidy``).
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if tidy:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that later written tables have replaced."""
+    for t in tables:
+        sc = t.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.written)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: T.StructType | str) -> DataFrame:
@@ -68,9 +89,11 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     """Connected components: (node, component) for every node with an edge; the smallest id is the component.
 
     Alternates large-star and small-star steps on the edge list, so the work of a
-    round is one shuffle by node whatever the degree, and hubs are spread by
-    pre-aggregated minima.  Rounds grow with the logarithm of the diameter.
-    Lineage is cut by a written table in each round.
+    round is one shuffle by node whatever the degree.  Minima are aggregated
+    before the shuffle and written, so that both sides of the joins by node are
+    plain shuffles, of which Spark splits a hub's partition.  Rounds grow with
+    the logarithm of the diameter.  Lineage is cut by written tables in each
+    round; the round before is deleted.
     """
     e = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a <> b")
     e = materialise(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
@@ -78,12 +101,13 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     for _ in range(max_rounds):
         # large star: larger neighbours of u hang on the smallest neighbour of u
         both = e.union(e.select(F.col("b"), F.col("a")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        e = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "minima", False)
+        larger = materialise(both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct(), "edges", False)
+        discard(e, low)
         # small star: smaller neighbours and u itself hang on the smallest of them
-        low = e.groupBy("a").agg(F.min("b").alias("low"))
-        e = e.join(low, "a").select(F.explode(F.array(F.struct("a", "low"), F.struct(F.col("b").alias("a"), "low"))).alias("s")).select(F.col("s.a").alias("a"), F.col("s.low").alias("b")).where("a <> b").distinct()
-        e = materialise(e, "edges")
+        low = materialise(larger.groupBy("a").agg(F.min("b").alias("low")), "minima", False)
+        e = materialise(larger.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct("a", "low"), F.struct(F.col("b").alias("a"), "low"))).alias("s")).select(F.col("s.a").alias("a"), F.col("s.low").alias("b")).where("a <> b").distinct(), "edges", False)
+        discard(larger, low)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
