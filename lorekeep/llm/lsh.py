@@ -80,8 +80,8 @@ def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int,
     """Links between members of large buckets that the first links leave in different components: one for each two of them in a block."""
     # an item has a fixed number of keys: it meets its component once, not once for each key
     per_item = many.groupBy("id").agg(F.collect_list("key").alias("keys"))
-    at = per_item.join(comps.withColumnRenamed("node", "id"), "id", "left").select(F.explode("keys").alias("key"), "id", F.coalesce("component", "id").alias("comp"))
-    at = materialise(at, "placed")  # read by counts, blocks and sets
+    placed = per_item.join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(items.select("id", "n", "sig").hint("merge"), "id")
+    at = materialise(placed.select(F.explode("keys").alias("key"), "id", F.coalesce("component", "id").alias("comp"), "n", "sig"), "placed")  # read by counts and blocks
     counts = at.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.max("c").alias("n_main"), F.sum("c").alias("n_all")).where("n_main < n_all")
     main = materialise(main, "main")
@@ -94,8 +94,8 @@ def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int,
         F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("lo"), F.greatest(F.col("own"), j).alias("hi"))),
     )
     of_main = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda j: F.struct(j.alias("lo"), (F.col("s") + F.col("own")).alias("hi")))
-    dealt = dealt.select("key", "id", "comp", F.explode(F.when(F.col("stray"), of_stray).otherwise(of_main)).alias("blk"), F.when(F.col("stray"), F.col("own")).otherwise(F.col("s") + F.col("own")).alias("own"))
-    dealt = materialise(dealt.select("key", "id", "comp", F.col("blk.lo").alias("lo"), F.col("blk.hi").alias("hi"), "own"), "dealt")
+    dealt = dealt.select("key", "id", "comp", "n", "sig", F.explode(F.when(F.col("stray"), of_stray).otherwise(of_main)).alias("blk"), F.when(F.col("stray"), F.col("own")).otherwise(F.col("s") + F.col("own")).alias("own"))
+    dealt = materialise(dealt.select("key", "id", "comp", "n", "sig", F.col("blk.lo").alias("lo"), F.col("blk.hi").alias("hi"), "own"), "dealt")
 
     def pairs_of(left: pd.DataFrame, right: pd.DataFrame, key: int, same: bool) -> Iterator[tuple[int, np.ndarray]]:
         """For each row of ``left`` the rows of ``right`` that it may be linked with, in another component."""
@@ -142,10 +142,9 @@ def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int,
 
     kind = items.schema["id"].dataType.simpleString()
     # sketches alone show which items have a close pair; the full sets of those go to their blocks
-    rows = dealt.join(items.select("id", "n", "sig").hint("merge"), "id")
-    wanted = materialise(rows.groupBy("key", "lo", "hi").applyInPandas(near, f"id {kind}").distinct(), "wanted")
+    wanted = materialise(dealt.groupBy("key", "lo", "hi").applyInPandas(near, f"id {kind}").distinct(), "wanted")
     full = materialise(sets_of(wanted), "sets")
-    out = materialise(rows.join(full.hint("merge"), "id").groupBy("key", "lo", "hi").applyInPandas(join, f"a {kind}, b {kind}").distinct(), "links")
+    out = materialise(dealt.join(full.hint("merge"), "id").groupBy("key", "lo", "hi").applyInPandas(join, f"a {kind}, b {kind}").distinct(), "links")
     discard(at, main, dealt, wanted, full)
     return out
 

@@ -116,7 +116,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     comps = groups(reps.select("id", "n", F.col("regs").alias("sig")), _postings(reps), lambda a, b, n_a, n_b: _close(a, b, n_a, n_b, percent), lambda regs: hmh.band_keys(regs, positions), lambda ids: _sets(ids, where, real, shingle_words), percent, small_bucket, block)
 
     of_class = reps.select("set_hash", "id", F.col("doc_id").alias("rep")).join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("set_hash", "rep", F.coalesce("component", "id").alias("component"))
-    least = of_class.groupBy("component").agg(F.min("rep").alias("component_id"))
+    least = materialise(of_class.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
     of_class = materialise(of_class.join(least.hint("merge"), "component").select("set_hash", "component_id"), "components")
     out = sk.select("doc_id", "text_hash", "n", "set_hash").join(of_class.hint("merge"), "set_hash", "left")
     out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
