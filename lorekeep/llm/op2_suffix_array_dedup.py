@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .hashing import _BASE, _BASE_INV, U64, _powers, mix, shingles, words
-from .tables import arrow_map, materialise, slices
+from .tables import arrow_map, discard, materialise, slices
 
 K, WINDOW = 8, 40
 LEFT = WINDOW - 1
@@ -91,7 +91,8 @@ def _suffixes(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
             yield {"right": _binary(x[:, LEFT:]), "left": _binary(x[:, :LEFT]), "doc_id": ids, "pos": at[:, 0], "near": at[:, 1], "far": at[:, 2]}
 
     lists = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "near", "far")).alias("places")).withColumnRenamed("doc_id", "__id")
-    return arrow_map(docs.join(lists, F.col("doc_id") == F.col("__id")).select("doc_id", "text", "places"), run, "right binary, left binary, doc_id bigint, pos int, near int, far int")
+    # the same plan at every size
+    return arrow_map(docs.join(lists.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "places"), run, "right binary, left binary, doc_id bigint, pos int, near int, far int")
 
 
 def _common(right: np.ndarray) -> np.ndarray:
@@ -141,14 +142,15 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     seeds = materialise(_seeds(docs, min_words), "seeds")
     # written, so that the join's sides are plain shuffles and a hot key's rows are dealt anew
     often = materialise(seeds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
-    suffixes = _suffixes(docs, seeds.join(often, "key").select("doc_id", "pos", "near", "far"), min_words)
+    suffixes = _suffixes(docs, seeds.join(often.hint("merge"), "key").select("doc_id", "pos", "near", "far"), min_words)
     order = ["right", "doc_id", "pos"]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     passages = materialise(_passages(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order), min_words), "passages")
+    discard(seeds, often)
     # the smallest place of each run
     runs = passages.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first <> last")
     runs = materialise(runs.select("key", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "runs")
-    later = passages.join(runs, "key").where("doc_id <> first_doc_id or start <> first_start").select("doc_id", "start", "first_doc_id")
+    later = passages.join(runs.hint("merge"), "key").where("doc_id <> first_doc_id or start <> first_start").select("doc_id", "start", "first_doc_id")
     # overlapping passages of a document become one span
     by = Window.partitionBy("doc_id").orderBy("start")
     new = F.coalesce(F.col("start") > F.lag("start").over(by) + min_words, F.lit(True))
