@@ -17,9 +17,12 @@ tells whether the slot lies before the first slot that passed empty.
 Default weights: ``count ** alpha`` of each source (alpha 0.5 lifts small sources),
 rounded to shares of at least one slot by largest remainders.
 
-Defined results: a null source is a source of its own.  Null and empty texts
-count as documents.  Documents of equal doc_id stand side by side, ordered by
-the hash of their text.  More sources than ``period`` is an error.
+Defined results: a null source is a source of its own.  Null, empty and very long
+texts count as one document each (only a hash of the text is carried).  Ties: documents of equal doc_id, null among them, stand side
+by side, ordered by the hash of their text; repeated rows each get a place of their own.  More sources
+than a quarter of ``period`` lengthen the period; more than ``MAX_SOURCES`` is an error.  An
+empty table gives an empty table.  Other columns are not read; ``mixed`` returns
+them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 PERIOD, BLOCK, ALPHA = 1000, 64, 0.5
+#: Sources are names of streams; their weights and one period's slots are held by the driver.
+MAX_SOURCES = 100_000
 
 
 def shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
@@ -67,17 +72,17 @@ def schedule(share: dict[str, int], period: int = PERIOD) -> list[tuple[str, int
     return out
 
 
-def _with_rank(docs: DataFrame, rows: int) -> DataFrame:
+def _with_rank(docs: DataFrame, sized: DataFrame, rows: int) -> DataFrame:
     """``docs`` with ``__rank`` (from 0) of each document in its source ``__source``, by hash of doc_id.
 
     Sources are cut into ranges of the hash of about ``rows`` documents, so no
     window holds a whole source; ranges' counts give where each range begins.
+    ``sized`` has ``__n`` of each source, as many rows as there are sources.
     """
     h = F.xxhash64(F.col("doc_id"))
-    sized = docs.groupBy("__source").agg(F.count(F.lit(1)).alias("__n"))
     # the hash as a fraction of its range, cut into as many ranges as the source needs
     part = F.floor((h.cast("double") / 2.0**64 + 0.5) * F.ceil(F.col("__n") / rows)).cast("long")
-    dealt = docs.join(sized, "__source").withColumn("__part", part).withColumn("__h", h).drop("__n")
+    dealt = docs.join(F.broadcast(sized), "__source").withColumn("__part", part).withColumn("__h", h).drop("__n")
     order = W.Window.partitionBy("__source").orderBy("__part").rowsBetween(W.Window.unboundedPreceding, -1)
     begins = dealt.groupBy("__source", "__part").agg(F.count(F.lit(1)).alias("__c")).select("__source", "__part", F.coalesce(F.sum("__c").over(order), F.lit(0)).alias("__begin"))
     inside = W.Window.partitionBy("__source", "__part").orderBy("__h", "doc_id", "__text_hash")
@@ -90,7 +95,10 @@ def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, period:
     spark = docs.sparkSession
     key = F.when(F.col("source").isNull(), "-").otherwise(F.concat(F.lit("+"), F.col("source")))
     narrow = docs.select("doc_id", key.alias("__source"), F.xxhash64("text").alias("__text_hash"))
-    counts = {r[0]: r[1] for r in narrow.groupBy("__source").count().limit(period + 1).collect()}
+    counts = {r[0]: r[1] for r in narrow.groupBy("__source").count().limit(MAX_SOURCES + 1).collect()}
+    if len(counts) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: the schedule is computed on the driver")
+    period = max(period, 4 * len(counts))  # many sources: a longer period, so that each gets slots
     share = shares({k: n**alpha for k, n in counts.items()} if weights is None else {k: weights.get(k[1:] if k != "-" else None, 0.0) for k in counts}, period)
     # the first slot that passes empty: the earliest slot that a source would need after its last block
     plan = schedule(share, period)
@@ -98,7 +106,8 @@ def mix_order(docs: DataFrame, weights: dict[str, float] | None = None, period:
     empty = min((b // share[k] * period + slot_of[k, b % share[k]] for k, n in counts.items() for b in [-(-n // block)]), default=0)
     table = spark.createDataFrame([(k, i, slot, share[k]) for k, i, slot in plan], T.StructType.fromDDL("__source string, __i int, __slot int, __share int"))
     per_source = F.broadcast(table.select("__source", "__share").distinct())
-    ranked = _with_rank(narrow, range_rows).join(per_source, "__source").withColumn("block", F.floor(F.col("__rank") / block).cast("long"))
+    sized = spark.createDataFrame(list(counts.items()), "__source string, __n long")
+    ranked = _with_rank(narrow, sized, range_rows).join(per_source, "__source").withColumn("block", F.floor(F.col("__rank") / block).cast("long"))
     ranked = ranked.withColumn("__i", (F.col("block") % F.col("__share")).cast("int"))
     placed = ranked.join(F.broadcast(table.drop("__share")), ["__source", "__i"])
     slot = F.floor(F.col("block") / F.col("__share")) * period + F.col("__slot")
@@ -110,7 +119,7 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     order = mix_order(docs, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.struct("slot", "place").alias("__at"))
     # rows equal in doc_id and text stand at the first of their places
     order = order.groupBy("__id", "__hash").agg(F.min("__at").alias("__at"))
-    placed = docs.join(order, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")))
+    placed = docs.join(order.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")))
     return placed.orderBy("__at.slot", "__at.place").select(*docs.columns)
 
 
