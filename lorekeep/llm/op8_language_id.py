@@ -7,14 +7,20 @@ Embeddings and softmax are trained together by stochastic gradient descent in
 numpy.  For prediction both collapse into one table of logits for each bucket.
 
 Training uses text and non-null lang of rows whose crc32(doc_id as text) mod 3
-is not 1: at most ``PER_LANG`` rows of each language, those of the smallest hash
-of doc_id, and ``MAX_ROWS`` in all (documented bounds).  A fifth of them is held
+is not 1: the ``max_langs`` commonest languages, at most ``per_lang`` rows of each,
+those of the smallest hash of doc_id, and ``max_rows`` in all (parameters of ``fit``).
+Rows are counted by language first, so that only hashes low enough to be among the smallest
+are ranked.  A fifth of them is held
 back from training to calibrate: a temperature that minimises their log-loss, and the score
 below which a prediction is rejected (``accepted`` false), set so that at most
 ``MAX_ERROR`` of what is accepted there is wrong.
 
-Defined results: ``und`` with score 0 for a null text or one without a letter.
-Without any row to learn from all are ``und``.
+Defined results: ``und`` with score 0 for a null or empty text or one without a
+letter.  Without any row to learn from all are ``und``; so is an empty table's
+nothing.  Ties: of equally likely languages the first by name; of equal hashes the
+smaller doc_id is learned from.  Repeated rows have equal results; rows of a null
+doc_id are predicted, not held out and not learned from.  Texts are read
+whole, about 1 MB (one text at least) at a time.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql.window import Window
 from .tables import arrow_map, slices
 
 BUCKETS, DIM = 1 << 15, 12
-PER_LANG, MAX_ROWS = 400, 4000
+PER_LANG, MAX_ROWS, MAX_LANGS = 400, 4000, 1000
 MAX_ERROR = 0.005
 _TO = np.arange(256, dtype=np.uint8)
 _TO[:128] = [ord(c.lower()) if (c := chr(i)).isalpha() else 32 for i in range(128)]
@@ -52,8 +58,8 @@ def grams(raw: np.ndarray) -> np.ndarray:
 
 
 def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their shares."""
-    c = np.bincount(grams(np.frombuffer((" " + text.lower() + " ").encode("utf-8", "surrogatepass"), dtype=np.uint8)).ravel(), minlength=BUCKETS)
+    """Buckets of a lower-cased text and their shares."""
+    c = np.bincount(grams(np.frombuffer((" " + text + " ").encode("utf-8", "surrogatepass"), dtype=np.uint8)).ravel(), minlength=BUCKETS)
     c[0] = 0
     at = np.flatnonzero(c)
     return at.astype(np.int32), (c[at] / max(1, c.sum())).astype(np.float32)
@@ -105,20 +111,25 @@ def _held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame) -> dict | None:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> dict | None:
     """The model, from bounded samples of each language."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).where(F.col("text").rlike(r"\p{L}"))
     h = F.xxhash64("doc_id")
+    sized = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    # the smallest per_lang of n hashes lie below four times their share of the range, but for a chance of nothing
+    low = [(r.lang, 2**63 - 1 if r.n <= 4 * per_lang else int(-(2**63) + 4 * per_lang / r.n * 2**64)) for r in sized]
+    below = docs.sparkSession.createDataFrame(low, "__lang string, __below long")
     # ids first, so that texts don't go through the window
-    ids = rows.select(F.col("doc_id").alias("__id"), "lang").withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("__id"), "__id")))
-    ids = ids.where(F.col("__r") <= PER_LANG).orderBy("__r", "lang").limit(MAX_ROWS).select("__id").distinct()
-    chosen = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", "text", "lang", h.alias("h"))
+    near = rows.select(F.col("doc_id").alias("__id"), "lang").join(F.broadcast(below), F.col("lang") == F.col("__lang")).where(F.xxhash64("__id") <= F.col("__below"))
+    ids = near.withColumn("__r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("__id"), "__id")))
+    ids = ids.where(F.col("__r") <= per_lang).orderBy("__r", "lang").limit(max_rows).select("__id").distinct()
+    chosen = rows.join(F.broadcast(ids), F.col("doc_id") == F.col("__id"), "left_semi").select("doc_id", F.lower("text").alias("text"), "lang", h.alias("h"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         made = [counts(t) for t in batch.column("text").to_pylist()]
         yield {"h": batch.column("h"), "lang": batch.column("lang"), "at": [a.astype("<i4").tobytes() for a, _ in made], "share": [s.tobytes() for _, s in made]}
 
-    got = sorted(arrow_map(chosen, run, "h bigint, lang string, at binary, share binary").limit(MAX_ROWS).collect())
+    got = sorted(arrow_map(chosen, run, "h bigint, lang string, at binary, share binary").limit(max_rows).collect())
     langs = sorted({r.lang for r in got})
     if not langs:
         return None
