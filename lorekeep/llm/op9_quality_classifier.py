@@ -17,7 +17,9 @@ Selection keeps a document when its tail probability reaches ``keep_from``.
 Defined results: a null or empty text has only the bias and scores as such;
 labels without a document, of null grade, or of a null doc_id are not used; of
 several labels for one document the lowest grade counts; without any label
-every document is kept with a null score.
+every document is kept with a null score.  Ties and repeated rows: equal texts have equal
+scores, a probability equal to ``keep_from`` keeps.  Texts are read whole, one at a time.  An empty table
+gives an empty table.  Other columns are not read and stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -146,17 +148,23 @@ def _scores(model: dict) -> Column:
     return run
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """``docs`` that the classifier keeps, with a struct column ``__quality`` (expected_grade, p_top, p_not_lowest)."""
+def graded_quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` with a struct column ``__quality`` (expected_grade, p_top, p_not_lowest, kept) in place of one of that name."""
+    docs = docs.drop("__quality")
     model = train(docs, labels, fit_rows)
     if model is None:
-        return docs.withColumn("__quality", F.lit(None).cast("struct<expected_grade:double,p_top:double,p_not_lowest:double>"))
+        return docs.withColumn("__quality", F.lit(None).cast("struct<expected_grade:double,p_top:double,p_not_lowest:double>")).withColumn("__quality", F.struct("__quality.*", F.lit(True).alias("kept")))
     scored = docs.withColumn("__quality", _scores(model)(F.col("text").cast("string")))
-    return scored.where(F.col("__quality.p_top") >= keep_from)
+    return scored.withColumn("__quality", F.struct("__quality.*", (F.col("__quality.p_top") >= keep_from).alias("kept")))
+
+
+def select_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` that the classifier keeps; all columns stay."""
+    return graded_quality(docs.withColumnRenamed("__quality", "__own"), labels, **options).where("__quality.kept").drop("__quality").withColumnRenamed("__own", "__quality")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents selected over the whole table, with expected grade and tail probability."""
+    """Every document of the whole table with expected grade, tail probability and whether it is kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return select_quality(docs.select("doc_id", "text"), labels).select("doc_id", F.col("__quality.expected_grade").alias("expected_grade"), F.col("__quality.p_top").alias("p_good"))
+    return graded_quality(docs.select("doc_id", "text"), labels).select("doc_id", F.col("__quality.expected_grade").alias("expected_grade"), F.col("__quality.p_top").alias("p_good"), F.col("__quality.kept").alias("kept"))
