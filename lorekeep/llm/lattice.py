@@ -1,9 +1,10 @@
 """Unigram lattices over words, for many words at once, with numpy.
 
-A vocabulary of scored pieces is a byte trie (an Aho-Corasick automaton cut at
-word starts: every match that begins at a position is enumerated by one walk of
-goto steps, all positions walking together).  Pieces never run across the start
-of a space run or over a line feed, so a text's lattice falls apart into units
+A vocabulary of scored pieces is an Aho-Corasick automaton over bytes: failure links
+are compiled into its transitions, and output links lead from a state to the
+pieces that end there too.  One pass over the bytes enumerates every match;
+many units, and pieces of long ones, pass side by side.  Pieces never run across the start
+of a space run or over a line feed (``Vocabulary.read`` raises if one does), so a text's lattice falls apart into units
 ``" *[^ ]*"`` and single line feeds, and equal units share one lattice.
 
 Characters without a piece of their own become byte pieces (byte fallback).
@@ -20,6 +21,7 @@ from .hashing import range_hashes
 
 SPACE = 0xFF  # stands for the word mark; never a byte of UTF-8
 MARK = "▁"
+LANE = 256
 
 
 @dataclass
@@ -31,11 +33,12 @@ class Vocabulary:
     scores: np.ndarray
     byte_ids: np.ndarray  # the id of each byte piece
     unknown: float  # the score of a character without a piece
-    _trie: tuple | None = field(default=None, repr=False)
+    _automaton: tuple | None = field(default=None, repr=False)
 
     @classmethod
     def read(cls, path: str) -> Vocabulary:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces, ids, scores, byte_ids = [], [], [], np.full(256, -1, dtype=np.int64)
@@ -46,29 +49,46 @@ class Vocabulary:
                 pieces.append(sp.id_to_piece(i).replace(MARK, "\0").encode().replace(b"\0", bytes([SPACE])))
                 ids.append(i)
                 scores.append(sp.get_score(i))
+        model = sentencepiece_model_pb2.ModelProto()
+        model.ParseFromString(sp.serialized_model_proto())
+        if model.normalizer_spec.precompiled_charsmap or model.normalizer_spec.remove_extra_whitespaces or not model.normalizer_spec.escape_whitespaces:
+            raise ValueError(f"{path} changes texts before it cuts them")
+        if (byte_ids < 0).any():
+            raise ValueError(f"{path} has no byte pieces for unknown characters")
+        for p in pieces:
+            if bytes([SPACE]) in p.lstrip(bytes([SPACE])) or b"\n" in p and len(p) > 1:
+                raise ValueError(f"{path} has a piece {p!r} that runs over the end of a word or line")
         # files of merge rules give a very low score to pieces that no rule makes; they come last here
         floor = min(s for s in scores if s > -1e8) - 10.0
         return cls(pieces, np.array(ids), np.maximum(np.array(scores, dtype=np.float64), floor), byte_ids, floor - 10.0)
 
-    def trie(self) -> tuple[np.ndarray, np.ndarray]:
-        """(next state of each state << 8 | byte, 0 for none; the piece that ends in each state, or -1)."""
-        if self._trie is None:
-            states: dict[bytes, int] = {b"": 0}
-            for p in self.pieces:
-                for j in range(1, len(p) + 1):
-                    states.setdefault(p[:j], len(states))
-            goto = np.zeros(len(states) << 8, dtype=np.uint16 if len(states) < 1 << 16 else np.uint32)
-            for p, s in states.items():
+    def automaton(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Next state of each state and byte, the piece that ends in each state (or -1), its output link (0: none), and sizes of pieces."""
+        if self._automaton is None:
+            prefixes = sorted({p[:j] for p in self.pieces for j in range(len(p) + 1)}, key=len)
+            number = {p: i for i, p in enumerate(prefixes)}
+            n = len(prefixes)
+            follow = np.zeros((n, 256), dtype=np.uint16 if n < 1 << 16 else np.uint32)
+            parent, last = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            for p, i in number.items():
                 if p:
-                    goto[states[p[:-1]] << 8 | p[-1]] = s
-            piece = np.full(len(states), -1, dtype=np.int32)
+                    parent[i], last[i] = number[p[:-1]], p[-1]
+                    follow[parent[i], last[i]] = i
+            piece = np.full(n, -1, dtype=np.int32)
             for i, p in enumerate(self.pieces):
-                piece[states[p]] = i
-            self._trie = goto, piece
-        return self._trie
+                piece[number[p]] = i
+            fail, link = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+            depth = np.array([len(p) for p in prefixes])
+            for d in range(1, depth[-1] + 1):  # a failure link leads to a shallower state, whose transitions are complete
+                s = np.arange(*np.searchsorted(depth, [d, d + 1]))
+                fail[s] = follow[fail[parent[s]], last[s]] if d > 1 else 0
+                link[s] = np.where(piece[fail[s]] >= 0, fail[s], link[fail[s]])
+                follow[s] = np.where(follow[s] > 0, follow[s], follow[fail[s]])
+            self._automaton = follow.ravel(), piece, link, np.array([len(p) for p in self.pieces], dtype=np.int32)
+        return self._automaton
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_trie": None}
+        return self.__dict__ | {"_automaton": None}
 
 
 def units(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -109,42 +129,56 @@ class Lattice:
     offset: np.ndarray  # of each byte in its unit
 
 
+def matches(vocab: Vocabulary, own: np.ndarray, heads: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Starts, ends and pieces of all matches in units that lie end to end.
+
+    Units longer than ``LANE`` bytes pass in lanes, each of which begins as many
+    bytes early as the longest piece has: its state is then that of a pass over the whole unit.
+    """
+    follow, piece, link, size = vocab.automaton()
+    sizes = np.diff(heads)
+    lanes = np.maximum(1, -(-sizes // LANE))
+    unit = np.repeat(np.arange(len(sizes)), lanes)
+    first = heads[unit] + LANE * (np.arange(len(unit)) - np.repeat(np.cumsum(lanes) - lanes, lanes))
+    stop = np.minimum(first + LANE, heads[unit + 1])
+    start = np.maximum(first - int(size.max(initial=0)), heads[unit])
+    order = np.argsort(start - stop, kind="stable")  # longest first
+    first, stop, start = first[order], stop[order], start[order]
+    width = stop - start
+    state = np.zeros(len(unit), dtype=np.int64)
+    for j in range(int(width[0]) if len(width) else 0):
+        live = int(np.searchsorted(-width, -j))  # lanes of more than j bytes
+        at = start[:live] + j
+        state[:live] = follow[state[:live] << 8 | own[at]]
+        s = state[:live]
+        s = np.where(piece[s] >= 0, s, link[s])
+        s[at < first[:live]] = 0
+        hit = np.flatnonzero(s)
+        s, z = s[hit], at[hit] + 1
+        while len(s):
+            yield z - size[piece[s]], z, piece[s]
+            s = link[s]
+            more = np.flatnonzero(s)
+            s, z = s[more], z[more]
+
+
 def build(vocab: Vocabulary, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Lattice:
-    goto, piece = vocab.trie()
     sizes = (ends - starts).astype(np.int32)
     heads = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     total = int(heads[-1])
     offset = np.arange(total, dtype=np.int32) - np.repeat(heads[:-1], sizes)
     own = b[np.repeat(starts.astype(np.int32), sizes) + offset]
     stop = np.repeat(heads[1:], sizes)
-    is_char = (own & 0xC0) != 0x80
-    char_at = np.flatnonzero(is_char).astype(np.int32)
-    char_end = np.append(char_at[1:], np.int32(total))
-    char_end = np.minimum(char_end, stop[char_at])
-    single = np.zeros(total, dtype=bool)
+    char_at = np.flatnonzero((own & 0xC0) != 0x80).astype(np.int32)
+    char_end = np.minimum(np.append(char_at[1:], np.int32(total)), stop[char_at])
     width = np.zeros(total, dtype=np.int32)
     width[char_at] = char_end - char_at
-    A, Z, N = [], [], []
-    at, end = char_at, char_at + 1
-    state = goto[own[at]].astype(np.int32)
-    while len(at):
-        live = state > 0
-        at, end, state = at[live], end[live], state[live]
-        got = piece[state]
-        hit = got >= 0
-        A.append(at[hit])
-        Z.append(end[hit])
-        N.append(got[hit])
-        single[at[hit & (end - at == width[at])]] = True
-        more = end < stop[at]
-        at, end, state = at[more], end[more], state[more]
-        state = goto[state << 8 | own[end]].astype(np.int32)
-        end = end + 1
+    found = [(np.zeros(0, dtype=np.int32),) * 3, *matches(vocab, own, heads)]
+    a, z, n = (np.concatenate(x).astype(np.int32) for x in zip(*found, strict=True))
+    single = np.zeros(total, dtype=bool)
+    single[a[z - a == width[a]]] = True
     lone = char_at[~single[char_at]]
-    A.append(lone)
-    Z.append(lone + width[lone])
-    N.append(np.full(len(lone), -1, dtype=np.int32))
-    a, z, n = np.concatenate(A), np.concatenate(Z), np.concatenate(N)
+    a, z, n = np.concatenate([a, lone]), np.concatenate([z, lone + width[lone]]), np.concatenate([n, np.full(len(lone), -1, dtype=np.int32)])
     return Lattice(own, heads, a, z, n, np.where(n >= 0, vocab.scores[n], vocab.unknown), offset)
 
 

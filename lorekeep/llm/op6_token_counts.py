@@ -1,14 +1,18 @@
 """Token counts by a count-only Viterbi over a unigram vocabulary.
 
-Every match of a vocabulary piece is enumerated by trie walks from each
-character (``lattice.build``), and dynamic programming carries the best score
+Every match of a vocabulary piece is enumerated by an Aho-Corasick automaton with
+failure and output links (``lattice.matches``), and dynamic programming carries the best score
 and its piece count; no segmentation is stored.  Ties follow the tokenizer:
 a node takes a new path only if it is strictly better.  Scores are summed in
 double precision within a unit (a word with its leading spaces, or a line
 feed), where the tokenizer's single precision is exact too.
 
 Defined results: a null or empty text has 0 pieces and score 0.  A character
-without a piece counts its UTF-8 bytes (byte fallback).
+without a piece counts its UTF-8 bytes (byte fallback).  Repeated rows have equal counts;
+a null doc_id is counted as any other.  Texts are read whole, about 1 MB (one text at least) at a
+time; a long text without spaces is one unit and takes a numpy step for each of its characters.
+An empty table gives an empty table.  Other columns are not read, whatever their names.
+A vocabulary whose pieces run over word or line ends, or that changes texts first, is an error.
 """
 
 from __future__ import annotations
