@@ -21,11 +21,14 @@ Defined results: a null or empty text has one empty segmentation, of
 log-probability 0 and log-inclusion 0.  A text with fewer than ``k`` segmentations
 returns all it has; what has less than 1e-13 of its
 place's probability counts as none (double precision).  A null doc_id has the key 0.
+Ties are left to the random numbers, which do not repeat within a row.  Rows equal in doc_id and text have equal samples.
+Texts are read whole, about 0.5 MB (one text at least) at a time; a long text without spaces is one
+unit and takes a numpy step for each of its characters.  An empty table gives an empty table.  Other
+columns are not read, whatever their names, but for those of ``keep``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
@@ -36,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .hashing import U64, mix
-from .lattice import MARK, SPACE, Sampler, Vocabulary, build, distinct, sampler, units
+from .lattice import SPACE, Sampler, Vocabulary, build, distinct, sampler, units
 from .tables import arrow_map, slices
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
@@ -308,23 +311,21 @@ class Path:
 SCHEMA = "doc_id bigint, sample int, n_pieces int, log_prob double, log_inclusion double, ids array<int>, text string"
 
 
-def sample_segmentations(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, tokenizer: str = TOKENIZER, digest: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def sample_segmentations(docs: DataFrame, k: int = SAMPLES, theta: float = THETA, tokenizer: str = TOKENIZER, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each sample: doc_id, sample, n_pieces, log_prob, log_inclusion, ids and the decoded text.
 
-    With ``digest`` SHA-256 of the ids (little-endian int32) and whether decoding gives the text back take their place.
     Columns of ``docs`` named in ``keep`` follow.
     """
     vocab = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(tokenizer))
-    schema = SCHEMA if not digest else "doc_id bigint, sample int, n_pieces int, log_prob double, log_inclusion double, ids_sha256 string, round_trip boolean"
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         encode, decode = Encoder(vocab.value, k, theta), Decoder(vocab.value)
         for part in slices(batch, "text", 1 << 19):
             doc_ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
-            out: dict[str, list] = {c.split()[0]: [] for c in schema.split(", ")}
+            out: dict[str, list] = {c.split()[0]: [] for c in SCHEMA.split(", ")}
             rows: list[int] = []
             keys = np.array([x or 0 for x in doc_ids], dtype=np.int64)
-            for row, (doc_id, text, samples) in enumerate(zip(doc_ids, texts, encode(keys, texts), strict=True)):
+            for row, (doc_id, samples) in enumerate(zip(doc_ids, encode(keys, texts), strict=True)):
                 rows += [row] * len(samples)
                 for n, (ids, log_p, inclusion) in enumerate(samples):
                     out["doc_id"].append(doc_id)
@@ -332,17 +333,14 @@ def sample_segmentations(docs: DataFrame, k: int = SAMPLES, theta: float = THETA
                     out["n_pieces"].append(len(ids))
                     out["log_prob"].append(log_p)
                     out["log_inclusion"].append(inclusion)
-                    if digest:
-                        out["ids_sha256"].append(hashlib.sha256(ids.astype("<i4").tobytes()).hexdigest())
-                        out["round_trip"].append(decode(ids) == (text or "").replace(MARK, " "))
-                    else:
-                        out["ids"].append(ids)
-                        out["text"].append(decode(ids))
+                    out["ids"].append(ids)
+                    out["text"].append(decode(ids))
             yield out | {c: part.column(c).take(pa.array(rows, type=pa.int64())) for c in keep}
 
-    target = T.StructType([*T.StructType.fromDDL(schema), *docs.select(*keep).schema])
+    target = T.StructType([*T.StructType.fromDDL(SCHEMA), *docs.select(*keep).schema])
     return arrow_map(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *keep), run, target)
 
 
 def op7_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sample_segmentations(spark.read.parquet(f"{sf_dir}/documents.parquet"), digest=True)
+    """Samples of every whole text: piece ids, the decoded text and their probabilities."""
+    return sample_segmentations(spark.read.parquet(f"{sf_dir}/documents.parquet"))
