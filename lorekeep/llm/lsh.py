@@ -29,7 +29,7 @@ PIVOTS = 2
 Close = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 #: sketches -> band keys of each; 0 is no key
 Keys = Callable[[np.ndarray], np.ndarray]
-#: table of ids -> (id, hashes): full sets as ascending 64-bit hashes
+#: table of ids -> (id, hashes): full sets as ascending hashes
 Sets = Callable[[DataFrame], DataFrame]
 
 
@@ -76,7 +76,7 @@ def _first_pairs(shared: DataFrame, small: int, block: int, percent: int) -> Dat
     return pairs.union(star.select(F.least("p", "id"), F.greatest("p", "id"))).distinct()
 
 
-def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int, close: Close, keys_of: Keys, sets_of: Sets, percent: int) -> DataFrame:
+def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int, close: Close, keys_of: Keys, sets_of: Sets, percent: int, width: int) -> DataFrame:
     """Links between members of large buckets that the first links leave in different components: one for each two of them in a block."""
     # an item has a fixed number of keys: it meets its component once, not once for each key
     per_item = many.groupBy("id").agg(F.collect_list("key").alias("keys"))
@@ -134,7 +134,7 @@ def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int,
             for k, at in pairs_of(left, right, f.key.iloc[0], same):
                 i, c, own = left.id.iloc[k], left.comp.iloc[k], left.hashes.iloc[k]
                 for j in at:  # one link joins two components
-                    if (c, comp[j]) not in done and linked(own, sets[j], percent):
+                    if (c, comp[j]) not in done and linked(own, sets[j], percent, width):
                         done |= {(c, comp[j]), (comp[j], c)}
                         a.append(min(i, ids[j]))
                         b.append(max(i, ids[j]))
@@ -149,44 +149,45 @@ def _left_links(many: DataFrame, comps: DataFrame, items: DataFrame, block: int,
     return out
 
 
-def linked(x: bytes, y: bytes, percent: int) -> bool:
-    """Whether two sets, as ascending 64-bit hashes, have a Jaccard similarity of ``percent`` or more."""
-    a, b = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+def linked(x: bytes, y: bytes, percent: int, width: int = 64) -> bool:
+    """Whether two sets, as ascending hashes of ``width`` bits, have a Jaccard similarity of ``percent`` or more."""
+    a, b = np.frombuffer(x, dtype=f"u{width // 8}"), np.frombuffer(y, dtype=f"u{width // 8}")
     both = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _confirmed(pairs: DataFrame, sets_of: Sets, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets_of: Sets, percent: int, width: int) -> DataFrame:
     """Those of the (a, b) pairs whose full sets reach the threshold."""
     # written, as both sides read it
     full = materialise(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
     side = lambda x: full.select(F.col("id").alias(x), F.col("hashes").alias(f"h_{x}"))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        mask = pa.array([linked(x.as_buffer(), y.as_buffer(), percent) for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True)], type=pa.bool_())
+        mask = pa.array([linked(x.as_buffer(), y.as_buffer(), percent, width) for x, y in zip(batch.column("h_a"), batch.column("h_b"), strict=True)], type=pa.bool_())
         yield {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
 
     return arrow_map(pairs.join(side("a").hint("merge"), "a").join(side("b").hint("merge"), "b").select("a", "b", "h_a", "h_b"), run, pairs.schema)
 
 
-def groups(items: DataFrame, postings: DataFrame, close: Close | None, keys_of: Keys, sets_of: Sets, percent: int, small: int = 24, block: int = 500) -> DataFrame:
+def groups(items: DataFrame, postings: DataFrame, close: Close | None, keys_of: Keys, sets_of: Sets, percent: int, small: int = 24, block: int = 500, width: int = 64) -> DataFrame:
     """(node, component) for every item with a confirmed link.
 
     ``items``: id, n, sig, one row for each id.  ``postings``: key, id, n.
-    Without ``close`` all candidates of fitting sizes are confirmed on their sets.
+    Without ``close`` all candidates of fitting sizes are confirmed on their sets,
+    whose hashes have ``width`` bits.
     """
     shared = _buckets(postings)
     pairs = materialise(_first_pairs(shared, small, block, percent), "candidates")
     if close is not None:
         candidates, pairs = pairs, materialise(_estimated(pairs, items, close), "pairs")
         discard(candidates)
-    links = materialise(_confirmed(pairs, sets_of, percent), "links")
+    links = materialise(_confirmed(pairs, sets_of, percent, width), "links")
     discard(pairs)
     comps = materialise(components(links), "components")
     many = shared.where(F.col("size") > small).select("key", "id")
     if many.isEmpty():
         return comps
-    more = _left_links(many, comps, items, block, close, keys_of, sets_of, percent)
+    more = _left_links(many, comps, items, block, close, keys_of, sets_of, percent, width)
     if more.isEmpty():
         return comps
     # components that the blocks join

@@ -1,5 +1,6 @@
 """The training-data operators on small tables against brute force, with nulls, empties, ties and clashing columns."""
 
+import collections
 import hashlib
 import itertools
 import math
@@ -144,8 +145,10 @@ def plain_spans(rows, percent=80):
     docs = sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda r: (r[0], tag_of(r[1])))
     split = [plain_words(t) for _, t in docs]
     found = []
-    for d, (_, t) in enumerate(docs):
-        for p in op1.begins(H.words(t)[3], 50)[0].tolist():
+    begun = [op1.begins(H.words(t)[3], 50) for _, t in docs]
+    often = collections.Counter(x for _, chosen in begun for x in chosen.tolist())
+    for d, (at, chosen) in enumerate(begun):
+        for p in [p for p, x in zip(at.tolist(), chosen.tolist(), strict=True) if often[x] > 1]:
             w = split[d][p : p + 21]
             found.append((d, p, {tuple(w[j : j + 5]) for j in range(17)}))
     links = [(x, y) for x, y in itertools.combinations(range(len(found)), 2) if 100 * len(found[x][2] & found[y][2]) >= percent * len(found[x][2] | found[y][2])]
