@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,24 +10,9 @@ from lorekeep.operators import index as IX
 from lorekeep.operators import retrieval as RT
 from lorekeep.operators import usage as U
 from lorekeep.plans.adapters import ADOPTION, CLOSEOUTS, QUERIES as QUERY_SQL, RECORDS, SEARCHES, adoption_events, closeouts, queries, records, search_log, table
+from lorekeep.plans.base import ORACLES, QUERIES, query  # noqa: F401
 from lorekeep.streaming.events import daily_activity
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, *ctes: str) -> Callable:
-    """Register a query under its function's name."""
-
-    def add(fn: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[fn.__name__] = fn
-        if sql:
-            ORACLES[fn.__name__] = (f"WITH {', '.join(ctes)} " if ctes else "") + sql
-        return fn
-
-    return add
-
-
 STATUS = "replace(lower(trim(status)), '-', '_')"
 CURRENT = "('', 'active', 'current', 'implemented', 'decision_confirmed', 'partial_current')"
 POSTINGS = "po AS (SELECT DISTINCT lower(trim(k)) AS keyword, id, repo || '/' || branch AS bucket FROM (SELECT id, repo, branch, unnest(keywords) AS k FROM rec) WHERE trim(k) <> '')"
@@ -346,3 +328,4 @@ def ranked_search(spark, sf):
 
 
 from lorekeep.plans import reports  # noqa: E402, F401  registers the rest
+from lorekeep.plans import evidence  # noqa: E402, F401

@@ -18,16 +18,17 @@ def bucket_from_path(relative: Column) -> tuple[Column, Column]:
 
 
 def read_lines(spark: SparkSession, root: str, glob: str = "kb.jsonl") -> DataFrame:
-    """path, relative, line for every line below ``root``."""
+    """path, relative, line for every line below ``root``; both paths decoded (Spark gives them percent-encoded)."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-    path = F.col("_metadata.file_path")
+    # a plus sign is itself in a path, but a space to url_decode
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     base = "/" + root.split("://")[-1].strip("/") + "/"
     return lines.select(path.alias("path"), F.substring_index(path, base, -1).alias("relative"), F.col("value").alias("line"))
 
 
 def conflicted_files(lines: DataFrame) -> DataFrame:
     """Paths of files that hold merge-conflict markers."""
-    marker = F.col("line").rlike(r"^(<{7}|={7}|>{7})")
+    marker = F.col("line").rlike(r"^(?:<{7}(?: .*)?|={7}|>{7}(?: .*)?)\s*$")
     return lines.groupBy("path").agg(F.bool_or(marker).alias("bad")).where("bad").select("path")
 
 
