@@ -12,13 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Knowledge records: documents with their labels."""
-    d, lab = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+def records(spark: SparkSession, sf_dir: str, labels: bool = True) -> DataFrame:
+    """Knowledge records: documents with their labels, or without ``status`` and the join that it takes."""
+    d = table(spark, sf_dir, "documents")
+    if labels:
+        d = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     n = F.col("doc_id")
     title = F.substring(F.substring_index("text", "\n", 1), 1, 120)
     status = F.when(F.col("toxic") == 1, "superseded").when(F.col("quality") == 0, "Not-Current").when(F.col("quality") == 1, "active").otherwise("")
-    return d.join(lab, "doc_id", "left").select(
+    return d.select(
         F.substring(F.sha2(n.cast("string"), 256), 1, 8).alias("id"),
         "doc_id",
         F.col("source").alias("repo"),
@@ -28,7 +30,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("story"),
         F.array("lang", "source").alias("tags"),
         F.array_distinct(F.concat(F.array("lang", "source"), F.split(F.lower(title), " "))).alias("keywords"),
-        status.alias("status"),
+        *([status.alias("status")] if labels else []),
         (n % 7).alias("used_count"),
         F.date_format(F.timestamp_seconds(F.lit(1704067200) + n * 60), "yyyy-MM-dd HH:mm:ss").alias("ts"),
         (n % 11 == 0).alias("deleted"),

@@ -18,7 +18,7 @@ _JOINED = r"regexp_replace(lower(story), '[\s_-]+', '-', 'g')"
 @query(rf"SELECT id, regexp_matches({_JOINED}, '(^|[^a-z0-9])la([^a-z0-9]|$)') AS short, contains({_JOINED}, 'licen') AS long, contains({_JOINED}, 'of-the') AS joined, contains(lower(story), 'é') AS other FROM rec", RECORDS)
 def term_match_text(spark, sf):
     s = F.col("story")
-    return records(spark, sf).select("id", E.term_matches("la", s).alias("short"), E.term_matches("Licen", s).alias("long"), E.term_matches("of_-the", s).alias("joined"), E.term_matches("é", s).alias("other"))
+    return records(spark, sf, labels=False).select("id", E.term_matches("la", s).alias("short"), E.term_matches("Licen", s).alias("long"), E.term_matches("of_-the", s).alias("joined"), E.term_matches("é", s).alias("other"))
 
 
 @query(r"SELECT term, regexp_matches(term, '[a-z][\w-]*\.(py|md|json|ya?ml|toml|java|ts|tsx|js|jsx)$') OR regexp_matches(term, '[/\\_.:-]') AS code_like, count(*) AS n FROM (SELECT unnest(string_split(lower(url), '/')) AS term FROM pages) WHERE term <> '' GROUP BY ALL")
@@ -40,7 +40,7 @@ def runtime_record_flag(spark, sf):
     """Records whose title, text or tags hold one of some markers."""
     low = [F.lower(c) for c in ("title", "story")]
     held = lambda t: F.contains(low[0], F.lower(t)) | F.contains(low[1], F.lower(t)) | F.exists("tags", lambda g: F.contains(F.lower(g), F.lower(t)))
-    return records(spark, sf).select("id", F.coalesce(F.exists(F.array(*map(F.lit, _RISKS)), held), F.lit(False)).alias("flagged"))
+    return records(spark, sf, labels=False).select("id", F.coalesce(F.exists(F.array(*map(F.lit, _RISKS)), held), F.lit(False)).alias("flagged"))
 
 
 # ---- records
@@ -55,14 +55,14 @@ def runtime_record_flag(spark, sf):
 def confidence(spark, sf):
     has = lambda c, t: F.contains(F.lower(c), F.lit(t))
     score = E.confidence(has("title", "tion"), F.array_contains("tags", "en"), has("story", "license"), F.col("used_count") * 2, F.col("doc_id") % 2 == 0, F.col("repo") != "src0")
-    return records(spark, sf).select("id", score.alias("confidence"))
+    return records(spark, sf, labels=False).select("id", score.alias("confidence"))
 
 
 @query("SELECT id, used_count * CASE WHEN doc_id % 3 = 0 THEN 0.5 ELSE 1.0 END + CASE WHEN a <= 0 THEN 0.5 WHEN a >= 30 THEN 0.0 ELSE 0.5 * (1 - a / 30) END AS heat FROM (SELECT *, CAST(date_diff('second', CAST(ts AS TIMESTAMP), TIMESTAMP '2024-01-08 00:00:00') AS DOUBLE) / 86400 AS a FROM rec)", RECORDS)
 def heat_key(spark, sf):
     age = (F.unix_timestamp(F.lit("2024-01-08 00:00:00")) - F.unix_timestamp("ts")).cast("double") / 86400
     penalty = F.when(F.col("doc_id") % 3 == 0, 0.5)
-    return records(spark, sf).select("id", E.heat(F.col("used_count"), penalty, R.recency_boost(age)).alias("heat"))
+    return records(spark, sf, labels=False).select("id", E.heat(F.col("used_count"), penalty, R.recency_boost(age)).alias("heat"))
 
 
 @query("SELECT id, sha256(json_object('branch', branch, 'id', id, 'kind', kind, 'repo', repo, 'status', status, 'tags', tags, 'title', title, 'ts', ts)) AS rev FROM rec", RECORDS)
@@ -81,7 +81,7 @@ def record_rev(spark, sf):
 )
 def find_record(spark, sf):
     """Records looked up by their id, else by the id that time and title give."""
-    rec = records(spark, sf).select("doc_id", "id", R.entry_id(F.col("ts"), F.col("title")).alias("computed"))
+    rec = records(spark, sf, labels=False).select("doc_id", "id", R.entry_id(F.col("ts"), F.col("title")).alias("computed"))
     n = F.col("doc_id") % 10
     wanted = rec.where("doc_id % 5 in (0, 1)").select(F.when(n == 0, F.col("id")).when(n == 5, F.col("computed")).otherwise(F.concat(F.lit("none"), F.col("doc_id"))).alias("key")).distinct()
     found = [wanted.join(rec.withColumnRenamed(c, "key"), "key").select("key", F.struct(F.lit(i).alias("rank"), "doc_id", F.lit(how).alias("how")).alias("hit")) for i, (c, how) in enumerate((("id", "id"), ("computed", "computed")))]
@@ -96,7 +96,7 @@ def cross_project_projection(spark, sf):
     """Records as another project sees them: generic kinds and maps whole, of mixed kinds only what is transferable."""
     own = F.col("repo") == "src0"
     whole = own | F.col("kind").isin(E.GENERIC_KINDS) | (F.col("kind") == "map") | ~F.col("kind").isin(E.MIXED_KINDS)
-    return records(spark, sf).select("id", "kind", "title", F.when(whole, F.col("story")).alias("story"), "repo", (~own & ~F.col("kind").isin(E.GENERIC_KINDS)).alias("foreign_part"))
+    return records(spark, sf, labels=False).select("id", "kind", "title", F.when(whole, F.col("story")).alias("story"), "repo", (~own & ~F.col("kind").isin(E.GENERIC_KINDS)).alias("foreign_part"))
 
 
 @query("SELECT id, CASE doc_id % 4 WHEN 0 THEN 'legacy' WHEN 1 THEN 'none' WHEN 2 THEN 'none' ELSE CASE WHEN status = 'active' THEN 'strong' ELSE 'stale' END END AS strength FROM rec", RECORDS)
@@ -125,7 +125,7 @@ def strict_record_errors(spark, sf):
 )
 def storage_schema_check(spark, sf):
     """Records of an unknown kind or with a former type, and ids that several records have."""
-    rec = records(spark, sf).select("doc_id", "id", "title", F.when(F.col("doc_id") % 13 == 0, "bugfix").otherwise(F.col("kind")).alias("kind"))
+    rec = records(spark, sf, labels=False).select("doc_id", "id", "title", F.when(F.col("doc_id") % 13 == 0, "bugfix").otherwise(F.col("kind")).alias("kind"))
     one = lambda name, where: rec.where(where).select(F.lit(name).alias("problem"), "id", F.lit(1).cast("bigint").alias("n"))
     ids = rec.groupBy(F.substring(F.sha2("title", 256), 1, 8).alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return one("invalid_kind", ~F.col("kind").isin(R.KINDS)).union(one("leftover_type", "doc_id % 17 = 0")).union(ids.select(F.lit("duplicate_id"), "id", "n"))
@@ -148,7 +148,7 @@ def field_discovery(spark, sf):
 @query("SELECT k AS keyword, count(DISTINCT CASE WHEN NOT deleted THEN id END) AS n_entries FROM (SELECT id, deleted, unnest(keywords) AS k FROM rec) GROUP BY 1 HAVING bool_or(deleted) AND count(DISTINCT CASE WHEN NOT deleted THEN id END) > 0", RECORDS)
 def index_add_remove(spark, sf):
     """Keywords that the removal of records touches, with the entries that they keep; keywords without any are gone."""
-    posted = records(spark, sf).select("id", "deleted", F.explode("keywords").alias("keyword")).distinct()
+    posted = records(spark, sf, labels=False).select("id", "deleted", F.explode("keywords").alias("keyword")).distinct()
     touched = posted.groupBy("keyword").agg(F.bool_or("deleted").alias("touched"), F.count_if(~F.col("deleted")).alias("n_entries"))
     return touched.where("touched and n_entries > 0").select("keyword", "n_entries")
 

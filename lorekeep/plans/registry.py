@@ -25,13 +25,13 @@ SEARCHED = "si AS (SELECT coalesce(ix.keyword, sc.keyword) AS keyword, coalesce(
 
 
 @query("SELECT id, kind, repo FROM rec WHERE NOT deleted", RECORDS)
-def active_records(spark, sf):
-    return records(spark, sf).where(~F.col("deleted")).select("id", "kind", "repo")
+def active_records(spark, sf, labels=False):
+    return records(spark, sf, labels=False).where(~F.col("deleted")).select("id", "kind", "repo")
 
 
 @query("SELECT id, kind FROM rec WHERE kind IN ('pitfall', 'issue')", RECORDS)
 def kind_filter(spark, sf):
-    return records(spark, sf).where(F.col("kind").isin("pitfall", "issue")).select("id", "kind")
+    return records(spark, sf, labels=False).where(F.col("kind").isin("pitfall", "issue")).select("id", "kind")
 
 
 _LEGACY = ["bugfix", "note", "glossary", "map", "env_var", "unknown", "technical_decision", "experience"]
@@ -45,38 +45,38 @@ def legacy_kind_map(spark, sf):
 
 @query("SELECT id FROM rec WHERE list_has_any(tags, ['de', 'src3'])", RECORDS)
 def tag_filter_any(spark, sf):
-    return records(spark, sf).where(F.arrays_overlap("tags", F.array(F.lit("de"), F.lit("src3")))).select("id")
+    return records(spark, sf, labels=False).where(F.arrays_overlap("tags", F.array(F.lit("de"), F.lit("src3")))).select("id")
 
 
 @query("SELECT id FROM rec WHERE contains(lower(title), 'tion') OR contains(lower(repo), 'tion') OR len(list_filter(tags, lambda x: contains(lower(x), 'tion'))) > 0", RECORDS)
 def term_containment(spark, sf):
     has = lambda c: F.contains(F.lower(c), F.lit("tion"))
-    return records(spark, sf).where(has(F.col("title")) | has(F.col("repo")) | F.exists("tags", has)).select("id")
+    return records(spark, sf, labels=False).where(has(F.col("title")) | has(F.col("repo")) | F.exists("tags", has)).select("id")
 
 
 @query("SELECT id FROM rec WHERE contains(lower(title), 'tion') OR contains(lower(story), 'tion') OR contains(kind, 'tion') OR contains(lower(repo), 'tion') OR contains(lower(branch), 'tion') OR len(list_filter(tags, lambda x: contains(lower(x), 'tion'))) > 0", RECORDS)
 def term_in_record(spark, sf):
     has = lambda c: F.contains(F.lower(c), F.lit("tion"))
     fields = [has(F.col(c)) for c in ("title", "story", "kind", "repo", "branch")]
-    return records(spark, sf).where(F.coalesce(*(F.when(f, True) for f in (*fields, F.exists("tags", has))))).select("id")
+    return records(spark, sf, labels=False).where(F.coalesce(*(F.when(f, True) for f in (*fields, F.exists("tags", has))))).select("id")
 
 
 @query("SELECT id FROM rec WHERE contains(lower(story), 'idiot') OR contains(lower(story), 'license')", RECORDS)
 def match_any(spark, sf):
     s = F.lower("story")
-    return records(spark, sf).where(F.exists(F.array(F.lit("idiot"), F.lit("license")), lambda t: F.contains(s, t))).select("id")
+    return records(spark, sf, labels=False).where(F.exists(F.array(F.lit("idiot"), F.lit("license")), lambda t: F.contains(s, t))).select("id")
 
 
 @query("SELECT id FROM rec WHERE (contains(lower(story), 'license') OR contains(lower(story), 'licensed')) AND contains(lower(story), 'mit')", RECORDS)
 def match_all(spark, sf):
     s = F.lower("story")
     groups = F.array(F.array(F.lit("license"), F.lit("licensed")), F.array(F.lit("mit")))
-    return records(spark, sf).where(F.forall(groups, lambda g: F.exists(g, lambda t: F.contains(s, t)))).select("id")
+    return records(spark, sf, labels=False).where(F.forall(groups, lambda g: F.exists(g, lambda t: F.contains(s, t)))).select("id")
 
 
 @query("SELECT id, ts FROM rec WHERE ts >= '2024-01-01 12:00:00'", RECORDS)
 def recent_filter(spark, sf):
-    return records(spark, sf).where(F.col("ts") >= "2024-01-01 12:00:00").select("id", "ts")
+    return records(spark, sf, labels=False).where(F.col("ts") >= "2024-01-01 12:00:00").select("id", "ts")
 
 
 @query(f"SELECT id, {STATUS} AS status FROM rec WHERE {STATUS} IN {CURRENT}", RECORDS)
@@ -86,7 +86,7 @@ def current_status_filter(spark, sf):
 
 @query("SELECT doc_id, substring(sha256(ts || '|' || title), 1, 8) AS entry_id FROM rec", RECORDS)
 def entry_id(spark, sf):
-    return records(spark, sf).select("doc_id", R.entry_id(F.col("ts"), F.col("title")).alias("entry_id"))
+    return records(spark, sf, labels=False).select("doc_id", R.entry_id(F.col("ts"), F.col("title")).alias("entry_id"))
 
 
 @query("SELECT doc_id, CAST(('0x' || substring(sha256(CAST(doc_id AS VARCHAR)), 1, 16)) AS UBIGINT)::DOUBLE / 18446744073709551616.0 < 0.1 AS sampled FROM documents")
@@ -97,12 +97,12 @@ def stable_sample(spark, sf):
 @query("SELECT id, count(DISTINCT t) AS n_terms, coalesce(sum(length(t)), 0)::BIGINT AS n_chars FROM (SELECT DISTINCT id, t FROM (SELECT id, unnest(string_split_regex(lower(title), '[\\s,;:/|]+')) AS t FROM rec) WHERE length(t) >= 2) GROUP BY id", RECORDS)
 def split_terms(spark, sf):
     t = R.terms(F.col("title"))
-    return records(spark, sf).where(F.size(t) > 0).select("id", F.size(t).cast("bigint").alias("n_terms"), F.aggregate(t, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("n_chars"))
+    return records(spark, sf, labels=False).where(F.size(t) > 0).select("id", F.size(t).cast("bigint").alias("n_terms"), F.aggregate(t, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x)).alias("n_chars"))
 
 
 @query("SELECT id, CASE WHEN length(t) <= 80 THEN t ELSE rtrim(substring(t, 1, 77)) || '...' END AS summary FROM (SELECT id, trim(regexp_replace(story, '\\s+', ' ', 'g')) AS t FROM rec)", RECORDS)
 def summary_clip(spark, sf):
-    return records(spark, sf).select("id", R.clipped(F.col("story"), 80).alias("summary"))
+    return records(spark, sf, labels=False).select("id", R.clipped(F.col("story"), 80).alias("summary"))
 
 
 _SECRET = r"(?i)\b(token|password|passwd|secret|api[_-]?key)\b\s*[:=]\s*([^\s,;]+)"
@@ -120,24 +120,24 @@ def redact_query(spark, sf):
 @query("SELECT id, n_copies, doc_id FROM (SELECT substring(sha256(story), 1, 8) AS id, doc_id, count(*) OVER (PARTITION BY sha256(story)) AS n_copies, row_number() OVER (PARTITION BY sha256(story) ORDER BY ts DESC, doc_id) AS r FROM rec) WHERE r = 1", RECORDS)
 def dedupe_by_id_latest(spark, sf):
     # the newest copy by a struct maximum: partial aggregates, so a key of many copies isn't one sort
-    rows = records(spark, sf).select(F.sha2("story", 256).alias("h"), "ts", "doc_id")
+    rows = records(spark, sf, labels=False).select(F.sha2("story", 256).alias("h"), "ts", "doc_id")
     newest = rows.groupBy("h").agg(F.max(F.struct("ts", (-F.col("doc_id")).alias("d"))).alias("m"), F.count(F.lit(1)).alias("n_copies"))
     return newest.select(F.substring("h", 1, 8).alias("id"), "n_copies", (-F.col("m.d")).alias("doc_id"))
 
 
 @query("SELECT repo, branch, lower(title) AS title, count(*) AS n FROM rec GROUP BY 1, 2, 3 HAVING count(*) > 1", RECORDS)
 def quality_gate(spark, sf):
-    return records(spark, sf).groupBy("repo", "branch", F.lower("title").alias("title")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return records(spark, sf, labels=False).groupBy("repo", "branch", F.lower("title").alias("title")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 @query("SELECT repo, branch, count(*) AS n FROM rec GROUP BY ROLLUP (repo, branch)", RECORDS)
 def bucket_counts(spark, sf):
-    return records(spark, sf).rollup("repo", "branch").agg(F.count(F.lit(1)).alias("n"))
+    return records(spark, sf, labels=False).rollup("repo", "branch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT id, ts FROM rec WHERE ts < '2024-01-01 06:00:00' AND used_count = 0", RECORDS)
-def stale_records(spark, sf):
-    return records(spark, sf).where((F.col("ts") < "2024-01-01 06:00:00") & (F.col("used_count") == 0)).select("id", "ts")
+def stale_records(spark, sf, labels=False):
+    return records(spark, sf, labels=False).where((F.col("ts") < "2024-01-01 06:00:00") & (F.col("used_count") == 0)).select("id", "ts")
 
 
 @query("SELECT kind, field, count(*) AS n FROM (SELECT kind, unnest(['title', 'story', 'status']) AS field, unnest([title, story, status]) AS v FROM rec) WHERE v <> '' GROUP BY GROUPING SETS ((field), (kind, field))", RECORDS)
@@ -150,7 +150,7 @@ def field_usage(spark, sf):
 @query("SELECT id, CASE WHEN kind = 'map' AND NOT contains(story, '/') THEN 'map_without_path' WHEN title = '' THEN 'no_title' END AS problem FROM rec WHERE (kind = 'map' AND NOT contains(story, '/')) OR title = ''", RECORDS)
 def map_mapping_check(spark, sf):
     problem = F.when((F.col("kind") == "map") & ~F.contains("story", F.lit("/")), "map_without_path").when(F.col("title") == "", "no_title")
-    return records(spark, sf).select("id", problem.alias("problem")).where("problem is not null")
+    return records(spark, sf, labels=False).select("id", problem.alias("problem")).where("problem is not null")
 
 
 @query(f"SELECT reason, count(*) AS n FROM (SELECT CASE WHEN {STATUS} IN {CURRENT} THEN 'current_status' WHEN substring(ts, 1, 10) >= '2024-01-02' THEN 'recent_activity' ELSE 'explicit_noncurrent_and_old' END AS reason FROM rec) GROUP BY 1", RECORDS)
@@ -163,7 +163,7 @@ def archive_split(spark, sf):
 @query("SELECT repo, CAST(count(*) AS BIGINT) AS archived, min(ts) AS ts_from, max(ts) AS ts_to FROM (SELECT repo, ts, row_number() OVER (PARTITION BY repo ORDER BY doc_id) AS r, count(*) OVER (PARTITION BY repo) AS n FROM rec) WHERE r <= n - ceil(n * 0.3) GROUP BY 1", RECORDS)
 def compaction_summary(spark, sf):
     w = Window.partitionBy("repo")
-    rows = records(spark, sf).select("repo", "ts", F.row_number().over(w.orderBy("doc_id")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
+    rows = records(spark, sf, labels=False).select("repo", "ts", F.row_number().over(w.orderBy("doc_id")).alias("r"), F.count(F.lit(1)).over(w).alias("n"))
     return rows.where("r <= n - ceil(n * 0.3)").groupBy("repo").agg(F.count(F.lit(1)).alias("archived"), F.min("ts").alias("ts_from"), F.max("ts").alias("ts_to"))
 
 
@@ -198,7 +198,7 @@ def tree_diff(spark, sf):
 
 
 def _postings(spark, sf):
-    return IX.postings(records(spark, sf))
+    return IX.postings(records(spark, sf, labels=False))
 
 
 def _searched(spark, sf):
@@ -232,7 +232,7 @@ def aggregation_candidates(spark, sf):
 
 @query("SELECT keyword, tag, n, r AS rank, n * 2 >= total AS common FROM (SELECT keyword, tag, n, row_number() OVER (PARTITION BY keyword ORDER BY n DESC, tag) AS r FROM (SELECT keyword, tag, count(*) AS n FROM po JOIN (SELECT id, unnest(tags) AS tag FROM rec) USING (id) GROUP BY 1, 2)) JOIN (SELECT keyword, count(DISTINCT id) AS total FROM po GROUP BY 1) USING (keyword) WHERE r <= 10", RECORDS, POSTINGS)
 def create_aggregation(spark, sf):
-    return IX.tag_distribution(records(spark, sf), _postings(spark, sf))
+    return IX.tag_distribution(records(spark, sf, labels=False), _postings(spark, sf))
 
 
 @query("SELECT repo, keyword, n, r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY n DESC, keyword) AS r FROM (SELECT split_part(bucket, '/', 1) AS repo, keyword, count(*) AS n FROM po WHERE keyword IN (SELECT keyword FROM sc WHERE search_count >= 2) GROUP BY 1, 2 HAVING count(*) >= 2)) WHERE r <= 10", RECORDS, POSTINGS, SEARCHES, COUNTS)
@@ -313,7 +313,7 @@ def scores(spark, sf):
     rec, q = records(spark, sf), queries(spark, sf)
     # a query batch is bounded by the caller; its terms' number is checked
     terms = [r[0] for r in q.select(F.explode("terms")).distinct().limit(RT.MAX_TERMS + 1).collect()]
-    return RT.relevance(RT.term_hits(rec, terms), q, rec), rec
+    return RT.relevance(RT.term_hits(records(spark, sf, labels=False), terms), q, rec), rec
 
 
 @query("SELECT query_id, id, score FROM sco", RECORDS, QUERY_SQL, SCORES)

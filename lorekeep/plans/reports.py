@@ -47,7 +47,7 @@ _OLD_NEW = "nw AS (SELECT DISTINCT keyword, po.id FROM po JOIN rec ON po.id = re
 
 @query("SELECT k.keyword, count(*) FILTER (j.change = 'new') AS n_new, count(*) FILTER (j.change = 'missing') AS n_missing, count(j.change) = 0 AS is_fresh FROM (SELECT DISTINCT keyword FROM ol) k LEFT JOIN (SELECT coalesce(ol.keyword, nw.keyword) AS keyword, CASE WHEN ol.id IS NULL THEN 'new' ELSE 'missing' END AS change FROM ol FULL JOIN nw ON ol.keyword = nw.keyword AND ol.id = nw.id WHERE ol.id IS NULL OR nw.id IS NULL) j ON k.keyword = j.keyword GROUP BY 1", RECORDS, POSTINGS, _OLD_NEW)
 def aggregation_freshness(spark, sf):
-    rec = records(spark, sf)
+    rec = records(spark, sf, labels=False)
     return C.aggregation_freshness(IX.postings(rec.where("ts < '2024-01-01 12:00:00'")), IX.postings(rec.where("not deleted")))
 
 
@@ -83,12 +83,12 @@ def optimistic_update(spark, sf):
 def soft_delete(spark, sf):
     toxic = table(spark, sf, "labels").where("toxic = 1").select("doc_id", F.lit(True).alias("toxic"))
     gone = F.col("deleted") | F.coalesce("toxic", F.lit(False))
-    return records(spark, sf).join(toxic, "doc_id", "left").select("doc_id", gone.alias("deleted"), F.sha2(F.concat_ws("|", "id", F.when(gone, "deleted").otherwise(F.col("ts"))), 256).alias("record_rev"))
+    return records(spark, sf, labels=False).join(toxic, "doc_id", "left").select("doc_id", gone.alias("deleted"), F.sha2(F.concat_ws("|", "id", F.when(gone, "deleted").otherwise(F.col("ts"))), 256).alias("record_rev"))
 
 
 @query("SELECT doc_id, repo, NULL AS migrated_from, deleted OR kind = 'experience' AS deleted FROM rec UNION ALL SELECT doc_id, 'global', repo, false FROM rec WHERE kind = 'experience'", RECORDS)
-def migrate_records(spark, sf):
-    return C.migrate(records(spark, sf), F.col("kind") == "experience", "global")
+def migrate_records(spark, sf, labels=False):
+    return C.migrate(records(spark, sf, labels=False), F.col("kind") == "experience", "global")
 
 
 @query("SELECT d.doc_id, CASE WHEN d.doc_id = f THEN id ELSE substring(sha256(id || '|' || CAST(d.doc_id AS VARCHAR)), 1, 8) END AS id, CASE WHEN d.doc_id <> f THEN id END AS previous_id FROM (SELECT doc_id, substring(sha256(coalesce(text, '')), 1, 8) AS id, min(doc_id) OVER (PARTITION BY substring(sha256(coalesce(text, '')), 1, 8)) AS f FROM documents) d")
@@ -105,7 +105,7 @@ def union_sources(spark, sf):
 @query("SELECT id, title FROM rec WHERE (contains(lower(title), 'the') OR list_contains(tags, 'de')) AND NOT contains(lower(title), 'license')", RECORDS)
 def keyword_select_exclude(spark, sf):
     t = F.lower("title")
-    return records(spark, sf).where((F.contains(t, F.lit("the")) | F.array_contains("tags", "de")) & ~F.contains(t, F.lit("license"))).select("id", "title")
+    return records(spark, sf, labels=False).where((F.contains(t, F.lit("the")) | F.array_contains("tags", "de")) & ~F.contains(t, F.lit("license"))).select("id", "title")
 
 
 # ---- checks and reports
@@ -115,14 +115,14 @@ def keyword_select_exclude(spark, sf):
 def field_validation(spark, sf):
     confidence = F.when(F.col("kind") == "map", F.length("story") / 10000)
     error = R.first_field_error(F.col("kind"), F.col("title"), F.col("story"), confidence)
-    return records(spark, sf).select("doc_id", error.alias("error")).where("error is not null")
+    return records(spark, sf, labels=False).select("doc_id", error.alias("error")).where("error is not null")
 
 
 @query("SELECT repo, branch, sum(strlen(coalesce(story, '')))::BIGINT AS n_bytes, sum(len(list_filter(string_split(coalesce(story, ''), chr(10)), lambda x: trim(x) <> '')))::BIGINT AS n_lines FROM rec GROUP BY 1, 2", RECORDS)
 def bucket_index(spark, sf):
     story = F.coalesce("story", F.lit(""))
     lines = F.size(F.filter(F.split(story, "\n"), lambda x: F.trim(x) != ""))
-    return records(spark, sf).groupBy("repo", "branch").agg(F.sum(F.octet_length(story)).cast("bigint").alias("n_bytes"), F.sum(lines).cast("bigint").alias("n_lines"))
+    return records(spark, sf, labels=False).groupBy("repo", "branch").agg(F.sum(F.octet_length(story)).cast("bigint").alias("n_bytes"), F.sum(lines).cast("bigint").alias("n_lines"))
 
 
 @query("SELECT lang, count(*) AS n, count(*) FILTER (p = g) AS n_ok, count(*) FILTER (p AND NOT g) AS false_positives, count(*) FILTER (g AND NOT p) AS false_negatives FROM (SELECT lang, coalesce(n_chars >= 500, false) AS p, quality = 1 AS g FROM documents JOIN labels USING (doc_id)) GROUP BY 1")
@@ -163,7 +163,7 @@ def session_meta_select(spark, sf):
 
 @query("SELECT id, ts FROM rec ORDER BY ts DESC, id LIMIT 20", RECORDS)
 def recent_entries(spark, sf):
-    return records(spark, sf).select("id", "ts").orderBy(F.desc("ts"), "id").limit(20)
+    return records(spark, sf, labels=False).select("id", "ts").orderBy(F.desc("ts"), "id").limit(20)
 
 
 @query("SELECT doc_id, count(*) AS n_topics, max(length(t))::BIGINT AS longest FROM (SELECT doc_id, trim(unnest(string_split_regex(text, '[.!?\\n]+'))) AS t FROM documents) WHERE t <> '' GROUP BY 1")
@@ -186,19 +186,19 @@ def challenge_trigger(spark, sf):
 
 @query("SELECT doc_id, CASE WHEN repo IS NULL AND branch IS NULL THEN 'untouched' WHEN r <= 3 THEN 'current' ELSE 'rolled_off_current' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY repo, branch ORDER BY ts DESC, id DESC, doc_id) AS r FROM rec)", RECORDS)
 def current_brief_window(spark, sf):
-    return C.current_briefs(records(spark, sf))
+    return C.current_briefs(records(spark, sf, labels=False))
 
 
 @query("SELECT doc_id, CASE WHEN length(t) <= 120 THEN t ELSE rtrim(substring(t, 1, 117)) || '...' END AS title, CASE WHEN length(s) <= 600 THEN s ELSE rtrim(substring(s, 1, 597)) || '...' END AS summary FROM (SELECT doc_id, trim(regexp_replace(title, '\\s+', ' ', 'g')) AS t, trim(regexp_replace(story, '\\s+', ' ', 'g')) AS s FROM rec)", RECORDS)
 def brief_build(spark, sf):
-    return records(spark, sf).select("doc_id", R.clipped(F.col("title"), 120).alias("title"), R.clipped(F.col("story"), 600).alias("summary"))
+    return records(spark, sf, labels=False).select("doc_id", R.clipped(F.col("title"), 120).alias("title"), R.clipped(F.col("story"), 600).alias("summary"))
 
 
 @query("SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(coalesce(title, '')) = '' THEN 'empty_title' END, CASE WHEN trim(coalesce(story, '')) = '' THEN 'empty_summary' END, CASE WHEN length(story) > 600 THEN 'long_summary' END], lambda x: x IS NOT NULL), ',') AS issues FROM rec", RECORDS)
 def evaluate_brief(spark, sf):
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     issues = F.array_compact(F.array(F.when(blank("title"), "empty_title"), F.when(blank("story"), "empty_summary"), F.when(F.length("story") > 600, "long_summary")))
-    return records(spark, sf).select("doc_id", F.array_join(issues, ",").alias("issues"))
+    return records(spark, sf, labels=False).select("doc_id", F.array_join(issues, ",").alias("issues"))
 
 
 # ---- routing and index lookups
@@ -208,7 +208,7 @@ _HITS = "qb AS (SELECT query_id, keyword, bucket, count(*) AS n FROM (SELECT que
 
 def _bucket_hits(spark, sf):
     """query_id, keyword, bucket, n: postings counted by bucket before queries meet them."""
-    per_bucket = IX.postings(records(spark, sf)).groupBy("keyword", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    per_bucket = IX.postings(records(spark, sf, labels=False)).groupBy("keyword", "bucket").agg(F.count(F.lit(1)).alias("n"))
     return queries(spark, sf).select("query_id", F.explode("terms").alias("keyword")).join(per_bucket, "keyword")
 
 
@@ -228,7 +228,7 @@ def index_expand(spark, sf):
 
 @query("SELECT keyword, count(*) AS n, max(ts) AS newest, sum(used_count)::BIGINT AS used FROM (SELECT DISTINCT keyword, id FROM po) JOIN rec USING (id) WHERE keyword IN (SELECT keyword FROM sc WHERE search_count >= 2) GROUP BY 1", RECORDS, POSTINGS, SEARCHES, COUNTS)
 def keyword_entries(spark, sf):
-    rec = records(spark, sf)
+    rec = records(spark, sf, labels=False)
     wanted = IX.search_counts(search_log(spark, sf)).where("search_count >= 2").select("keyword")
     rows = IX.postings(rec).join(wanted, "keyword", "left_semi").select("keyword", "id").distinct()
     return rows.join(rec.select("id", "ts", "used_count"), "id").groupBy("keyword").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("newest"), F.sum("used_count").alias("used"))
