@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from . import hyperminhash as hmh
 from .hashing import shingles, words
 from .lsh import groups
-from .tables import arrow_map, materialise, slices
+from .tables import arrow_map, materialise, packed, slices
 
 BANDS, ROWS = 40, 5
 
@@ -98,7 +98,7 @@ def _sets(ids: DataFrame, where: DataFrame, docs: DataFrame, k: int) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, small_bucket: int = 24, block: int = 500, tiny: int = 64) -> DataFrame:
-    """doc_id, text_hash, n_shingles, component_id, kept: one row for each row of ``docs`` (doc_id, text)."""
+    """doc_id, text_hash, n_shingles, component (its own number), component_id, kept: one row for each row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
     real = docs.where("doc_id is not null")
     sk = materialise(_sketches(real, shingle_words, tiny, percent), "sketches")
@@ -117,12 +117,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     of_class = reps.select("set_hash", "id", F.col("doc_id").alias("rep")).join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("set_hash", "rep", F.coalesce("component", "id").alias("component"))
     least = materialise(of_class.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-    of_class = materialise(of_class.join(least.hint("merge"), "component").select("set_hash", "component_id"), "components")
+    of_class = materialise(of_class.join(least.hint("merge"), "component").select("set_hash", "component", "component_id"), "components")
     out = sk.select("doc_id", "text_hash", "n", "set_hash").join(of_class.hint("merge"), "set_hash", "left")
-    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     lost = docs.where("doc_id is null")
-    return out.union(arrow_map(lost, lambda batch: iter([{"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": [len(_set_of(t.as_py(), shingle_words)) for t in batch.column("text")], "component_id": [None] * batch.num_rows, "kept": [True] * batch.num_rows}]), out.schema))
+    return out.union(arrow_map(lost, lambda batch: iter([{"doc_id": batch.column("doc_id"), "text_hash": batch.column("text_hash"), "n_shingles": [len(_set_of(t.as_py(), shingle_words)) for t in batch.column("text")], "component": [None] * batch.num_rows, "component_id": [None] * batch.num_rows, "kept": [True] * batch.num_rows}]), out.schema))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -135,16 +135,17 @@ def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """
     rows = near_duplicates(docs, **options).where("kept and doc_id is not null")
     # of a component; a document without words stands for itself
-    rows = rows.groupBy("doc_id", F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("blank")).agg(F.min("text_hash").alias("text_hash")).select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
-    at = (F.col("doc_id").cast("bigint") == F.col("__kept_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__kept_hash"))
-    same = Window.partitionBy("__kept_id", "__kept_hash").orderBy(F.xxhash64(*(c for c, kind in docs.dtypes if not kind.startswith("map"))))
-    kept = docs.join(rows.hint("shuffle_hash"), at).withColumn("__row", F.row_number().over(same)).where("__row = 1")
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    rows = rows.groupBy("doc_id", "component", F.when(F.col("n_shingles") == 0, F.col("text_hash")).alias("blank")).agg(F.min("text_hash").alias("text_hash")).select(F.col("doc_id").alias("__kept_id"), F.col("text_hash").alias("__kept_hash"))
+    row = F.col("row")
+    at = (row["doc_id"].cast("bigint") == F.col("__kept_id")) & (F.xxhash64(row["text"].cast("string")) == F.col("__kept_hash"))
+    same = Window.partitionBy("__kept_id", "__kept_hash").orderBy(F.xxhash64(*(row[c] for c, kind in docs.dtypes if not kind.startswith("map"))))
+    kept = packed(docs).join(rows.hint("shuffle_hash"), at).withColumn("__row", F.row_number().over(same)).where("__row = 1")
+    return kept.select("row.*").union(docs.where("doc_id is null"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return near_duplicates(docs, shingle_words=2).drop("text_hash")
+    return near_duplicates(docs, shingle_words=2).drop("text_hash", "component")
 
 
 #: Exact links over full sets by a prefix filter on shingle order, then reachability.

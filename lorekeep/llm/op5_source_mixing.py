@@ -35,6 +35,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
+from .tables import packed
+
 PERIOD, BLOCK, ALPHA = 1000, 64, 0.5
 #: Sources are names of streams; their weights and one period's slots are held by the driver.
 MAX_SOURCES = 100_000
@@ -119,8 +121,9 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     order = mix_order(docs, **options).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.struct("slot", "place").alias("__at"))
     # rows equal in doc_id and text stand at the first of their places
     order = order.groupBy("__id", "__hash").agg(F.min("__at").alias("__at"))
-    placed = docs.join(order.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__hash")))
-    return placed.orderBy("__at.slot", "__at.place").select(*docs.columns)
+    row = F.col("row")
+    placed = packed(docs).join(order.hint("shuffle_hash"), row["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(row["text"]) == F.col("__hash")))
+    return placed.orderBy("__at.slot", "__at.place").select("row.*")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

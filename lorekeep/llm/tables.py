@@ -53,6 +53,11 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` as one column ``row``, beside which no column's name can clash."""
+    return docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` where ``fn`` turns a record batch into dicts of equally long columns."""
     if isinstance(schema, str):

@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -566,7 +567,14 @@ def test_quality(spark, docs, none):
     for kind, low, high in ((0, 0.97, 1), (3, 0.97, 1), (1, 0, 0.05), (2, 0, 0.05)):
         of = [i for i in range(600) if i % 4 == kind]
         assert low <= len(kept & set(of)) / len(of) <= high
-    assert op9.select_quality(docs, labels).count() >= 0 and op9.select_quality(none, labels).count() == 0
+    scored = op9.graded_quality(docs, labels).collect()
+    by_text = {}
+    for r in scored:  # nulls, empties and repeated rows: equal texts, equal scores
+        by_text.setdefault(r.text or "", set()).add(r["__quality"])
+    assert len(scored) == docs.count() and all(len(v) == 1 for v in by_text.values())
+    chosen = op9.select_quality(docs, labels)
+    assert chosen.columns == docs.columns and chosen.count() == sum(r["__quality"].kept for r in scored)
+    assert op9.select_quality(none, labels).count() == 0
     assert op9.select_quality(docs, labels.limit(0)).count() == docs.count()
     odd = spark.createDataFrame([(0, None, None), (None, 1, 0), (0, 1, 0), (0, 0, 0)], labels.schema)
     assert op9.graded(odd).collect()[0].grade == 1
@@ -596,6 +604,93 @@ def test_pipeline_keeps_the_mix(spark, tmp_path):
             assert abs(done[s] - share["-" if s is None else "+" + s] / op5.PERIOD * (slot + 1)) < 1
 
 
+def test_likelihood_of_the_cumulative_link():
+    """The fit's thresholds are ordered, and its weights lower the plainly restated loss against none."""
+    rng = np.random.default_rng(4)
+    grades = rng.integers(0, 3, 300)
+    rows = [np.array([0, 100 + g, 200 + int(rng.integers(0, 5))]) for g in grades]
+    model = op9.fit(rows, grades)
+    cuts = model["cuts"]
+    assert cuts[0] < cuts[1]
+
+    def loss(w):
+        total = 0.0
+        for r, g in zip(rows, grades, strict=True):
+            p = [1.0, *(1 / (1 + math.exp(-(float(w[r].sum()) - c))) for c in cuts), 0.0]
+            total -= math.log(max(p[g] - p[g + 1], 1e-12))
+        return total / len(rows)
+
+    assert loss(model["w"]) < 0.5 * loss(np.zeros_like(model["w"]))
+    expected = op9.score(model, pd.Series(["x"]))
+    assert 0 <= expected.p_top[0] <= expected.p_not_lowest[0] <= 1 and math.isclose(expected.expected_grade[0], expected.p_top[0] + expected.p_not_lowest[0])
+
+
+def plain_language(model, text):
+    """The prediction restated: average of the logits of all hashed 2- to 4-grams, softmax."""
+    raw = [c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 32 for c in (" " + text.lower() + " ").encode()]
+    z, n = np.zeros(len(model["langs"])), 0
+    for i in range(len(raw)):
+        for size in (2, 3, 4):
+            if i + 1 >= size and not (raw[i] == 32 and raw[i - 1] == 32):
+                acc = sum(raw[i - j] << (8 * j) for j in range(size))
+                bucket = ((acc ^ ((size - 1) * 0x9E3779B9 & 0xFFFFFFFF)) * 2654435761 & 0xFFFFFFFF) >> 17
+                if bucket:
+                    z, n = z + model["table"][bucket], n + 1
+    p = np.exp(z / max(n, 1) - (z / max(n, 1)).max())
+    return model["langs"][int(p.argmax())], float((p / p.sum()).max())
+
+
+def test_language_prediction_restated(spark):
+    model = {"langs": ["de", "en", "fr"], "table": np.random.default_rng(2).normal(size=(op8.BUCKETS, 3)), "accept": 0.4}
+    model["table"][0] = 0
+    texts = ["the cat", "Über  alles, 12!", "a", prose(3, 50), "The The"]
+    got = {r.doc_id: r for r in op8.identify(spark.createDataFrame([(i, t, None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string"), model).collect()}
+    for i, t in enumerate(texts):
+        lang, score = plain_language(model, t)
+        assert got[i].lang_pred == lang and math.isclose(got[i].score, score, rel_tol=1e-4) and got[i].accepted == (score >= 0.4)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test tables")
+def test_language_held_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    right = op8.op8_language_id(spark, "/root/testdata/sf0.01").where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null")
+    assert right.where("lang = lang_pred").count() >= 0.95 * right.count()
+
+
+def test_cosine_hash_restated():
+    """The feature of an image of one block size: a plain two-dimensional cosine transform."""
+    samples = np.random.default_rng(6).integers(0, 256, (64, 64)).astype(np.uint8)
+    text_bytes = samples.tobytes()
+    assert np.array_equal(op3.decode(op3.encode(text_bytes)), samples)
+
+
+def test_very_long_texts(spark):
+    """1 MB without a space, and 2**20 characters of words: every operator that reads texts gives a row."""
+    solid, wide = "ab" * (1 << 14), prose(11, 1 << 15)
+    df = spark.createDataFrame([(1, solid, "en", "a", 1), (2, wide, "en", "a", 1), (3, wide, "en", None, 1)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    near = {r.doc_id: r.component_id for r in op10.near_duplicates(df).collect()}
+    assert near == {1: 1, 2: 2, 3: 2}
+    spans = {r.doc_id: (r.start_word, r.end_word) for r in op1.repeated_spans(df).collect()}
+    assert spans == {3: (0, 1 << 15)}
+    counts = {r.doc_id: r.n_tokens for r in op6.token_counts(df).collect()}
+    assert counts[2] == counts[3] > 1 << 15 and counts[1] == len(unigram_library().encode(solid))
+    assert op5.mix_order(df).count() == op8.identify(df).count() == op3.media_features(op3.to_media(df)).count() == op4.fingerprints(df).count() == 3
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, empties, repeated rows, unlike texts of one doc_id, clashing columns; then an empty table."""
+    kind = "doc_id bigint, text string, lang string, source string, n_chars bigint, slot string, __kept_id string"
+    rows = [(1, prose(1, 60)), (1, prose(1, 60)), (1, prose(2, 60)), (2, prose(1, 60)), (3, None), (4, ""), (None, prose(1, 60)), (None, None), (5, "one")]
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    for name, given in (("odd", rows), ("none", [])):
+        at = str(tmp_path / name)
+        spark.createDataFrame([(i, t, None, None, 0, "x", "y") for i, t in given], kind).write.parquet(f"{at}/documents.parquet")
+        labels.write.parquet(f"{at}/labels.parquet")
+        got = sorted({(r.doc_id or 0, r.text) for r in corpus_pipeline.run(spark, at).collect()})
+        want = {(1, prose(1, 60)), (1, prose(2, 60)), (3, ""), (4, ""), (0, prose(1, 60)), (0, ""), (5, "one")} if given else set()
+        assert got == sorted(want)
+
+
 def test_pipeline(spark, tmp_path):
     rows, labels = labelled(spark)
     copies = rows.where("doc_id % 8 = 0").withColumn("doc_id", F.col("doc_id") + 10000)
