@@ -657,8 +657,8 @@ def test_language_held_out(spark):
     assert right.where("lang = lang_pred").count() >= 0.95 * right.count()
 
 
-def test_cosine_hash_restated():
-    """The feature of an image of one block size: a plain two-dimensional cosine transform."""
+def test_png_round_trip():
+    """Any samples come back from their stored form."""
     samples = np.random.default_rng(6).integers(0, 256, (64, 64)).astype(np.uint8)
     text_bytes = samples.tobytes()
     assert np.array_equal(op3.decode(op3.encode(text_bytes)), samples)
