@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -112,3 +113,25 @@ def effect_verdict() -> Column:
     for when, verdict, score in reversed(rules):
         out = F.when(when, F.struct(F.lit(verdict).alias("verdict"), F.lit(score).alias("score"))).otherwise(out)
     return out
+
+
+def match_quality(strong: list[Column], medium: list[Column], weak: list[Column], specific: list[str], generic: list[str], include_weak: bool = False) -> Column:
+    """accepted, score, reason: how well terms match the texts of strong, medium and weak fields.
+
+    A specific term counts 5, 3 or 0.8 for each field that holds it, a generic one 0.45.  A record with
+    specific terms asked for needs one in a strong (5 more) or medium field (3 more), or, if ``include_weak``,
+    in a weak one; without any, a generic term in a strong or medium field.  No match counts 0.
+    """
+    fields = [(f, level) for level, fs in enumerate((strong, medium, weak)) for f in fs]
+    hit = lambda t, f: F.coalesce(term_matches(t, f), F.lit(False))
+    any_of = lambda terms, *levels: reduce(Column.__or__, [hit(t, f) for t in terms for f, level in fields if level in levels], F.lit(False))
+    points = lambda terms, worth: [F.when(hit(t, f), worth[level]).otherwise(0) for t in terms for f, level in fields]
+    total = reduce(Column.__add__, points(specific, (500, 300, 80)) + points(generic, (45, 45, 45)), F.lit(0))
+    result = lambda ok, extra, reason: F.struct(F.lit(ok).alias("accepted"), ((total + extra) / 100).alias("score"), F.lit(reason).alias("reason"))
+    out = F.when(~any_of([*specific, *generic], 0, 1, 2), result(False, 0, "no match"))
+    if specific:
+        out = out.when(any_of(specific, 0), result(True, 500, "strong")).when(any_of(specific, 1), result(True, 300, "medium"))
+        if include_weak:
+            out = out.when(any_of(specific, 2), result(True, 0, "weak"))
+        return out.otherwise(result(False, 0, "only weak or generic"))
+    return out.when(any_of(generic, 0, 1), result(True, 0, "generic")).otherwise(result(include_weak, 0, "generic weak"))

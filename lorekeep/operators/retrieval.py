@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Most query terms that are shipped to all tasks at once.
+#: Most query terms that one pass ships to all tasks.
 MAX_TERMS = 200_000
 
 
 def term_hits(records: DataFrame, terms: list[str]) -> DataFrame:
     """id, term, in_title, exact_title, in_tags, in_story: containment of many terms in one pass over the records.
 
-    An automaton of all terms (a checked number) reads each text once.
+    An automaton of ``MAX_TERMS`` terms reads each text once; more terms go in several passes.
     """
-    if len(terms) > MAX_TERMS:
-        raise ValueError(f"{len(terms)} terms; batches of at most {MAX_TERMS} are shipped to the tasks")
-    shared = records.sparkSession.sparkContext.broadcast(sorted({t for t in terms if t}))
+    distinct = sorted({t for t in terms if t})
+    if len(distinct) > MAX_TERMS:
+        return reduce(DataFrame.union, [term_hits(records, distinct[i : i + MAX_TERMS]) for i in range(0, len(distinct), MAX_TERMS)])
+    shared = records.sparkSession.sparkContext.broadcast(distinct)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
@@ -41,6 +43,11 @@ def term_hits(records: DataFrame, terms: list[str]) -> DataFrame:
     return text.mapInPandas(run, "id string, term string, in_title boolean, exact_title boolean, in_tags boolean, in_story boolean")
 
 
+def stale_penalty() -> Column:
+    """What a record loses whose status says that others took its place."""
+    return F.when(F.lower("status").isin("superseded", "archived", "obsolete"), 12).otherwise(0)
+
+
 def relevance(hits: DataFrame, queries: DataFrame, records: DataFrame) -> DataFrame:
     """query_id, id, score for every record that any term of a query hits.
 
@@ -58,8 +65,7 @@ def relevance(hits: DataFrame, queries: DataFrame, records: DataFrame) -> DataFr
             + F.least(F.lit(8), n("in_story"))
         ).alias("score")
     )
-    stale = F.when(F.lower("status").isin("superseded", "archived", "obsolete"), 12).otherwise(0)
-    return score.join(records.select("id", stale.alias("stale")), "id").select("query_id", "id", (F.col("score") - F.col("stale")).cast("bigint").alias("score"))
+    return score.join(records.select("id", stale_penalty().alias("stale")), "id").select("query_id", "id", (F.col("score") - F.col("stale")).cast("bigint").alias("score"))
 
 
 def top_k(scores: DataFrame, records: DataFrame, k: int) -> DataFrame:

@@ -308,11 +308,11 @@ def session_audit_report(spark, sf):
 SCORES = "sco AS (SELECT query_id, id, used_count, ts, CAST(max(CASE WHEN t = q AND lower(title) = t THEN 30 WHEN t = q AND contains(lower(title), t) THEN 18 ELSE 0 END) + least(24, 6 * count(*) FILTER (contains(lower(title), t))) + least(16, 4 * count(*) FILTER (contains(lower(array_to_string(tags, ' ')), t))) + max(CASE WHEN t = q AND contains(lower(story), t) THEN 4 ELSE 0 END) + least(8, count(*) FILTER (contains(lower(story), t))) - max(CASE WHEN lower(status) IN ('superseded', 'archived', 'obsolete') THEN 12 ELSE 0 END) AS BIGINT) AS score FROM rec JOIN (SELECT query_id, query AS q, unnest(terms) AS t FROM qr) ON contains(lower(title), t) OR contains(lower(story), t) OR contains(lower(array_to_string(tags, ' ')), t) GROUP BY 1, 2, 3, 4)"
 
 
-def scores(spark, sf):
+def scores(spark, sf, batch=queries):
     """Scores of the query batch, and the records."""
-    rec, q = records(spark, sf), queries(spark, sf)
-    # a query batch is bounded by the caller; its terms' number is checked
-    terms = [r[0] for r in q.select(F.explode("terms")).distinct().limit(RT.MAX_TERMS + 1).collect()]
+    rec, q = records(spark, sf), batch(spark, sf)
+    # a query batch is bounded by the caller; its terms go to the tasks in passes
+    terms = [r[0] for r in q.select(F.explode("terms")).distinct().collect()]
     return RT.relevance(RT.term_hits(records(spark, sf, labels=False), terms), q, rec), rec
 
 
@@ -329,3 +329,4 @@ def ranked_search(spark, sf):
 
 from lorekeep.plans import reports  # noqa: E402, F401  registers the rest
 from lorekeep.plans import evidence  # noqa: E402, F401
+from lorekeep.plans import search  # noqa: E402, F401
