@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -123,3 +125,74 @@ def reconcile_scouts(retrievals: DataFrame, links: DataFrame) -> DataFrame:
     of_child = child.withColumn("outcome", outcome).select("retrieval_id", "session_id", "outcome", F.when(F.col("outcome") == "linked", F.col("parent_key")).alias("parent_key")).distinct()
     dangling = linked.select("retrieval_id").distinct().join(uses, "retrieval_id", "left_anti")
     return of_child.union(dangling.select("retrieval_id", F.lit(None), F.lit("dangling"), F.lit(None)))
+
+
+# What a term in a brief's field counts, in tenths; a term that is not specific counts 4 at most.
+BRIEF_WEIGHTS = {"title": 60, "anchors": 50, "queries": 50, "tags": 30, "repo": 25, "branch": 25, "summary": 10}
+BRIEF_STRONG = ["title", "anchors", "queries", "tags"]
+
+
+def brief_search(briefs: DataFrame, terms: list[str], specific: list[str], as_of: str, repo: str = "", branch: str = "", days: int = 2, limit: int = 2, across: bool = False) -> DataFrame:
+    """rank, id, score, matched_fields: the best recent briefs for lower-cased terms.
+
+    ``briefs``: id, ts, current, title, summary, repo, branch (text), anchors, queries, tags (arrays).  Only current briefs of
+    the last ``days`` before ``as_of`` count, of ``repo`` unless ``across``.  Terms count by the field that holds them; the
+    same repository and branch and the last 60 hours add to it.  With specific terms a match of the summary or the
+    place alone is none.  Ties: the newest, then the smallest id.  Null fields and times match nothing.
+    """
+    age = F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp("ts")
+    recent = briefs.where(F.col("current") & (age <= days * 86400))
+    if repo and not across:
+        recent = recent.where(F.col("repo") == repo)
+    text = {f: F.lower(F.coalesce(F.array_join(f, " ") if f in ("anchors", "queries", "tags") else F.col(f), F.lit(""))) for f in BRIEF_WEIGHTS}
+    hit = {(f, t): F.contains(text[f], F.lit(t)) for f in BRIEF_WEIGHTS for t in terms if t}
+    held = {f: reduce(Column.__or__, [hit[k] for k in hit if k[0] == f], F.lit(False)) for f in BRIEF_WEIGHTS}
+    points = reduce(Column.__add__, [F.when(hit[f, t], BRIEF_WEIGHTS[f] if t in specific else min(4, BRIEF_WEIGHTS[f])).otherwise(0) for f, t in hit], F.lit(0))
+    if repo:
+        points = points + F.when(F.col("repo") == repo, 20).otherwise(0)
+    if branch:
+        points = points + F.when(F.col("branch") == branch, 10).otherwise(0)
+    fresh = F.greatest(F.lit(0.0), 2.5 - F.greatest(F.lit(0), age) / 86400)
+    counted = BRIEF_STRONG if specific else BRIEF_WEIGHTS
+    found = recent.where(reduce(Column.__or__, [held[f] for f in counted]))
+    names = F.array_join(F.array_compact(F.array(*(F.when(held[f], f) for f in BRIEF_WEIGHTS))), ",")
+    best = found.select("id", "ts", (points / 10 + fresh).alias("score"), names.alias("matched_fields")).orderBy(F.desc("score"), F.desc("ts"), "id").limit(limit)
+    # the rank runs over at most ``limit`` rows
+    return best.select(F.row_number().over(Window.orderBy(F.desc("score"), F.desc("ts"), "id")).alias("rank"), "id", F.round("score", 4).alias("score"), "matched_fields")
+
+
+def retrieval_checks(cases: DataFrame, hits: DataFrame) -> DataFrame:
+    """A row for each case: hit_count, irrelevant (slots), irrelevant_rate, and whether it holds what is expected of it.
+
+    ``cases``: case_id, min_hits (null: 1, or 0 where zero is allowed), allow_zero, must_find, forbidden, anchors (arrays),
+    max_irrelevant (null: 1).  ``hits``: case_id, entry_id, text.  A hit is irrelevant if a case has anchors and its text
+    holds none, whatever the case.  A case without hits stays; null texts hold no anchor.
+    """
+    held = lambda c: F.coalesce(F.array_contains(c, F.col("entry_id")), F.lit(False))
+    text = F.lower(F.coalesce("text", F.lit("")))
+    anchors = F.filter("anchors", lambda a: a != "")
+    off = (F.coalesce(F.size(anchors), F.lit(0)) > 0) & ~F.coalesce(F.exists(anchors, lambda a: F.contains(text, F.lower(a))), F.lit(False))
+    of_case = hits.join(cases.select("case_id", "must_find", "forbidden", "anchors"), "case_id").groupBy("case_id").agg(
+        F.count(F.lit(1)).alias("hit_count"), F.count_if(off).alias("irrelevant"), F.count_if(held("must_find")).alias("found"), F.count_if(held("forbidden")).alias("bad"))
+    n = lambda c: F.coalesce(c, F.lit(0))
+    least = F.coalesce("min_hits", F.when(F.coalesce("allow_zero", F.lit(False)), 0).otherwise(1))
+    rate = F.when(n("hit_count") > 0, F.round(F.col("irrelevant") / F.col("hit_count"), 4)).otherwise(0.0)
+    out = cases.join(of_case, "case_id", "left").select(
+        "case_id",
+        n("hit_count").alias("hit_count"),
+        n("irrelevant").alias("irrelevant"),
+        rate.alias("irrelevant_rate"),
+        (n("hit_count") >= least).alias("min_hits_ok"),
+        ((n(F.size("must_find")) < 1) | (n("found") > 0)).alias("must_find_ok"),
+        (n("bad") == 0).alias("forbidden_ok"),
+        (rate <= F.coalesce("max_irrelevant", F.lit(1.0))).alias("irrelevant_rate_ok"),
+    )
+    return out.withColumn("passed", F.col("min_hits_ok") & F.col("must_find_ok") & F.col("forbidden_ok") & F.col("irrelevant_rate_ok"))
+
+
+def retrieval_metrics(checks: DataFrame) -> DataFrame:
+    """One row over all cases: their number, passes, those with hits, and the shares of passes, of cases with hits and of irrelevant slots."""
+    share = lambda a, b: F.when(b > 0, F.round(a / b, 4))
+    total, passed, nonempty = F.count(F.lit(1)), F.count_if("passed"), F.count_if(F.col("hit_count") > 0)
+    slots = F.coalesce(share(F.sum("irrelevant"), F.sum("hit_count")), F.lit(0.0))
+    return checks.agg(total.alias("cases"), passed.alias("passes"), nonempty.alias("nonempty"), share(passed, total).alias("pass_rate"), share(nonempty, total).alias("nonempty_rate"), slots.alias("irrelevant_slot_rate"))

@@ -118,3 +118,8 @@ QUERIES = """qr AS (
       SELECT item_id, x, min(i) AS i FROM (
         SELECT item_id, unnest(string_split_regex(lower(text), '[^a-z]+')) AS x, generate_subscripts(string_split_regex(lower(text), '[^a-z]+'), 1) AS i FROM benchmark)
       WHERE length(x) >= 7 GROUP BY 1, 2) GROUP BY 1))"""
+
+
+#: The keyword index over records, and the counts of the words sought.
+POSTINGS = "po AS (SELECT DISTINCT lower(trim(k)) AS keyword, id, repo || '/' || branch AS bucket FROM (SELECT id, repo, branch, unnest(keywords) AS k FROM rec) WHERE trim(k) <> '')"
+COUNTS = "sc AS (SELECT keyword, count(*) AS search_count, max(ts) AS last_search FROM (SELECT ts, unnest(string_split(lower(query), ' ')) AS keyword FROM sl) WHERE keyword <> '' GROUP BY 1)"

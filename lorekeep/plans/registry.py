@@ -7,17 +7,15 @@ from pyspark.sql.window import Window
 
 from lorekeep.functions import records as R
 from lorekeep.operators import index as IX
-from lorekeep.operators import retrieval as RT
 from lorekeep.operators import usage as U
-from lorekeep.plans.adapters import ADOPTION, CLOSEOUTS, QUERIES as QUERY_SQL, RECORDS, SEARCHES, adoption_events, closeouts, queries, records, search_log, table
+from lorekeep.plans import evidence, search  # noqa: F401  they register more
+from lorekeep.plans.adapters import ADOPTION, CLOSEOUTS, COUNTS, POSTINGS, RECORDS, SEARCHES, adoption_events, closeouts, records, search_log, table
 from lorekeep.plans.base import ORACLES, QUERIES, query  # noqa: F401
 from lorekeep.streaming.events import daily_activity
 
 STATUS = "replace(lower(trim(status)), '-', '_')"
 CURRENT = "('', 'active', 'current', 'implemented', 'decision_confirmed', 'partial_current')"
-POSTINGS = "po AS (SELECT DISTINCT lower(trim(k)) AS keyword, id, repo || '/' || branch AS bucket FROM (SELECT id, repo, branch, unnest(keywords) AS k FROM rec) WHERE trim(k) <> '')"
 INDEX = "ix AS (SELECT keyword, count(DISTINCT id) AS n_entries, count(DISTINCT bucket) AS n_buckets FROM po GROUP BY 1)"
-COUNTS = "sc AS (SELECT keyword, count(*) AS search_count, max(ts) AS last_search FROM (SELECT ts, unnest(string_split(lower(query), ' ')) AS keyword FROM sl) WHERE keyword <> '' GROUP BY 1)"
 SEARCHED = "si AS (SELECT coalesce(ix.keyword, sc.keyword) AS keyword, coalesce(n_entries, 0) AS n_entries, coalesce(n_buckets, 0) AS n_buckets, coalesce(search_count, 0) AS search_count, last_search FROM ix FULL JOIN sc ON ix.keyword = sc.keyword)"
 
 
@@ -303,30 +301,4 @@ def session_audit_report(spark, sf):
     return table(spark, sf, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("n_sessions"), F.sum(F.length("text")).cast("bigint").alias("n_chars"))
 
 
-# ---- retrieval
-
-SCORES = "sco AS (SELECT query_id, id, used_count, ts, CAST(max(CASE WHEN t = q AND lower(title) = t THEN 30 WHEN t = q AND contains(lower(title), t) THEN 18 ELSE 0 END) + least(24, 6 * count(*) FILTER (contains(lower(title), t))) + least(16, 4 * count(*) FILTER (contains(lower(array_to_string(tags, ' ')), t))) + max(CASE WHEN t = q AND contains(lower(story), t) THEN 4 ELSE 0 END) + least(8, count(*) FILTER (contains(lower(story), t))) - max(CASE WHEN lower(status) IN ('superseded', 'archived', 'obsolete') THEN 12 ELSE 0 END) AS BIGINT) AS score FROM rec JOIN (SELECT query_id, query AS q, unnest(terms) AS t FROM qr) ON contains(lower(title), t) OR contains(lower(story), t) OR contains(lower(array_to_string(tags, ' ')), t) GROUP BY 1, 2, 3, 4)"
-
-
-def scores(spark, sf, batch=queries):
-    """Scores of the query batch, and the records."""
-    rec, q = records(spark, sf), batch(spark, sf)
-    # a query batch is bounded by the caller; its terms go to the tasks in passes
-    terms = [r[0] for r in q.select(F.explode("terms")).distinct().collect()]
-    return RT.relevance(RT.term_hits(records(spark, sf, labels=False), terms), q, rec), rec
-
-
-@query("SELECT query_id, id, score FROM sco", RECORDS, QUERY_SQL, SCORES)
-def relevance_score(spark, sf):
-    return scores(spark, sf)[0]
-
-
-@query("SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, used_count DESC, ts DESC, id) AS rank FROM sco) WHERE rank <= 5", RECORDS, QUERY_SQL, SCORES)
-def ranked_search(spark, sf):
-    found, rec = scores(spark, sf)
-    return RT.top_k(found, rec, 5)
-
-
-from lorekeep.plans import reports  # noqa: E402, F401  registers the rest
-from lorekeep.plans import evidence  # noqa: E402, F401
-from lorekeep.plans import search  # noqa: E402, F401
+from lorekeep.plans import reports  # noqa: E402, F401  stands on the SQL of the queries above

@@ -10,8 +10,9 @@ from lorekeep.operators import changes as C
 from lorekeep.operators import index as IX
 from lorekeep.operators import retrieval as RT
 from lorekeep.operators import usage as U
-from lorekeep.plans.adapters import ADOPTION, CLOSEOUTS, QUERIES as QUERY_SQL, RECORDS, SEARCHES, adoption_events, closeouts, queries, records, search_log, table
-from lorekeep.plans.registry import COUNTS, ORACLES, POSTINGS, SCORES, query, scores
+from lorekeep.plans.adapters import ADOPTION, CLOSEOUTS, COUNTS, POSTINGS, QUERIES as QUERY_SQL, RECORDS, SEARCHES, adoption_events, closeouts, queries, records, search_log, table
+from lorekeep.plans.base import ORACLES, query
+from lorekeep.plans.search import SCORES, scores
 from lorekeep.streaming.events import watch_closeouts
 
 # ---- sets and joins

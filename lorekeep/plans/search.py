@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import evidence as E
 from lorekeep.functions import secrets as S
+from lorekeep.operators import retrieval as RT
 from lorekeep.operators import search as X
 from lorekeep.plans.adapters import QUERIES as QUERY_SQL
 from lorekeep.plans.adapters import RECORDS, queries, records, table
@@ -13,6 +14,28 @@ from lorekeep.plans.base import query
 
 # ---- searches
 
+SCORES = "sco AS (SELECT query_id, id, used_count, ts, CAST(max(CASE WHEN t = q AND lower(title) = t THEN 30 WHEN t = q AND contains(lower(title), t) THEN 18 ELSE 0 END) + least(24, 6 * count(*) FILTER (contains(lower(title), t))) + least(16, 4 * count(*) FILTER (contains(lower(array_to_string(tags, ' ')), t))) + max(CASE WHEN t = q AND contains(lower(story), t) THEN 4 ELSE 0 END) + least(8, count(*) FILTER (contains(lower(story), t))) - max(CASE WHEN lower(status) IN ('superseded', 'archived', 'obsolete') THEN 12 ELSE 0 END) AS BIGINT) AS score FROM rec JOIN (SELECT query_id, query AS q, unnest(terms) AS t FROM qr) ON contains(lower(title), t) OR contains(lower(story), t) OR contains(lower(array_to_string(tags, ' ')), t) GROUP BY 1, 2, 3, 4)"
+
+
+def scores(spark, sf, batch=queries):
+    """Scores of the query batch, and the records."""
+    rec, q = records(spark, sf), batch(spark, sf)
+    # a query batch is bounded by the caller; its terms go to the tasks in passes
+    terms = [r[0] for r in q.select(F.explode("terms")).distinct().collect()]
+    return RT.relevance(RT.term_hits(records(spark, sf, labels=False), terms), q, rec), rec
+
+
+@query("SELECT query_id, id, score FROM sco", RECORDS, QUERY_SQL, SCORES)
+def relevance_score(spark, sf):
+    return scores(spark, sf)[0]
+
+
+@query("SELECT query_id, rank, id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, used_count DESC, ts DESC, id) AS rank FROM sco) WHERE rank <= 5", RECORDS, QUERY_SQL, SCORES)
+def ranked_search(spark, sf):
+    found, rec = scores(spark, sf)
+    return RT.top_k(found, rec, 5)
+
+
 _TERMS = "CASE WHEN contains(query, ' ') THEN [query, split_part(query, ' ', 1), split_part(query, ' ', 2)] ELSE [query] END"
 GROUPS = "gr AS (SELECT query_id AS search_id, 'a' AS grp, 1 AS n, split_part(query, ' ', 1) AS query FROM qr UNION ALL SELECT query_id, 'a', 2, string_split(query, ' ')[-1] FROM qr UNION ALL SELECT query_id, 'b', 1, string_split(query, ' ')[-1] FROM qr UNION ALL SELECT query_id, 'b', 2, query FROM qr)"
 GROUP_SCORES = f"""st AS (SELECT id, used_count, ts, CASE WHEN lower(status) IN ('superseded', 'archived', 'obsolete') THEN 12 ELSE 0 END AS stale, lower(title) AS ti, lower(array_to_string(tags, ' ')) AS ta, lower(story) AS s FROM rec),
@@ -41,8 +64,6 @@ def _group_queries(spark, sf):
 
 @query("SELECT search_id, grp, rank, id, score, CASE WHEN (SELECT count(*) FROM me WHERE me.search_id = ra.search_id AND me.id = ra.id) > 1 THEN 'a,b' END AS matched_groups FROM ra WHERE rank <= 3", RECORDS, QUERY_SQL, GROUPS, GROUP_SCORES)
 def grouped_search(spark, sf):
-    from lorekeep.plans.registry import scores
-
     found, rec = scores(spark, sf, _group_queries)
     return X.grouped_search(found, _groups(spark, sf), rec, 3).withColumnRenamed("group", "grp")
 
@@ -80,6 +101,57 @@ def match_quality(spark, sf):
     return records(spark, sf, labels=False).select("id", quality.alias("q")).select("id", "q.*")
 
 
+_W = {"title": (60, "lower(title)"), "anchors": (50, "lower(array_to_string(keywords, ' '))"), "queries": (50, "lower(split_part(story, '.', 1))"), "tags": (30, "lower(array_to_string(tags, ' '))"), "repo": (25, "lower(repo)"), "branch": (25, "lower(branch)"), "summary": (10, "lower(story)")}
+_ASKED = {"tionth": 60, "licens": 60, "the": 4}
+_BRIEF_POINTS = " + ".join(f"CASE WHEN contains({text}, '{t}') THEN {min(w, top)} ELSE 0 END" for t, top in _ASKED.items() for w, text in _W.values())
+_BRIEF_HELD = {f: "(" + " OR ".join(f"contains({text}, '{t}')" for t in _ASKED) + ")" for f, (_, text) in _W.items()}
+
+
+@query(
+    f"""SELECT row_number() OVER (ORDER BY score DESC, ts DESC, id) AS rank, id, round(score, 4) AS score, f AS matched_fields FROM (
+      SELECT id, ts, ({_BRIEF_POINTS} + CASE WHEN branch = 'en' THEN 10 ELSE 0 END) / 10 + greatest(0.0, 2.5 - greatest(0, age) / CAST(86400 AS DOUBLE)) AS score, array_to_string([{", ".join(f"CASE WHEN {h} THEN '{f}' END" for f, h in _BRIEF_HELD.items())}], ',') AS f
+      FROM (SELECT *, date_diff('second', CAST(ts AS TIMESTAMP), TIMESTAMP '2024-01-02 00:00:00') AS age FROM rec) WHERE NOT deleted AND age <= 86400 AND ({" OR ".join(_BRIEF_HELD[f] for f in ("title", "anchors", "queries", "tags"))}))
+    QUALIFY rank <= 50""",
+    RECORDS,
+)
+def brief_search(spark, sf):
+    """Records in the role of briefs, with their first sentence as a query."""
+    briefs = records(spark, sf, labels=False).select("id", "ts", (~F.col("deleted")).alias("current"), "title", F.col("story").alias("summary"), "repo", "branch", F.col("keywords").alias("anchors"), F.array(F.substring_index("story", ".", 1)).alias("queries"), "tags")
+    return X.brief_search(briefs, list(_ASKED), ["tionth", "licens"], "2024-01-02 00:00:00", branch="en", days=1, limit=50, across=True)
+
+
+_CHECKS = """hi AS (SELECT query_id, id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, used_count DESC, ts DESC, id) AS rank FROM sco) WHERE rank <= 5),
+cs AS (SELECT query_id AS case_id, CASE WHEN query_id % 4 = 0 THEN query_id % 8 END AS min_hits, query_id % 3 = 0 AS allow_zero, split_part(query, ' ', 1) AS anchor, CASE WHEN query_id % 2 = 0 THEN 0.5 END AS top FROM qr),
+cc AS (SELECT case_id, any_value(min_hits) AS m, any_value(allow_zero) AS z, any_value(top) AS top, count(rec.id) AS h, count(*) FILTER (rec.id IS NOT NULL AND NOT contains(lower(story), anchor)) AS ir, coalesce(bool_or(kind = 'map' OR kind = 'issue'), FALSE) AS found, coalesce(bool_or(deleted), FALSE) AS bad
+  FROM cs LEFT JOIN hi ON hi.query_id = case_id LEFT JOIN rec ON rec.id = hi.id GROUP BY 1),
+ck AS (SELECT case_id, h AS hit_count, ir AS irrelevant, CASE WHEN h > 0 THEN round(ir / h, 4) ELSE 0.0 END AS irrelevant_rate, h >= coalesce(m, CASE WHEN z THEN 0 ELSE 1 END) AS min_hits_ok, h = 0 OR found AS must_find_ok, NOT bad AS forbidden_ok, CASE WHEN h > 0 THEN round(ir / h, 4) ELSE 0.0 END <= coalesce(top, 1.0) AS irrelevant_rate_ok FROM cc),
+ca AS (SELECT *, min_hits_ok AND must_find_ok AND forbidden_ok AND irrelevant_rate_ok AS passed FROM ck)"""
+
+
+def _checks(spark, sf):
+    """Cases made of the query batch: maps and issues among their hits are to be found, deleted records are not."""
+    rec = records(spark, sf, labels=False).select("id", "kind", "deleted", F.col("story").alias("text"))
+    hits = ranked_search(spark, sf).select(F.col("query_id").alias("case_id"), F.col("id").alias("entry_id")).join(rec.withColumnRenamed("id", "entry_id"), "entry_id")
+    ids = lambda c: F.collect_list(F.when(c, F.col("entry_id")))
+    # of at most five hits a case
+    wanted = hits.groupBy("case_id").agg(ids(F.col("kind").isin("map", "issue")).alias("good"), F.count(F.lit(1)).alias("n"), ids(F.col("deleted")).alias("forbidden"))
+    i = F.col("case_id")
+    cases = queries(spark, sf).select(F.col("query_id").alias("case_id"), F.array(F.split("query", " ")[0]).alias("anchors")).join(wanted, "case_id", "left")
+    must = F.when(F.col("n") > 0, F.concat("good", F.array(F.lit("another"))))
+    cases = cases.select("case_id", "anchors", must.alias("must_find"), "forbidden", F.when(i % 4 == 0, i % 8).alias("min_hits"), (i % 3 == 0).alias("allow_zero"), F.when(i % 2 == 0, 0.5).alias("max_irrelevant"))
+    return X.retrieval_checks(cases, hits.select("case_id", "entry_id", "text"))
+
+
+@query("SELECT * FROM ca", RECORDS, QUERY_SQL, SCORES, _CHECKS)
+def retrieval_check(spark, sf):
+    return _checks(spark, sf)
+
+
+@query("SELECT count(*) AS cases, count(*) FILTER (passed) AS passes, count(*) FILTER (hit_count > 0) AS nonempty, round(count(*) FILTER (passed) / count(*), 4) AS pass_rate, round(count(*) FILTER (hit_count > 0) / count(*), 4) AS nonempty_rate, round(sum(irrelevant) / sum(hit_count), 4) AS irrelevant_slot_rate FROM ca", RECORDS, QUERY_SQL, SCORES, _CHECKS)
+def retrieval_metrics(spark, sf):
+    return X.retrieval_metrics(_checks(spark, sf))
+
+
 # ---- new records against old ones
 
 _OLD = "ol AS (SELECT id, kind, substring(title, 1, 24) AS fk, lower(title) AS t, ts FROM rec WHERE NOT deleted AND status <> 'superseded')"

@@ -89,3 +89,46 @@ def test_terms_in_passes(spark, monkeypatch):
 
 def test_retrieval_id_form():
     assert re.match(X.RETRIEVAL_ID, "a.b:c-1") and not re.match(X.RETRIEVAL_ID, "x" * 129)
+
+
+def test_brief_search(spark):
+    schema = "id string, ts string, current boolean, title string, summary string, repo string, branch string, anchors array<string>, queries array<string>, tags array<string>"
+    rows = [
+        ("a", "2024-01-02 00:00:00", True, "Alpha", None, "r", "b", [], [], ["the"]),
+        ("b", "2024-01-02 00:00:00", True, None, "alpha", "r", "b", None, None, None),
+        ("c", "2024-01-01 00:00:00", True, "x", "the alpha", "r", "b", ["alpha"], ["ALPHA x"], None),
+        ("d", "2024-01-02 00:00:00", False, "alpha", "", "r", "b", [], [], []),
+        ("e", "2023-12-30 23:00:00", True, "alpha", "", "r", "b", [], [], []),
+        ("f", "2024-01-02 00:00:00", True, "alpha", "", "q", "b", [], [], []),
+        ("g", None, True, "alpha", "", "r", "b", [], [], []),
+        ("h", "2024-01-02 00:00:00", True, "alpha", None, "r", "z", [], [], []),
+        ("i", "2024-01-02 00:00:00", True, "alpha", None, "r", "z", [], [], []),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    find = lambda **more: [tuple(r) for r in X.brief_search(df, ["alpha", "the"], ["alpha"], "2024-01-02 00:00:00", repo="r", branch="b", limit=9, **more).collect()]
+    assert find() == [(1, "c", 10 + 1 + 0.4 + 3 + 1.5, "anchors,queries,summary"), (2, "a", 6 + 0.4 + 3 + 2.5, "title,tags"), (3, "h", 10.5, "title"), (4, "i", 10.5, "title")]
+    assert [r[1] for r in find(across=True)] == ["c", "a", "h", "i", "f"]
+
+
+def test_retrieval_checks(spark):
+    cases = [(1, None, False, ["x"], ["z"], ["Al"], 0.5), (2, None, None, None, None, None, None), (3, None, True, [], [], [], None), (4, 3, False, [], ["x"], ["", "q"], 0.2), (5, 1, False, ["w"], [], [""], None)]
+    hits = [(1, "x", "an ALpha"), (1, "y", None), (4, "x", "q"), (4, "y", "r"), (4, "z", "r"), (5, "x", "any"), (9, "x", "of no case")]
+    checks = X.retrieval_checks(spark.createDataFrame(cases, "case_id int, min_hits int, allow_zero boolean, must_find array<string>, forbidden array<string>, anchors array<string>, max_irrelevant double"), spark.createDataFrame(hits, "case_id int, entry_id string, text string"))
+    got = {r[0]: tuple(r)[1:] for r in checks.collect()}
+    assert got == {
+        1: (2, 1, 0.5, True, True, True, True, True),
+        2: (0, 0, 0.0, False, True, True, True, False),
+        3: (0, 0, 0.0, True, True, True, True, True),
+        4: (3, 2, 0.6667, True, True, False, False, False),
+        5: (1, 0, 0.0, True, False, True, True, False),
+    }
+    assert tuple(X.retrieval_metrics(checks).first()) == (5, 2, 3, 0.4, 0.6, 0.5)
+    assert tuple(X.retrieval_metrics(checks.limit(0)).first()) == (0, 0, 0, None, None, 0.0)
+
+
+def test_grouped_search(spark):
+    scores = spark.createDataFrame([("p", "1", 5), ("p", "2", 4), ("p", "3", 3), ("q", "3", 9), ("q", "4", 1)], "query_id string, id string, score bigint")
+    groups = spark.createDataFrame([(0, "a", 1, "p"), (0, "a", 2, "q"), (0, "b", 1, "q"), (1, "a", 1, "none"), (1, "a", 2, "q"), (1, "a", 3, "q")], "search_id int, group string, n int, query string")
+    records = spark.createDataFrame([(str(i), 7 - i, "t", "superseded" if i == 4 else None) for i in range(1, 5)], "id string, used_count int, ts string, status string")
+    got = [tuple(r) for r in X.grouped_search(scores, groups, records, 2).orderBy("search_id", "group", "rank").collect()]
+    assert got == [(0, "a", 1, "1", 5, None), (0, "a", 2, "2", 4, None), (0, "b", 1, "3", 9, "a,b"), (0, "b", 2, "4", 1, "a,b"), (1, "a", 1, "3", 0, None), (1, "a", 2, "4", -12, None)]
