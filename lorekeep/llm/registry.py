@@ -12,6 +12,9 @@ from . import op7_sentencepiece_sampling as op7
 from . import op8_language_id as op8
 from . import op9_quality_classifier as op9
 from . import op10_minhash_near_dedup as op10
+from . import op11_byte_bpe as op11
+from . import op12_embedding_whitening as op12
+from . import op13_ranked_search as op13
 
 QUERIES = {
     "op1_substring_dedup": op1.op1_substring_dedup,
@@ -24,7 +27,11 @@ QUERIES = {
     "op8_language_id": op8.op8_language_id,
     "op9_quality_classifier": op9.op9_quality_classifier,
     "op10_minhash_near_dedup": op10.op10_minhash_near_dedup,
+    "op11_byte_bpe": op11.op11_byte_bpe,
+    "op12_embedding_whitening": op12.op12_embedding_whitening,
+    "op13_ranked_search": op13.op13_ranked_search,
 }
 ORACLES = {
     "op10_minhash_near_dedup": op10.SQL,
+    "op13_ranked_search": op13.SQL,
 }
