@@ -183,13 +183,16 @@ def groups(items: DataFrame, postings: DataFrame, close: Close | None, keys_of:
         discard(candidates)
     links = materialise(_confirmed(pairs, sets_of, percent, width), "links")
     discard(pairs)
-    comps = materialise(components(links), "components")
+    comps = components(links)
+    discard(links)
     many = shared.where(F.col("size") > small).select("key", "id")
-    if many.isEmpty():
-        return comps
-    more = _left_links(many, comps, items, block, close, keys_of, sets_of, percent, width)
-    if more.isEmpty():
-        return comps
-    # components that the blocks join
-    held = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
-    return components(held.union(more))
+    if not many.isEmpty():
+        more = _left_links(many, comps, items, block, close, keys_of, sets_of, percent, width)
+        if not more.isEmpty():
+            # components that the blocks join
+            held, found = comps.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b"), comps
+            comps = components(held.union(more))
+            discard(found)
+        discard(more)
+    discard(shared)
+    return comps

@@ -5,24 +5,21 @@ minimiser positions are retained: positions whose ``K``-word hash is smallest in
 a window of ``WINDOW`` of them (the first of equals).  A passage of ``min_words``
 (50) words is placed at the minimiser of its first ``K + WINDOW - 1`` = 47 words,
 which is the same place in all its copies.  Suffixes whose first K words
-occur once can't be repeated and go.  The rest are sorted by their next
-``min_words`` words; the longest run of words that a suffix shares with a neighbour in
-the order is the longest it shares with any other, so passages that reach
-beyond it occur once and go as well.  The other passages form runs of equal
-words, wherever the order put their suffixes: each run keeps its smallest
-(doc_id, position), an aggregated minimum, and all its other members are
-reported; overlapping and adjoining ones of one document join into spans.
-
-The first and the last suffix of a partition, which have a neighbour elsewhere,
-keep all their passages; the runs decide.  So every passage of ``min_words`` words
-that occurs before is reported, however many copies it has.
-
-Words are compared by 32 bits of their hashes and passages by 64 bits over all their
+occur once can't be repeated and go.  The rest are sorted by their next ``min_words`` words.
+Neighbours that have enough words in common form runs, and within a run matches are extended
+left of the minimiser by up to ``LEFT`` words: places that agree on a whole passage keep their smallest
+(doc_id, tag, position), and all others are reported (``windows``).  Overlapping and adjoining passages of
+one document join into spans.  So every passage of ``min_words`` words that occurs before is reported,
+however many copies it has.
+
+Words are compared by 32 bits of their hashes and, beyond a chunk of sorted rows, passages by 64 bits over all their
 words, so chance matches don't occur in practice; spans are of whole words.
 
-Defined results: null and empty texts have no suffixes; rows of null doc_id
-take no part; rows of equal doc_id count as one document and aren't compared
-at equal positions.
+Defined results: null and empty texts, and texts below ``min_words`` words, have no spans; rows of null doc_id
+take no part.  Rows equal in doc_id and text count as one document; unlike texts of one doc_id are documents of their own,
+told apart by ``tag``, a hash of the text.  Ties: of equal passages in one document the first stays.  Very long texts are
+read whole, about 4 MB (one text at least) at a time; a text without white space is one word.  An empty table gives an empty
+table.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,10 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .hashing import _BASE, _BASE_INV, U64, _powers, mix, shingles, words
+from .hashing import U64, shingles, words
 from .tables import arrow_map, discard, materialise, slices
+from .windows import ROWS, around, binary, merged, repeated_windows
 
 K, WINDOW = 8, 40
 LEFT = WINDOW - 1
@@ -55,108 +52,58 @@ def minimisers(h: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, n
     return at, s[at], at - first - many + 1, at - first
 
 
+def tagged(docs: DataFrame) -> DataFrame:
+    """doc_id, tag (a hash of the text), text of the rows that have a doc_id."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash(text).alias("tag"), text.alias("text")).where("doc_id is not null")
+
+
 def _seeds(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "text"):
             made = [minimisers(words(text.as_py() or "")[3], min_words) for text in part.column("text")]
             at, key, near, far = (np.concatenate(c) for c in zip(*made, strict=True))
-            yield {"key": key.view(np.int64), "doc_id": part.column("doc_id").take(pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made]))), "pos": at.astype(np.int32), "near": near.astype(np.int32), "far": far.astype(np.int32)}
-
-    return arrow_map(docs.select("doc_id", "text"), run, "key bigint, doc_id bigint, pos int, near int, far int")
-
+            row = pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made]))
+            yield {"key": key.view(np.int64), "doc_id": part.column("doc_id").take(row), "tag": part.column("tag").take(row), "pos": at.astype(np.int32), "near": near.astype(np.int32), "far": far.astype(np.int32)}
 
-def _binary(rows: np.ndarray) -> pa.Array:
-    """Rows of equal width as binary values."""
-    n, width = len(rows), rows.shape[1] * rows.itemsize
-    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+    return arrow_map(docs, run, "key bigint, doc_id bigint, tag int, pos int, near int, far int")
 
 
 def _suffixes(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
-    """right, left (the ``LEFT`` words before), doc_id, pos, near, far of the retained suffixes; words as big-endian 32-bit hashes."""
+    """The retained suffixes with the words on both sides of their minimisers."""
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for part in slices(batch, "text", 1 << 20):
-            rows, ids, places = [], [], []
-            for doc_id, text, found in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("places").to_pylist(), strict=True):
-                h = (words(text.as_py() or "")[3] >> U64(32)).astype(">u4")
-                at = np.array([(p["pos"], p["near"], p["far"]) for p in found], dtype=np.int32).reshape(-1, 3)
-                # another text of the same doc_id may be shorter
-                at[:, 1] = np.maximum(at[:, 1], at[:, 0] + min_words - len(h))
-                at = at[at[:, 1] <= at[:, 2]]
-                padded = np.concatenate([np.zeros(LEFT, dtype=">u4"), h, np.zeros(min_words, dtype=">u4")])
-                rows.append(padded[at[:, :1] + np.arange(LEFT + min_words)])
-                ids += [doc_id] * len(at)
+            rights, lefts, rows, places = [], [], [], []
+            for row, (text, found) in enumerate(zip(part.column("text"), part.column("places").to_pylist(), strict=True)):
+                at = np.array([(p["pos"], p["near"], p["far"]) for p in found], dtype=np.int32)
+                right, left = around(words(text.as_py() or "")[3], at[:, 0], min_words, LEFT)
+                rights.append(right)
+                lefts.append(left)
                 places.append(at)
-            x, at = np.concatenate(rows), np.concatenate(places)
-            yield {"right": _binary(x[:, LEFT:]), "left": _binary(x[:, :LEFT]), "doc_id": ids, "pos": at[:, 0], "near": at[:, 1], "far": at[:, 2]}
+                rows += [row] * len(at)
+            at, row = np.concatenate(places), pa.array(rows, pa.int64())
+            yield {"anchor": np.zeros(len(at), dtype=np.int64), "right": binary(np.concatenate(rights)), "left": binary(np.concatenate(lefts)), "doc_id": part.column("doc_id").take(row), "tag": part.column("tag").take(row), "pos": at[:, 0], "near": at[:, 1], "far": at[:, 2]}
 
-    lists = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "near", "far")).alias("places")).withColumnRenamed("doc_id", "__id")
+    lists = wanted.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("pos", "near", "far")).alias("places"))
     # the same plan at every size
-    return arrow_map(docs.join(lists.hint("shuffle_hash"), F.col("doc_id") == F.col("__id")).select("doc_id", "text", "places"), run, "right binary, left binary, doc_id bigint, pos int, near int, far int")
-
-
-def _common(right: np.ndarray) -> np.ndarray:
-    """Words that each row and the next have in common at the beginning."""
-    other = right[1:] != right[:-1]
-    return np.where(other.any(axis=1), other.argmax(axis=1), right.shape[1])
-
-
-def _passages(sorted_suffixes: DataFrame, min_words: int) -> DataFrame:
-    """key, doc_id, start of the passages whose words right of the minimiser are shared with a neighbour in the order."""
-    width = LEFT + min_words
-    up, down = _powers(_BASE, width), _powers(_BASE_INV, LEFT + 1)
-
-    def emit(x: np.ndarray, at: np.ndarray, shared: np.ndarray) -> dict:
-        total = np.zeros((len(x), width + 1), dtype=U64)
-        np.cumsum(mix(x.astype(U64) + U64(1)) * up, axis=1, out=total[:, 1:])
-        key = mix((total[:, min_words:] - total[:, : LEFT + 1]) * down)
-        back = LEFT - np.arange(LEFT + 1)  # words of a passage left of the minimiser
-        row, c = np.nonzero((back >= np.maximum(at[:, 2], min_words - shared)[:, None]) & (back <= at[:, 3:4]))
-        return {"key": key[row, c].view(np.int64), "doc_id": at[row, 0], "start": (at[row, 1] - back[c]).astype(np.int32)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int32())])
-        x, at, before = np.zeros((0, width), dtype=">u4"), np.zeros((0, 4), dtype=np.int64), min_words
-        for batch in batches:
-            for i in range(0, batch.num_rows, 4096):
-                part = batch.slice(i, 4096)
-                words_of = lambda c, n: np.frombuffer(b"".join(part.column(c).to_pylist()), dtype=">u4").reshape(-1, n)  # noqa: B023, E731
-                x = np.concatenate([x, np.concatenate([words_of("left", LEFT), words_of("right", min_words)], axis=1)])
-                at = np.concatenate([at, np.stack([part.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "pos", "near", "far")], axis=1)])
-                after = _common(x[:, LEFT:])
-                shared = np.maximum(np.concatenate([[before], after[:-1]]), after) if len(after) else after
-                yield pa.RecordBatch.from_pydict(emit(x[:-1], at[:-1], shared), schema=schema)
-                before = after[-1] if len(after) else before
-                x, at = x[-1:], at[-1:]
-        if len(x):
-            yield pa.RecordBatch.from_pydict(emit(x, at, np.array([min_words])), schema=schema)
-
-    return sorted_suffixes.select("right", "left", "doc_id", "pos", "near", "far").mapInArrow(run, "key bigint, doc_id bigint, start int")
+    return arrow_map(docs.join(lists.hint("shuffle_hash"), ["doc_id", "tag"]).select("doc_id", "tag", "text", "places"), run, ROWS)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, start_word, end_word, n_words, first_doc_id: spans of words that occur before."""
+    """doc_id, tag (of the text), start_word, end_word, n_words, first_doc_id (of the span's first passage): spans of words that occur before."""
     if min_words < K + WINDOW - 1:
         raise ValueError(f"passages of {min_words} words may hold no minimiser")
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = tagged(docs)
     seeds = materialise(_seeds(docs, min_words), "seeds")
     # written, so that the join's sides are plain shuffles and a hot key's rows are dealt anew
     often = materialise(seeds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
-    suffixes = _suffixes(docs, seeds.join(often.hint("merge"), "key").select("doc_id", "pos", "near", "far"), min_words)
-    order = ["right", "doc_id", "pos"]
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    passages = materialise(_passages(suffixes.repartitionByRange(n, *order).sortWithinPartitions(*order), min_words), "passages")
+    wanted = materialise(seeds.join(often.hint("merge"), "key").drop("key"), "wanted")
     discard(seeds, often)
-    # the smallest place of each run
-    runs = passages.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("first <> last")
-    runs = materialise(runs.select("key", F.col("first.doc_id").alias("first_doc_id"), F.col("first.start").alias("first_start")), "runs")
-    later = passages.join(runs.hint("merge"), "key").where("doc_id <> first_doc_id or start <> first_start").select("doc_id", "start", "first_doc_id")
-    # overlapping passages of a document become one span
-    by = Window.partitionBy("doc_id").orderBy("start")
-    new = F.coalesce(F.col("start") > F.lag("start").over(by) + min_words, F.lit(True))
-    spans = later.withColumn("new", new.cast("int")).withColumn("span", F.sum("new").over(by))
-    out = spans.groupBy("doc_id", "span").agg(F.min("start").alias("start_word"), (F.max("start") + min_words).alias("end_word"), F.min("first_doc_id").alias("first_doc_id"))
-    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
+    found = repeated_windows(_suffixes(docs, wanted, min_words), min_words, LEFT, min_words)
+    discard(wanted)
+    out = merged(found.select("doc_id", "tag", F.col("low").alias("start"), (F.col("high") + min_words).alias("end"), "first_doc_id"))
+    return out.select("doc_id", "tag", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), "first_doc_id")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

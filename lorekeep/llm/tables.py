@@ -120,4 +120,6 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b", max_rounds: int
     else:
         raise RuntimeError(f"components: not settled after {max_rounds} rounds")
     out = e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return out.union(out.select(F.col("component"), F.col("component"))).distinct()
+    out = materialise(out.union(out.select(F.col("component"), F.col("component"))).distinct(), "components", False)
+    discard(e)
+    return out
