@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,12 +13,24 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lorekeep.functions.records import EFFECTS, HEAT_EFFECTS
 from lorekeep.sources.shared import exists, removed
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 BRIEF = "doc_id bigint, ts string, id string"
 BRIEF_STATE = "repo string, branch string, doc_id bigint, state string"
 #: Fixed value: a bucket keeps 1 to 3 current briefs.
 MOST_BRIEFS = 3
 
 
+@contextmanager
+def rocksdb(spark):
+    """Streams that start inside keep their state in RocksDB; the session's setting comes back after."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
+
 class BriefWindow(StatefulProcessor):
     """Keeps the newest briefs of a bucket in list state; emits the state of each brief that comes or is demoted.
 
@@ -62,7 +75,7 @@ def brief_states(briefs: DataFrame, keep: int = MOST_BRIEFS, idle_ms: int | None
     The state of a bucket is ``keep`` briefs, however many come.  Needs the RocksDB state store.  Rows without a bucket are not
     briefs of a window and give nothing.
     """
-    rows = briefs.where("repo is not null or branch is not null").select("doc_id", F.coalesce("repo", F.lit("")).alias("repo"), F.coalesce("branch", F.lit("")).alias("branch"), "ts", "id")
+    rows = briefs.where("doc_id is not null and (repo is not null or branch is not null)").select("doc_id", *(F.coalesce(c, F.lit("")).alias(c) for c in ("repo", "branch", "ts", "id")))
     return rows.groupBy("repo", "branch").transformWithStateInPandas(BriefWindow(keep, idle_ms), BRIEF_STATE, "Append", "ProcessingTime" if idle_ms is not None else "None")
 
 
