@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from lorekeep.functions import records as R
 from lorekeep.operators import index as IX
 from lorekeep.operators import usage as U
-from lorekeep.plans import evidence, search, sessions  # noqa: F401  they register more
+from lorekeep.plans import contexts, evidence, search, sessions  # noqa: F401  they register more
 from lorekeep.plans.adapters import ADOPTION, CLOSEOUTS, COUNTS, POSTINGS, RECORDS, SEARCHES, adoption_events, closeouts, records, search_log, table
 from lorekeep.plans.base import ORACLES, QUERIES, query  # noqa: F401
 from lorekeep.streaming.events import daily_activity
