@@ -100,9 +100,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     often = materialise(seeds.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "often")
     wanted = materialise(seeds.join(often.hint("merge"), "key").drop("key"), "wanted")
     discard(seeds, often)
-    found = repeated_windows(_suffixes(docs, wanted, min_words), min_words, LEFT, min_words)
+    found, firsts = repeated_windows(_suffixes(docs, wanted, min_words), min_words, LEFT, min_words)
     discard(wanted)
-    out = merged(found.select("doc_id", "tag", F.col("low").alias("start"), (F.col("high") + min_words).alias("end"), "first_doc_id"))
+    out = merged(found.select("doc_id", "tag", F.col("low").alias("start"), (F.col("high") + min_words).alias("end"), "first_doc_id", "key"), firsts)
+    discard(found)
     return out.select("doc_id", "tag", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), "first_doc_id")
 
 

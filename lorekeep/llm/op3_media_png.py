@@ -11,7 +11,9 @@ with their median.
 
 Defined results: a null or empty text is 64 zero bytes.  A text of a multiple
 of 64 bytes is not padded.  Damaged media raise an error in ``decode`` and give
-null features in ``media_features``.
+null features in ``media_features``.  Equal texts, repeated rows among them, give equal media; each row has its own, and a null doc_id is kept.
+Very long texts are stored whole, 64 samples a row, about 4 MB of text (one text at least) at a time.  An empty table gives an empty table.  Other
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,8 +15,9 @@ range before it as well, and nothing else is copied.
 
 Defined results: a null text is empty.  A text shorter than ``K`` is one k-mer;
 an empty text has fingerprint zeros and likeness 1 to an empty text, else 0.
-Rows of equal doc_id follow in the order of the hash of their text; rows of
-null doc_id come last.
+Rows of equal doc_id follow in the order of the hash of their text, repeated rows one after the other; rows of
+null doc_id come last, in that order too.  Very long texts are read whole, one at a time (a text takes some 20 bytes a code point).
+An empty table gives an empty table.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -103,12 +104,12 @@ def _ranged(docs: DataFrame) -> DataFrame:
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 20 * n)).first()[0] or []
     cuts = sorted(set(cuts), reverse=True)
-    # the number of cuts above doc_id; null is the last range
-    where = F.lit(len(cuts)).cast("int")
-    if cuts:
-        found = F.array_size(F.filter(F.lit(cuts), lambda c: c > F.col("doc_id")))
-        where = F.when(F.col("doc_id").isNull(), len(cuts) + 1).otherwise(found)
-    docs = docs.withColumn("__h", F.xxhash64("text")).withColumn("__range", where.cast("int"))
+    # the number of cuts above doc_id; null ids follow, in ranges of the hash of their text
+    docs = docs.withColumn("__h", F.xxhash64("text"))
+    found = F.array_size(F.filter(F.lit(cuts), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
+    null_range = F.floor((F.col("__h").cast("double") / 2.0**64 + 0.5) * n)
+    where = F.when(F.col("doc_id").isNull(), len(cuts) + 1 + null_range).otherwise(found)
+    docs = docs.withColumn("__range", where.cast("int"))
     # bounded: one row for each range
     first = docs.groupBy("__range").agg(F.min(F.struct((-F.col("doc_id")).alias("i"), F.col("__h").alias("h"))).alias("f"))
     heads = sorted((r[0], r[1], r[2]) for r in first.select("__range", (-F.col("f.i")).alias("i"), "f.h").collect())

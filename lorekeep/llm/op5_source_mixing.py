@@ -18,8 +18,8 @@ Default weights: ``count ** alpha`` of each source (alpha 0.5 lifts small source
 rounded to shares of at least one slot by largest remainders.
 
 Defined results: a null source is a source of its own.  Null, empty and very long
-texts count as one document each (only a hash of the text is carried).  Ties: documents of equal doc_id, null among them, stand side
-by side, ordered by the hash of their text; repeated rows each get a place of their own.  More sources
+texts count as one document each (only a hash of the text is carried).  Ties: documents of equal doc_id stand side
+by side, ordered by the hash of their text, and those of null doc_id by the hash of their text among all; repeated rows each get a place of their own.  More sources
 than a quarter of ``period`` lengthen the period; more than ``MAX_SOURCES`` is an error.  An
 empty table gives an empty table.  Other columns are not read; ``mixed`` returns
 them as they are, whatever their names.
@@ -75,13 +75,13 @@ def schedule(share: dict[str, int], period: int = PERIOD) -> list[tuple[str, int
 
 
 def _with_rank(docs: DataFrame, sized: DataFrame, rows: int) -> DataFrame:
-    """``docs`` with ``__rank`` (from 0) of each document in its source ``__source``, by hash of doc_id.
+    """``docs`` with ``__rank`` (from 0) of each document in its source ``__source``, by hash of doc_id (of the text, where it is null).
 
     Sources are cut into ranges of the hash of about ``rows`` documents, so no
     window holds a whole source; ranges' counts give where each range begins.
     ``sized`` has ``__n`` of each source, as many rows as there are sources.
     """
-    h = F.xxhash64(F.col("doc_id"))
+    h = F.when(F.col("doc_id").isNull(), F.col("__text_hash")).otherwise(F.xxhash64(F.col("doc_id")))
     # the hash as a fraction of its range, cut into as many ranges as the source needs
     part = F.floor((h.cast("double") / 2.0**64 + 0.5) * F.ceil(F.col("__n") / rows)).cast("long")
     dealt = docs.join(F.broadcast(sized), "__source").withColumn("__part", part).withColumn("__h", h).drop("__n")

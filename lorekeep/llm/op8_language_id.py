@@ -7,7 +7,7 @@ Embeddings and softmax are trained together by stochastic gradient descent in
 numpy.  For prediction both collapse into one table of logits for each bucket.
 
 Training uses text and non-null lang of rows whose crc32(doc_id as text) mod 3
-is not 1: the ``max_langs`` commonest languages, at most ``per_lang`` rows of each,
+is not 1: every language, at most ``per_lang`` rows of each,
 those of the smallest hash of doc_id, and ``max_rows`` in all (parameters of ``fit``).
 Rows are counted by language first, so that only hashes low enough to be among the smallest
 are ranked.  A fifth of them is held
@@ -36,7 +36,9 @@ from pyspark.sql.window import Window
 from .tables import arrow_map, slices
 
 BUCKETS, DIM = 1 << 15, 12
-PER_LANG, MAX_ROWS, MAX_LANGS = 400, 4000, 1000
+PER_LANG, MAX_ROWS = 400, 4000
+#: More languages than this are an error, as their names and weights are held whole.
+MAX_LANGS = 100_000
 MAX_ERROR = 0.005
 _TO = np.arange(256, dtype=np.uint8)
 _TO[:128] = [ord(c.lower()) if (c := chr(i)).isalpha() else 32 for i in range(128)]
@@ -111,11 +113,14 @@ def _held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS, max_langs: int = MAX_LANGS) -> dict | None:
-    """The model, from bounded samples of each language."""
+def fit(docs: DataFrame, per_lang: int = PER_LANG, max_rows: int = MAX_ROWS) -> dict | None:
+    """The model, from bounded samples of each language: no language goes without a row."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~_held_out()).where(F.col("text").rlike(r"\p{L}"))
     h = F.xxhash64("doc_id")
-    sized = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()
+    sized = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGS + 1).collect()
+    if len(sized) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} values of lang: not a column of languages")
+    max_rows = max(max_rows, 2 * len(sized))
     # the smallest per_lang of n hashes lie below four times their share of the range, but for a chance of nothing
     low = [(r.lang, 2**63 - 1 if r.n <= 4 * per_lang else int(-(2**63) + 4 * per_lang / r.n * 2**64)) for r in sized]
     below = docs.sparkSession.createDataFrame(low, "__lang string, __below long")

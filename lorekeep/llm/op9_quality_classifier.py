@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import IS_NO_LETTER, U64, words
+from .tables import packed
 
 DIM = 1 << 18
 FIT_ROWS = 8000
@@ -158,9 +159,13 @@ def graded_quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_F
     return scored.withColumn("__quality", F.struct("__quality.*", (F.col("__quality.p_top") >= keep_from).alias("kept")))
 
 
-def select_quality(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """``docs`` that the classifier keeps; all columns stay."""
-    return graded_quality(docs.withColumnRenamed("__quality", "__own"), labels, **options).where("__quality.kept").drop("__quality").withColumnRenamed("__own", "__quality")
+def select_quality(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """``docs`` that the classifier keeps (all, without labelled documents); all columns stay, whatever their names."""
+    model = train(docs, labels, fit_rows)
+    if model is None:
+        return docs
+    top = _scores(model)(F.col("row.text").cast("string"))["p_top"]
+    return packed(docs).withColumn("p_top", top).where(F.col("p_top") >= keep_from).select("row.*")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -106,9 +106,13 @@ def _chunk(part: pa.Table, right: int, left: int, need: int) -> pa.RecordBatch:
     )
 
 
-def repeated_windows(rows: DataFrame, right: int, left: int, need: int) -> DataFrame:
-    """doc_id, tag, low, high, first_doc_id: the windows that start at words low to high of a document occur at a smaller (doc_id, tag, position);
-    first_doc_id holds the one at ``low``.  ``rows``: as ``ROWS``, with ``near`` <= b <= ``far`` for the windows of a row that count."""
+def repeated_windows(rows: DataFrame, right: int, left: int, need: int) -> tuple[DataFrame, DataFrame]:
+    """Windows that occur before: those that start at words low to high of a document (doc_id, tag, low, high, first_doc_id, key), and the firsts of open runs (key, first).
+
+    ``first_doc_id`` holds the window at ``low`` at a smaller (doc_id, tag, position), the smallest one where ``key`` is null; else the
+    smallest is that of ``key`` in the second table (``merged`` looks it up).  ``rows``: as ``ROWS``, with ``near`` <= b <= ``far`` for the
+    windows of a row that count.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -128,19 +132,23 @@ def repeated_windows(rows: DataFrame, right: int, left: int, need: int) -> DataF
     rows = rows.select(*(c.split()[0] for c in ROWS.split(", ")))
     found = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(run, "key bigint, doc_id bigint, tag int, low int, high int, first_doc_id bigint")
     found = materialise(found, "found")
-    place = F.struct("doc_id", "tag", "low")
-    runs = materialise(found.where("first_doc_id is null").groupBy("key").agg(F.min(place).alias("first")), "runs")
-    later = found.where("key is not null").join(runs.hint("merge"), "key").where(F.col("first_doc_id").isNotNull() | (place != F.col("first")))
-    whole = found.where("key is null").select("doc_id", "tag", "low", "high", "first_doc_id")
-    out = materialise(whole.union(later.select("doc_id", "tag", "low", "high", F.col("first.doc_id"))), "windows")
-    discard(found, runs)
-    return out
-
-
-def merged(spans: DataFrame, gap: int = 0) -> DataFrame:
-    """Spans (doc_id, tag, start, end, first_doc_id) of a document that overlap or touch as one, with the first of that which starts first."""
+    # a key has a row from each chunk at most
+    by = Window.partitionBy("key").orderBy("doc_id", "tag", "low")
+    open_ = found.where("first_doc_id is null").select("key", "doc_id", "tag", "low", F.first("doc_id").over(by).alias("first"), F.rank().over(by).alias("n"))
+    open_ = materialise(open_, "open")
+    later = open_.where("n > 1").select("doc_id", "tag", "low", F.col("low").alias("high"), F.col("first").alias("first_doc_id"), F.lit(None).cast("bigint").alias("key"))
+    out = materialise(found.where("first_doc_id is not null").select(*later.columns).union(later), "windows")
+    firsts = materialise(open_.where("n = 1").select("key", "first").distinct(), "firsts")
+    discard(found, open_)
+    return out, firsts
+
+
+def merged(spans: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Spans (doc_id, tag, start, end, first_doc_id, key) of a document that overlap or touch as one, with the first of that which starts first."""
     by = Window.partitionBy("doc_id", "tag").orderBy("start", "end")
     reach = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = spans.withColumn("new", F.coalesce(F.col("start") > reach + gap, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(by))
-    out = marked.groupBy("doc_id", "tag", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "first_doc_id")).alias("f"))
-    return out.select("doc_id", "tag", "start", "end", "f.first_doc_id")
+    marked = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int")).withColumn("span", F.sum("new").over(by))
+    out = marked.groupBy("doc_id", "tag", "span").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min(F.struct("start", "first_doc_id", "key")).alias("f"))
+    out = materialise(out.select("doc_id", "tag", "start", "end", "f.first_doc_id", "f.key"), "merged")
+    known = out.where("key is null").select("doc_id", "tag", "start", "end", "first_doc_id")
+    return known.union(out.join(firsts.hint("merge"), "key").select("doc_id", "tag", "start", "end", F.least("first", "first_doc_id")))
