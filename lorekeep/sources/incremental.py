@@ -14,7 +14,7 @@ PATHS_PER_READ = 1000
 
 
 def listing(spark: SparkSession, root: str, glob: str = "*.jsonl") -> DataFrame:
-    """path, length, mtime of the files below ``root``; their content isn't read."""
+    """path, length, mtime of the files below ``root`` that hold bytes; their content isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     return files.select("path", "length", F.col("modificationTime").alias("mtime"))
 
@@ -75,8 +75,4 @@ class SessionState:
             return self.parse(self.spark.createDataFrame([], "path string, line string"))
         # the listing gives plain paths, metadata percent-encoded ones
         path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-        lines = self.spark.read.text(paths).select(path.alias("path"), F.col("value").alias("line"))
-        known = self.spark.createDataFrame([(p,) for p in paths], "path string")
-        # a file without lines has a row as well
-        empty = known.join(lines.select("path").distinct(), "path", "left_anti").withColumn("line", F.lit(""))
-        return self.parse(lines.unionByName(empty))
+        return self.parse(self.spark.read.text(paths).select(path.alias("path"), F.col("value").alias("line")))
