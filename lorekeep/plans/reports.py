@@ -13,15 +13,17 @@ from lorekeep.operators import usage as U
 from lorekeep.plans.adapters import ADOPTION, CLOSEOUTS, COUNTS, POSTINGS, QUERIES as QUERY_SQL, RECORDS, SEARCHES, adoption_events, closeouts, queries, records, search_log, table
 from lorekeep.plans.base import ORACLES, query
 from lorekeep.plans.search import SCORES, scores
-from lorekeep.streaming.events import watch_closeouts
+from lorekeep.sources.shared import fresh
+from lorekeep.streaming.events import watch_closeouts, watch_lines
 
 # ---- sets and joins
 
 
-@query("SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS entry_id FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 17 <> 0)")
 def missing_entries(spark, sf):
-    known = table(spark, sf, "orders").select(F.col("o_custkey").alias("user_id"))
-    return table(spark, sf, "events").where("user_id is not null").select("user_id").distinct().join(known, "user_id", "left_anti")
+    """Entries that events name and no record has: parts, every seventeenth lost."""
+    known = table(spark, sf, "part").where("p_partkey % 17 <> 0").select(F.col("p_partkey").cast("string").alias("entry_id"))
+    return table(spark, sf, "lineitem").where("l_partkey is not null").select(F.col("l_partkey").cast("string").alias("entry_id")).distinct().join(known, "entry_id", "left_anti")
 
 
 @query("SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' ELSE 'missing' END AS change FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL")
@@ -248,3 +250,24 @@ def char_budget(spark, sf):
     best = RT.top_k(found, rec, 5).join(rec.select("id", F.length("title").alias("n")), "id")
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     return best.select("query_id", "rank", "id", F.sum("n").over(w).cast("bigint").alias("used_chars")).where("used_chars <= 300")
+
+
+def _closeout_lines(spark, sf):
+    """Closeouts as JSON lines: every 31st cut short, every 7th a test's, with blank lines between."""
+    c, n = closeouts(spark, sf), F.col("closeout_id")
+    line = F.to_json(F.struct(*(x for x in c.columns if x != "session_id"), F.when(n % 7 == 0, " Test").alias("source")))
+    return c.select(F.explode(F.array(F.when(n % 31 == 0, F.left(line, F.lit(20))).otherwise(line), F.lit("  "))).alias("line"))
+
+
+@query(
+    f"""SELECT CASE WHEN closeout_id % 31 <> 0 THEN closeout_id END AS closeout_id, CASE WHEN closeout_id % 31 = 0 THEN 'invalid_json_line' ELSE issues END AS issues, CASE WHEN closeout_id % 31 = 0 THEN '' ELSE warnings END AS warnings,
+      CASE WHEN closeout_id % 31 = 0 OR issues <> '' THEN 'issue' WHEN warnings <> '' THEN 'warn' ELSE 'ok' END AS level FROM ({ORACLES["evaluate_closeout"]}) WHERE closeout_id % 31 = 0 OR closeout_id % 7 <> 0"""
+)
+def quality_watch_lines(spark, sf):
+    """The watch over raw lines, as a stream over restarts of one checkpoint, two parts of the log."""
+    lines = _closeout_lines(spark, sf)
+    source, out, checkpoint = (fresh(spark, n) for n in ("lines", "observed", "checkpoint"))
+    for part in range(2):
+        lines.where(F.pmod(F.xxhash64("line"), F.lit(2)) == part).write.mode("append").parquet(source)
+        watch_lines(spark.readStream.schema(lines.schema).parquet(source)).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
