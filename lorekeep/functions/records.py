@@ -80,6 +80,7 @@ def clipped(text: Column, limit: int) -> Column:
 
 def redact_query(text: Column) -> Column:
     """Secret assignments, provider tokens and private addresses replaced."""
+    # The three patterns and their marks.
     t = F.regexp_replace(text, r"(?i)\b(token|password|passwd|secret|api[_-]?key)\b\s*[:=]\s*([^\s,;]+)", "$1=<redacted>")
     t = F.regexp_replace(t, r"\bsk-[A-Za-z0-9_-]{10,}\b", "<redacted-token>")
     return F.regexp_replace(t, r"\b(?:10\.(?:\d{1,3}\.){2}\d{1,3}|192\.168\.(?:\d{1,3}\.)\d{1,3}|172\.(?:1[6-9]|2\d|3[01])\.(?:\d{1,3}\.)\d{1,3})\b", "<private-ip>")

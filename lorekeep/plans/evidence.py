@@ -213,20 +213,34 @@ def synthetic_turns(spark, sf):
     return c.withColumn("own", own).select("conv_id", "turn", F.coalesce(F.last("own", True).over(by), F.lit("")).alias("turn_id"))
 
 
-VERDICTS = """fl AS (
+# Verdicts and scores, the first rule that holds.
+_VERDICT_RULES = [
+    ("aborted AND NOT used", "turn_aborted", 0),
+    ("subagent AND forbidden_used", "subagent_forbidden_but_used", -2),
+    ("subagent AND NOT used AND expected", "subagent_kb_task_not_used", -1),
+    ("subagent AND NOT used", "subagent_no_kb_expected", 0),
+    ("subagent AND authorization_unknown", "subagent_kb_used_authorization_unknown", 0),
+    ("subagent AND expected", "subagent_kb_used", 1),
+    ("subagent", "subagent_unexpected_kb_used", -1),
+    ("forbidden_used", "forbidden_but_used", -2),
+    ("NOT retrieved AND expected", "needed_but_not_used", -1),
+    ("retrieved AND missing_closeout AND hits <= 0", "used_without_closeout", 0),
+    ("retrieved AND missing_closeout", "used_without_closeout", 1),
+    ("retrieved AND hits <= 0", "used_no_hit", 0),
+    ("hits <= 0 AND used", "kb_used_no_effect_signal", 1),
+    ("hits <= 0", "no_kb_needed", 0),
+    ("adopted", "used_hit_adopted", 4),
+    ("adoption_unconfirmed", "used_hit_adoption_unconfirmed", 2),
+    ("wrote", "used_hit_recorded_not_adopted", 3),
+    ("true", "used_hit_not_adopted", 2),
+]
+_FIRST_RULE = "CASE " + " ".join(f"WHEN {when} THEN {i}" for i, (when, _, _) in enumerate(_VERDICT_RULES)) + " END"
+_RULES = ", ".join(f"({i}, '{verdict}', {score})" for i, (_, verdict, score) in enumerate(_VERDICT_RULES))
+VERDICTS = f"""fl AS (
   SELECT closeout_id, closeout_id % 23 = 0 AS aborted, closeout_id % 3 = 0 AS subagent, closeout_id % 17 = 0 AND rag_calls > 0 AS forbidden_used, closeout_id % 5 < 3 AS expected,
     rag_calls > 0 AS used, closeout_id % 13 = 0 AS authorization_unknown, rag_calls > 1 AS retrieved, skipped_reason = '' AND closeout_id % 4 = 3 AS missing_closeout, hit_count AS hits,
     len(heated_entry_ids) > 0 AS adopted, len(linked_retrieval_ids) > 0 AS adoption_unconfirmed, len(written_entry_ids) + len(updated_entry_ids) > 0 AS wrote FROM co),
-ve AS (
-  SELECT closeout_id, subagent, verdict, CAST(CASE verdict WHEN 'subagent_forbidden_but_used' THEN -2 WHEN 'forbidden_but_used' THEN -2 WHEN 'subagent_kb_task_not_used' THEN -1 WHEN 'subagent_unexpected_kb_used' THEN -1
-      WHEN 'needed_but_not_used' THEN -1 WHEN 'subagent_kb_used' THEN 1 WHEN 'kb_used_no_effect_signal' THEN 1 WHEN 'used_hit_adopted' THEN 4 WHEN 'used_hit_adoption_unconfirmed' THEN 2 WHEN 'used_hit_not_adopted' THEN 2
-      WHEN 'used_hit_recorded_not_adopted' THEN 3 WHEN 'used_without_closeout' THEN CASE WHEN hits > 0 THEN 1 ELSE 0 END ELSE 0 END AS INTEGER) AS score
-  FROM (SELECT *, CASE WHEN aborted AND NOT used THEN 'turn_aborted'
-    WHEN subagent THEN CASE WHEN forbidden_used THEN 'subagent_forbidden_but_used' WHEN expected AND NOT used THEN 'subagent_kb_task_not_used' WHEN used AND authorization_unknown THEN 'subagent_kb_used_authorization_unknown'
-      WHEN used AND NOT expected THEN 'subagent_unexpected_kb_used' WHEN used THEN 'subagent_kb_used' ELSE 'subagent_no_kb_expected' END
-    WHEN forbidden_used THEN 'forbidden_but_used' WHEN expected AND NOT retrieved THEN 'needed_but_not_used' WHEN retrieved AND missing_closeout THEN 'used_without_closeout' WHEN retrieved AND hits <= 0 THEN 'used_no_hit'
-    WHEN hits > 0 THEN CASE WHEN adopted THEN 'used_hit_adopted' WHEN adoption_unconfirmed THEN 'used_hit_adoption_unconfirmed' WHEN wrote THEN 'used_hit_recorded_not_adopted' ELSE 'used_hit_not_adopted' END
-    WHEN used THEN 'kb_used_no_effect_signal' ELSE 'no_kb_needed' END AS verdict FROM fl))"""
+ve AS (SELECT closeout_id, subagent, verdict, score FROM (SELECT *, {_FIRST_RULE} AS rule FROM fl) JOIN (VALUES {_RULES}) r(rule, verdict, score) USING (rule))"""
 
 
 def verdicts(spark, sf):
