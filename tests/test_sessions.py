@@ -1,12 +1,15 @@
 """Matching, streams, incremental runs, scans, titles, normalization and budgets against plain versions."""
 
+import collections
 import difflib
 import itertools
 import json
 import os
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -228,6 +231,30 @@ def test_similar_titles(spark, monkeypatch, block):
     assert {(r.kind, r.first_title, r.second_title, r.similarity) for r in got} == plain_duplicates(rows) and len(got) > 30
 
 
+def test_title_bounds_at_once():
+    """The bounds of many pairs are found together: a block of the size that a bucket brings takes a second or two, not minutes."""
+    rng = random.Random(3)
+    pick = lambda n: ["".join(rng.choice("abé漢 ") for _ in range(rng.choice([0, 1, 9, 63, 64, 65, 130]))) for _ in range(n)]
+    a, b = pick(12), pick(12)
+    x, y, n = SM.coded(a, b)
+    i, j = np.divmod(np.arange(len(a) * len(b)), len(b))
+
+    def longest(p, q):
+        row = [0] * (len(q) + 1)
+        for c in p:
+            row = list(itertools.accumulate(range(len(q)), lambda best, k: row[k] + 1 if c == q[k] else max(best, row[k + 1]), initial=0))
+        return row[-1]
+
+    assert SM.common_subsequences(x, y, n, i, j).tolist() == [longest(a[k], b[m]) for k, m in zip(i, j, strict=True)]
+    pairs = lambda t: collections.Counter(zip(t, t[1:], strict=False))
+    assert SM.common_bigrams(x, y, n, 200).tolist() == [[(pairs(p) & pairs(q)).total() for q in b] for p in a]
+    words = [["".join(rng.choice("aeinorst ") for _ in range(6)) for _ in range(40)] for _ in range(4)]
+    left, right = (["".join(rng.choices(words[k % 4], k=20)) for k in range(m, m + 500)] for m in (0, 500))
+    start = time.perf_counter()
+    list(SM.candidates(left, right, 0.8, False))
+    assert time.perf_counter() - start < 5
+
+
 @tables
 def test_similar_titles_of_records(spark):
     from lorekeep.plans.adapters import records
