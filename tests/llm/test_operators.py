@@ -222,6 +222,39 @@ def test_substring_dedup(docs, none):
     assert op1.repeated_spans(none).count() == 0 and op1.without_repeats(none).count() == 0
 
 
+def test_linked_paragraphs_share_a_key():
+    """Whatever the paragraphs, two of a Jaccard similarity of 0.8 share a link key."""
+    rng, held = random.Random(8), []
+    for n in range(1200):
+        vocabulary = rng.choice([2, 3, 4, 6, 40])
+        base = [f"w{rng.randrange(vocabulary)}" for _ in range(21)]
+        for _ in range(3):
+            w = list(base)
+            for _ in range(rng.randint(0, 2)):
+                at = rng.choice([0, 20, rng.randrange(21)])
+                w = rng.choice([w[:at] + ["z"] + w[at:], w[:at] + w[at + 1 :] + ["y"], w[:at] + ["x"] + w[at + 1 :], w[1:] + w[:1], ["v", *w]])[:21]
+            held.append((n, w))
+    for percent in (60, 80, 90):
+        pairs = found = 0
+        keys = [{k for k in op1.link_keys(H.words(" ".join(w))[3], np.array([0]), percent)[0].tolist() if k} for _, w in held]
+        sets = [{tuple(w[j : j + 5]) for j in range(17)} for _, w in held]
+        for x, y in ((x, y) for i in range(0, len(held), 3) for x, y in itertools.combinations(range(i, i + 3), 2)):
+            if 100 * len(sets[x] & sets[y]) >= percent * len(sets[x] | sets[y]):
+                pairs += 1
+                found += bool(keys[x] & keys[y])
+        assert found == pairs > 500
+
+
+@pytest.mark.parametrize("seed", [4735, 6852])
+def test_link_without_a_band(seed):
+    """Two of 12,000 pairs of paragraphs that differ in their last word share no band key; they share a link key."""
+    one, passage = np.array([0]), " ".join(f"w{seed}x{i}" for i in range(20))
+    x, y = (H.words(f"{passage} {end}")[3] for end in ("this", "that"))
+    bands = [set(op1.band_keys(op1.sets_at(H.shingles(h, op1.SHINGLE), one))[0].tolist()) for h in (x, y)]
+    assert not bands[0] & bands[1]
+    assert set(op1.link_keys(x, one, 80)[0].tolist()) & set(op1.link_keys(y, one, 80)[0].tolist()) - {0}
+
+
 def test_cut_keeps_line_ends():
     assert op1.cut("a b\nc d e\nf", [(2, 5)]) == "a b\nf" and op1.cut("a b c\nd e", [(1, 3)]) == "a\nd e"
     assert op1.cut("a\nb c d", [(1, 3)]) == "a\nd" and op1.cut("a b c d", [(1, 3)]) == "a d"
