@@ -28,6 +28,22 @@ PATTERNS = {
     "private_key": (r"(?s)-----BEGIN (?:RSA |EC |OPENSSH )?PRIVATE KEY-----.*?-----END (?:RSA |EC |OPENSSH )?PRIVATE KEY-----", f"-----BEGIN PRIVATE KEY-----\n{REDACTED}\n-----END PRIVATE KEY-----"),
 }
 
+# What each secret can't do without, in lower case; case-insensitive patterns take some characters for ASCII letters.
+_KEY_PARTS, _HEADS = ("passw", "pwd", "secret", "token", "key"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "sk-", "akia", "asia")
+_FOLDED = str.maketrans("\u017f\u212a\u0130\u0131", "skii")
+
+
+def may_hold(text: str) -> bool:
+    """Whether a text holds the fixed parts of some secret; without them none of the patterns matches, before or after a replacement."""
+    low = (text.translate(_FOLDED) if not text.isascii() and any(chr(c) in text for c in _FOLDED) else text).lower()
+    return (
+        ((":" in low or "=" in low) and any(k in low for k in _KEY_PARTS))
+        or "bearer" in low
+        or ("://" in low and "@" in low)
+        or any(h in low for h in _HEADS)
+        or "-----begin " in low
+    )
+
 
 def redact(text: Column) -> Column:
     """The text with every secret replaced; null stays null."""

@@ -10,24 +10,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.functions.secrets import PATTERNS
+from lorekeep.functions.secrets import PATTERNS, may_hold
 
 
 def _leaves(value: Any, out: list[str]) -> None:
-    """Append the string leaves of a JSON value, in order; keys are no leaves."""
+    """Append the string leaves of a JSON value that may hold a secret, in order; keys are no leaves."""
     waiting = [value]  # a stack, so that depth has no limit here
     while waiting:
         v = waiting.pop()
         if isinstance(v, str):
-            out.append(v)
+            if may_hold(v):
+                out.append(v)
         elif isinstance(v, (list, dict)):
             waiting.extend(reversed(list(v.values()) if isinstance(v, dict) else v))
 
 
 def _with_leaves(value: Any, leaves: Iterator[str]) -> Any:
-    """The value with its string leaves replaced, in the same order."""
+    """The value with the leaves that ``_leaves`` gives replaced, in the same order."""
     if isinstance(value, str):
-        return next(leaves)
+        return next(leaves) if may_hold(value) else value
     if isinstance(value, list):
         return [_with_leaves(v, leaves) for v in value]
     if isinstance(value, dict):
@@ -54,8 +55,8 @@ def redacted_leaf(text: Column) -> Column:
 def scan_lines(lines: DataFrame) -> DataFrame:
     """path, line_no, line (redacted), bad (not JSON: searched as text), kinds, n of every line (path, line_no, line).
 
-    Python only takes lines apart and puts them together again; the patterns run as built-in functions.  Lines without secrets
-    stay as they are.
+    Python only takes lines apart and puts them together again; the patterns run as built-in functions, on those leaves
+    that hold what a secret can't do without.  Lines without secrets stay as they are.
     """
     rows = lines.select("path", "line_no", F.coalesce("line", F.lit("")).alias("line"))
 
