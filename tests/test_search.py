@@ -1,5 +1,6 @@
 """Searches, related records, child sessions and secrets on small rows, against plain restatements."""
 
+import random
 import re
 
 from pyspark.sql import functions as F
@@ -132,3 +133,18 @@ def test_grouped_search(spark):
     records = spark.createDataFrame([(str(i), 7 - i, "t", "superseded" if i == 4 else None) for i in range(1, 5)], "id string, used_count int, ts string, status string")
     got = [tuple(r) for r in X.grouped_search(scores, groups, records, 2).orderBy("search_id", "group", "rank").collect()]
     assert got == [(0, "a", 1, "1", 5, None), (0, "a", 2, "2", 4, None), (0, "b", 1, "3", 9, "a,b"), (0, "b", 2, "4", 1, "a,b"), (1, "a", 1, "3", 0, None), (1, "a", 2, "4", -12, None)]
+
+
+def test_titles_are_cut_into_few_parts(spark):
+    title = "".join(chr(0x4E00 + i) for i in range(120))
+    (n,) = spark.range(1).select(F.size(X._grams(F.lit(title)))).first()
+    assert n < 600  # of twelve lengths there were 1,374
+    rng = random.Random(3)
+    titles = ["".join(rng.choice("ab é") for _ in range(rng.randint(0, 30))) for _ in range(150)] + ["ab" * 13, "ab" * 7, "B", ""]
+    new = [(f"n{i}", "map", None, t[2:]) for i, t in enumerate(titles)]
+    old = [(f"o{i}", "map", None, t, str(i)) for i, t in enumerate(titles)]
+    got = {r.id: (r.n_related, r.related_id) for r in X.related(spark.createDataFrame(new, "id string, kind string, feature_key string, title string"), spark.createDataFrame(old, "id string, kind string, feature_key string, title string, ts string")).collect()}
+    for i, _, _, t in new:
+        t = t.lower()
+        met = [(ts, o) for o, _, _, u, ts in old if t and u and (t in u.lower() or u.lower() in t)]
+        assert got[i] == (len(met), max(met)[1] if met else None)
