@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 #: Most query terms that one pass ships to all tasks.
 MAX_TERMS = 200_000
+#: Records whose hits are made at once.
+SLICE = 200
+_HITS = pa.schema([("id", pa.string()), ("term", pa.string()), *((c, pa.bool_()) for c in ("in_title", "exact_title", "in_tags", "in_story"))])
 
 
 def term_hits(records: DataFrame, terms: list[str]) -> DataFrame:
@@ -24,7 +27,7 @@ def term_hits(records: DataFrame, terms: list[str]) -> DataFrame:
         return reduce(DataFrame.union, [term_hits(records, distinct[i : i + MAX_TERMS]) for i in range(0, len(distinct), MAX_TERMS)])
     shared = records.sparkSession.sparkContext.broadcast(distinct)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
         a = ahocorasick.Automaton()
@@ -32,15 +35,20 @@ def term_hits(records: DataFrame, terms: list[str]) -> DataFrame:
             a.add_word(t, t)
         if len(a):
             a.make_automaton()
-        for f in frames:
-            rows = []
-            for i, title, tags, story in zip(f.id, f.title, f.tags, f.story, strict=True):
-                found = [{t for _, t in a.iter(x)} if x and len(a) else set() for x in (title, tags, story)]
-                rows += [(i, t, t in found[0], t == title, t in found[1], t in found[2]) for t in set().union(*found)]
-            yield pd.DataFrame(rows, columns=["id", "term", "in_title", "exact_title", "in_tags", "in_story"])
+        for batch in batches:
+            # a few texts at a time, so that neither texts nor hits of a whole batch become objects
+            for at in range(0, batch.num_rows, SLICE):
+                ids, titles, tags, stories = (c.to_pylist() for c in batch.slice(at, SLICE).columns)
+                out: list[list] = [[] for _ in _HITS]
+                for i, *texts in zip(ids, titles, tags, stories, strict=True):
+                    found = [{t for _, t in a.iter(x)} if x and len(a) else set() for x in texts]
+                    for t in set().union(*found):
+                        for column, value in zip(out, (i, t, t in found[0], t == texts[0], t in found[1], t in found[2]), strict=True):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _HITS, strict=True)], schema=_HITS)
 
     text = records.select("id", F.lower("title").alias("title"), F.lower(F.array_join("tags", " ")).alias("tags"), F.lower("story").alias("story"))
-    return text.mapInPandas(run, "id string, term string, in_title boolean, exact_title boolean, in_tags boolean, in_story boolean")
+    return text.mapInArrow(run, "id string, term string, in_title boolean, exact_title boolean, in_tags boolean, in_story boolean")
 
 
 def stale_penalty() -> Column:

@@ -148,3 +148,12 @@ def test_titles_are_cut_into_few_parts(spark):
         t = t.lower()
         met = [(ts, o) for o, _, _, u, ts in old if t and u and (t in u.lower() or u.lower() in t)]
         assert got[i] == (len(met), max(met)[1] if met else None)
+
+
+def test_hits_are_made_a_few_texts_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(RT, "SLICE", 3)
+    rows = [(f"r{i}", f"Title {i % 4}", ["a", f"tag{i % 3}"] if i % 5 else None, f"story of word{i % 7}" if i % 6 else None) for i in range(40)]
+    terms = ["title 1", "tag2", "word3", "o", "absent", ""]
+    got = {tuple(r) for r in RT.term_hits(spark.createDataFrame(rows, "id string, title string, tags array<string>, story string").coalesce(1), terms).collect()}
+    text = lambda x: (x or "").lower()
+    assert got == {(i, t, t in text(ti), t == text(ti), t in text(" ".join(ta or [])), t in text(st)) for i, ti, ta, st in rows for t in terms if t and (t in text(ti) or t in text(" ".join(ta or [])) or t in text(st))}
