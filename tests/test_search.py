@@ -157,3 +157,14 @@ def test_hits_are_made_a_few_texts_at_a_time(spark, monkeypatch):
     got = {tuple(r) for r in RT.term_hits(spark.createDataFrame(rows, "id string, title string, tags array<string>, story string").coalesce(1), terms).collect()}
     text = lambda x: (x or "").lower()
     assert got == {(i, t, t in text(ti), t == text(ti), t in text(" ".join(ta or [])), t in text(st)) for i, ti, ta, st in rows for t in terms if t and (t in text(ti) or t in text(" ".join(ta or [])) or t in text(st))}
+
+
+def test_reconciled_ids_are_aggregated_apart_from_joins(spark):
+    events = [("a", 1, True, "p", False)] * 2 + [("b", 1, True, "p", None), ("c", 1, True, "p", True), ("-", 1, True, "p", False), ("-", 1, True, "p", False), ("d", 2, True, "", False), ("e", 2, False, "p", False), ("f", 3, True, "p ", False), (" g", 3, True, "p", False), ("h", 3, True, "p", False), ("h", 3, False, "p", False)]
+    links = [("a", 7, "p"), ("b", 7, "p"), ("b", 7, "p"), ("b", 8, "q"), ("c", 7, "p"), ("d", 7, ""), ("f", 7, "p"), ("f", 9, "p"), ("g ", 7, "p"), ("x", 7, "p"), ("x", 8, "p"), ("-", 7, "p"), ("", 7, "p"), ("g", None, "p")]
+    out = X.reconcile_scouts(spark.createDataFrame(events, "retrieval_id string, session_id bigint, is_subagent boolean, parent_id string, forbidden boolean"), spark.createDataFrame(links, "retrieval_id string, parent_key bigint, parent_id string"))
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(
+        [("a", 1, "invalid", None), ("b", 1, "linked", 7), ("c", 1, "invalid", None), ("-", 1, "invalid", None), ("d", 2, "orphan", None), ("f", 3, "orphan", None), ("g", 3, "linked", 7), ("h", 3, "invalid", None), ("x", None, "dangling", None), ("-", None, "dangling", None)], key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    joined = plan[plan.index("Join"):].split("Union")[0]
+    assert "count(distinct" not in plan and plan.count("Join") == 1, joined
