@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from lorekeep.functions.records import EFFECTS, HEAT_EFFECTS
 from lorekeep.functions.secrets import PATTERNS
 from lorekeep.operators.matching import RETRIEVAL_ID
+from lorekeep.sources.shared import written
 
 # What a challenge may name as the error and as the action.
 ERROR_TYPES = ["record_error", "retrieval_error", "scope_error", "application_error", "evidence_error", "outcome_unknown"]
@@ -84,6 +85,7 @@ def apply_closeouts(uses: DataFrame, entries: DataFrame, log: DataFrame) -> tupl
     code = F.when(gated & F.col("found").isNull(), 2).when(gated & F.col("snapshots") & (F.coalesce("state", F.lit("legacy_unverified")) != "fresh"), 7).otherwise(0)
     out = out.withColumn("code", code).withColumn("warning", gated & (F.col("code") == 0) & (F.coalesce("state", F.lit("legacy_unverified")) == "legacy_unverified"))
     out = out.select("closeout_id", "entry_id", "effect", event_id(F.col("closeout_id"), F.col("entry_id"), F.col("effect")).alias("event_id"), "code", ((F.col("code") == 0) & F.col("effect").isin(HEAT_EFFECTS)).alias("heated"), "warning")
+    out = written(out, "outcomes")
     new = out.where("code = 0").join(log.select("event_id"), "event_id", "left_anti").select("event_id", "closeout_id", "entry_id", "effect")
     return out, new
 

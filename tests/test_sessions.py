@@ -363,3 +363,9 @@ def test_budget(spark):
             break
     got = CX.within_budget(spark.createDataFrame(rows, "query_id bigint, rank int, item string, summary string, max_chars int"))
     assert {(r.query_id, r.rank, r.summary, r.clipped) for r in got.collect()} == want and any(w[3] for w in want)
+
+
+@tables
+def test_closeouts_are_validated_once(spark):
+    plan = registry.QUERIES["closeout_apply"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_linenumber" not in plan and "sha2" not in plan
