@@ -14,8 +14,8 @@ RETRIEVAL_ID = r"^[A-Za-z0-9][A-Za-z0-9._:-]{0,127}$"
 PER_ROUND = 16
 
 
-def greedy(candidates: DataFrame, capacity: DataFrame) -> DataFrame:
-    """a, b: what one pass over the candidates in order of ``ord`` takes, each ``a`` once and each ``b`` up to its capacity.
+def greedy(candidates: DataFrame, capacity: DataFrame, *kept: str) -> DataFrame:
+    """a, b and ``kept`` columns: what one pass over the candidates in order of ``ord`` takes, each ``a`` once and each ``b`` up to its capacity.
 
     ``candidates``: a, b, ord (unique, comparable); ``capacity``: b, capacity.  A candidate is taken as soon as nothing before it can
     prevent it: it is the first left of its ``a``, and stands among the first of its ``b`` that capacity allows.  The first
@@ -29,7 +29,7 @@ def greedy(candidates: DataFrame, capacity: DataFrame) -> DataFrame:
         first = left.groupBy("a").agg(F.min("ord").alias("ord"))
         by = Window.partitionBy("b").orderBy("ord")
         top = left.withColumn("n", F.row_number().over(by)).where(F.col("n") <= PER_ROUND).where("n <= capacity")
-        now = written(top.join(first, ["a", "ord"]).select("a", "b"), "taken")
+        now = written(top.join(first, ["a", "ord"]).select("a", "b", *kept), "taken")
         rounds.append(now)
         used = now.groupBy("b").agg(F.count(F.lit(1)).alias("used"))
         rest = left.join(now.select("a"), "a", "left_anti").join(used, "b", "left").withColumn("capacity", F.col("capacity") - F.coalesce("used", F.lit(0)))
@@ -37,7 +37,7 @@ def greedy(candidates: DataFrame, capacity: DataFrame) -> DataFrame:
         removed(spark, old.path)
     removed(spark, left.path)
     if not rounds:
-        return candidates.select("a", "b").limit(0)
+        return candidates.select("a", "b", *kept).limit(0)
     out = rounds[0]
     for r in rounds[1:]:
         out = out.union(r)
@@ -69,17 +69,18 @@ def matched(retrievals: DataFrame, closeouts: DataFrame) -> DataFrame:
 
     by_id = c.select("b", "session_id", "seq_b", "turn_b", F.explode("links").alias("rid")).join(r.where(F.col("rid").rlike(RETRIEVAL_ID)), ["session_id", "rid"]).where("seq_b > seq_a")
     order = F.struct(F.when(same_turn, 0).otherwise(1).alias("r"), (F.col("seq_b") - F.col("seq_a")).alias("d"), F.col("a").alias("i"), F.col("b").alias("j"))
-    exact = greedy(by_id.select("a", "b", order.alias("ord")), c.select("b", "capacity"))
+    taken = greedy(by_id.select("a", "b", order.alias("ord"), "rid"), c.select("b", "capacity"), "rid")
+    exact = taken.select("a", "b")
 
-    found = exact.join(r.select("a", "rid"), "a").groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.collect_set("rid").alias("ids"))  # at most a capacity of rows each
+    found = taken.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.collect_set("rid").alias("ids"))  # at most a capacity of rows each
     reserved = F.size(F.array_except("links", F.coalesce("ids", F.array().cast("array<string>"))))
     rest = written(c.join(found, "b", "left").withColumn("capacity", F.col("capacity") - F.coalesce("n", F.lit(0)) - reserved).where("capacity > 0").drop("n", "ids"), "rest")
-    open_ = r.join(exact.select("a"), "a", "left_anti")
-    queried = rest.select("*", F.explode("asked").alias("q")).join(open_.where("q <> ''"), ["session_id", "q"]).select("a", "b", "seq_a", "seq_b", "rid", "links", F.when(same_turn, 4).otherwise(3).alias("score"))
-    turn = rest.join(open_.where("turn_a <> ''"), (rest["session_id"] == open_["session_id"]) & (F.col("turn_a") == F.col("turn_b")))
+    # taken retrievals leave their few columns of candidates, not the log: that one goes into each join as it is
+    queried = rest.select("*", F.explode("asked").alias("q")).join(r.where("q <> ''"), ["session_id", "q"]).select("a", "b", "seq_a", "seq_b", "rid", "links", F.when(same_turn, 4).otherwise(3).alias("score"))
+    turn = rest.join(r.where("turn_a <> ''"), (rest["session_id"] == r["session_id"]) & (F.col("turn_a") == F.col("turn_b")))
     turn = turn.where((F.col("q") == "") | (F.size("asked") == 0)).select("a", "b", "seq_a", "seq_b", "rid", "links", F.lit(2).alias("score"))
     fits = (F.col("seq_b") > F.col("seq_a")) & ((F.col("rid") == "") | (F.size("links") == 0) | F.array_contains("links", F.col("rid")))
-    scored = queried.union(turn).where(fits).groupBy("a", "b").agg(F.max("score").alias("score"))
+    scored = queried.union(turn).where(fits).select("a", "b", "score").join(exact.select("a"), "a", "left_anti").groupBy("a", "b").agg(F.max("score").alias("score"))
     fallback = greedy(scored.select("a", "b", F.struct(F.col("a").alias("i"), (-F.col("score")).alias("s"), F.col("b").alias("j")).alias("ord")), rest.select("b", "capacity"))
 
     taken = exact.withColumn("stage", F.lit("exact")).union(fallback.withColumn("stage", F.lit("fallback")))

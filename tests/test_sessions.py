@@ -369,3 +369,10 @@ def test_budget(spark):
 def test_closeouts_are_validated_once(spark):
     plan = registry.QUERIES["closeout_apply"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "l_linenumber" not in plan and "sha2" not in plan
+
+
+def test_taken_candidates_keep_their_columns(spark):
+    c = spark.createDataFrame([(1, 9, 1, "x"), (1, 8, 2, "y"), (2, 9, 3, "z"), (2, 8, 4, "w")], "a bigint, b bigint, ord bigint, rid string")
+    capacity = spark.createDataFrame([(9, 1), (8, 1)], "b bigint, capacity int")
+    assert sorted(tuple(r) for r in M.greedy(c, capacity, "rid").collect()) == [(1, 9, "x"), (2, 8, "w")]
+    assert M.greedy(c.limit(0), capacity, "rid").columns == ["a", "b", "rid"]
