@@ -11,6 +11,8 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,7 +30,7 @@ from lorekeep.llm import op7_sentencepiece_sampling as op7
 from lorekeep.llm import op8_language_id as op8
 from lorekeep.llm import op9_quality_classifier as op9
 from lorekeep.llm import op10_minhash_near_dedup as op10
-from lorekeep.llm import windows
+from lorekeep.llm import lsh, windows
 from lorekeep.llm.tables import components
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key string, n string, line string, sig string, rep string"
@@ -340,6 +342,74 @@ def test_suffixes_in_chunks(spark, docs, monkeypatch, size):
     assert got == {x for places in held.values() for x in sorted(places)[1:]}
 
 
+@pytest.mark.parametrize("size", [1, 3, 16, 400])
+def test_open_windows_in_chunks(size):
+    """Spans of chunks and the firsts of windows that several chunks hold together give every window that occurs before, with its first document."""
+    rng, n, need, sides = np.random.default_rng(size), 400, 10, (10, 8)
+    right, left = rng.integers(0, 2, (n, sides[0])), rng.integers(0, 2, (n, sides[1]))
+    right[::5], left[::5] = right[0], left[0]  # places with equal words on both sides
+    near = rng.integers(0, 3, n)
+    columns = {"anchor": rng.integers(0, 2, n), "right": windows.binary(right.astype(">u4")), "left": windows.binary(left.astype(">u4")), "doc_id": rng.permutation(n) // 4, "tag": np.zeros(n, dtype=np.int32), "pos": rng.permutation(n).astype(np.int32) + 20, "near": near.astype(np.int32), "far": (near + rng.integers(0, 6, n)).astype(np.int32)}
+    rows = pa.table(columns)
+    cut = lambda t, fn, *order: pa.Table.from_batches([fn(t.slice(i, size), *sides, need) for i in range(0, t.num_rows, size)]) if (t := t.sort_by([(c, "ascending") for c in (*order, "doc_id", "tag", "pos")])).num_rows else None
+    found = cut(rows, windows._chunk, "anchor", "right")
+    shared = cut(found.filter(pc.is_valid(found["windows"])), windows._shared, "anchor", "left")
+    open_, spans = {}, []
+    for r in shared.to_pylist() if shared else ():
+        open_.setdefault(r["key"], []).append((r["doc_id"], r["low"]))
+    for r in found.filter(pc.is_null(found["windows"])).to_pylist():
+        first = min([r["first_doc_id"], *(d for d, _ in open_.get(r["key"], ()))])
+        spans.append((r["doc_id"], r["low"], r["high"] + need, first))
+    spans += [(d, low, low + need, min(places)[0]) for places in open_.values() for d, low in sorted(places)[1:]]
+    held, first_of, want, got = {}, {}, {}, {}
+    for r, a, z in zip(rows.to_pylist(), left.tolist(), right.tolist(), strict=True):
+        for b in range(r["near"], min(r["far"], sides[1]) + 1):
+            held.setdefault((r["anchor"], b, *a[:b], *z[: need - b]), []).append((r["doc_id"], r["pos"], b))
+    for places in held.values():
+        for d, p, b in sorted(places)[1:]:
+            want.setdefault(d, set()).update(range(p - b, p - b + need))
+            first_of.setdefault((d, p - b), set()).add(min(places)[0])
+    for d, low, end, first in spans:
+        got.setdefault(d, set()).update(range(low, end))
+        assert first in first_of[d, low]
+    assert got == want
+
+
+def test_rows_of_a_common_anchor():
+    """A place of a common passage is one row at most, whatever surrounds it; windows that only one place has go no further."""
+    n, need = 600, 29
+    one, left = np.ones(n, dtype=np.int64), np.arange(n * need).reshape(n, need) + 100
+    left[:, :3] = 7
+    same = {"anchor": one, "right": windows.binary(np.ones((n, need), dtype=">u4")), "left": windows.binary(left.astype(">u4")), "doc_id": np.arange(n), "tag": one.astype(np.int32), "pos": 100 * one.astype(np.int32), "near": 0 * one.astype(np.int32), "far": need * one.astype(np.int32)}
+    made = [windows._chunk(pa.table(same).slice(i, 60), need, need, need) for i in range(0, n, 60)]
+    assert sum(m.num_rows for m in made) <= 2 * n
+    found = pa.Table.from_batches(made)
+    open_ = found.filter(pc.is_valid(found["windows"])).sort_by([(c, "ascending") for c in ("anchor", "left", "doc_id")])
+    assert windows._shared(open_.combine_chunks(), need, need, need).num_rows <= 200
+
+
+def test_places_are_read_once(spark, tmp_path):
+    """The words around places are computed once, though the rows are sorted by ranges."""
+    rows = [(a, bytes([i]) * 40, bytes([i]) * 40, i, 0, 50, 0, 9) for i in range(40) for a in (1, 2)]
+    df, seen = spark.createDataFrame(rows, windows.ROWS).coalesce(1), str(tmp_path / "seen")
+
+    def count(batches):
+        for b in batches:
+            with open(seen, "a") as f:
+                f.write(f"{b.num_rows}\n")
+            yield b
+
+    windows.repeated_windows(df.mapInArrow(count, windows.ROWS), 10, 10, 10)
+    assert sum(map(int, open(seen).read().split())) == len(rows)
+
+
+def test_sets_linked_with_one():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 30, n).astype(np.uint32)).tobytes() for n in (1, 17, 30, 30, 60, 60, 90)] + [b""]
+    for x, percent in itertools.product(sets, (20, 50, 80)):
+        assert lsh.linked_with(x, sets, percent, 32).tolist() == [lsh.linked(x, y, percent, 32) for y in sets]
+
+
 def test_order_decides(spark):
     """Passages are found among neighbours: in a random order they are not."""
     rng = np.random.default_rng(1)
