@@ -35,7 +35,7 @@ from pyspark.sql.window import Window
 from . import hyperminhash as hmh
 from .hashing import shingles, words
 from .lsh import groups
-from .tables import arrow_map, materialise, packed, slices
+from .tables import arrow_map, by_key, materialise, packed, slices
 
 BANDS, ROWS = 40, 5
 
@@ -103,7 +103,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     real = docs.where("doc_id is not null")
     sk = materialise(_sketches(real, shingle_words, tiny, percent), "sketches")
     place = F.struct("doc_id", "text_hash")
-    classes = materialise(sk.where("n > 0").groupBy("set_hash").agg(F.min(place).alias("rep")), "classes")
+    classes = sk.where("n > 0").groupBy("set_hash").agg(F.min(place).alias("rep"))
     # a class has the smallest doc_id as its id; where unlike texts share one, the others get an id beyond all of those
     lead = classes.groupBy("rep.doc_id").agg(F.min("set_hash").alias("lead"))
     beyond = F.shiftright(F.xxhash64("set_hash").bitwiseAND(F.lit((1 << 63) - 1)), 1).bitwiseOR(F.lit(1 << 62))
@@ -116,8 +116,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     comps = groups(reps.select("id", "n", F.col("regs").alias("sig")), _postings(reps), lambda a, b, n_a, n_b: _close(a, b, n_a, n_b, percent), lambda regs: hmh.band_keys(regs, positions), lambda ids: _sets(ids, where, real, shingle_words), percent, small_bucket, block)
 
     of_class = reps.select("set_hash", "id", F.col("doc_id").alias("rep")).join(comps.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("set_hash", "rep", F.coalesce("component", "id").alias("component"))
-    least = materialise(of_class.groupBy("component").agg(F.min("rep").alias("component_id")), "least")
-    of_class = materialise(of_class.join(least.hint("merge"), "component").select("set_hash", "component", "component_id"), "components")
+    least = by_key(of_class, "component", component_id=F.min("rep"))
+    of_class = of_class.join(least.hint("merge"), "component").select("set_hash", "component", "component_id")
     out = sk.select("doc_id", "text_hash", "n", "set_hash").join(of_class.hint("merge"), "set_hash", "left")
     out = out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "component", F.coalesce("component_id", "doc_id").alias("component_id"))
     out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))

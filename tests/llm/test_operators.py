@@ -30,7 +30,7 @@ from lorekeep.llm import op7_sentencepiece_sampling as op7
 from lorekeep.llm import op8_language_id as op8
 from lorekeep.llm import op9_quality_classifier as op9
 from lorekeep.llm import op10_minhash_near_dedup as op10
-from lorekeep.llm import lsh, windows
+from lorekeep.llm import lsh, tables, windows
 from lorekeep.llm.tables import components
 
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, key string, n string, line string, sig string, rep string"
@@ -140,6 +140,28 @@ def test_near_duplicates(docs, none, k):
     assert op10.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_writes_few_tables(spark, docs, monkeypatch):
+    written = []
+    for module in (tables, lsh, op10):
+        monkeypatch.setattr(module, "materialise", lambda df, name, *a, real=module.materialise: (written.append(name), real(df, name, *a))[1])
+    op10.near_duplicates(docs, shingle_words=2).collect()
+    assert len(written) <= 16, written
+
+
+def test_join_with_by_key_splits_a_hot_key(spark):
+    rows = spark.range(0, 40000, 1, 4).select(F.when(F.col("id") % 10 < 8, 0).otherwise(F.col("id")).alias("key"), "id")
+    conf = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5"}
+    for name, value in conf.items():
+        spark.conf.set(name, value)
+    try:
+        out = rows.join(tables.by_key(rows, "key", low=F.min("id"), n=F.count("id")).hint("merge"), "key")
+        assert sorted(tuple(r) for r in out.collect()) == sorted((0, i, 0, 32000) if i % 10 < 8 else (i, i, i, 1) for i in range(40000))
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for name in conf:
+            spark.conf.unset(name)
+
+
 def plain_words(text):
     return ["".join(c.lower() if "A" <= c <= "Z" else c for c in x) for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
 
