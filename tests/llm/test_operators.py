@@ -269,6 +269,52 @@ def test_linked_paragraphs_share_a_key():
         assert found == pairs > 500
 
 
+def changed_begins():
+    """Texts whose copies differ in the first word of a paragraph or near it, also where words repeat."""
+    rng, rows = random.Random(21), [(r[0], r[1]) for r in corpus()]
+    for i in range(12):
+        base = prose(7000 + i, 90).split(" ")
+        if i % 3 == 2:
+            base[20:60] = [rng.choice(["la", "le", "li"]) for _ in range(40)]
+        rows.append((2000 + 10 * i, " ".join(base)))
+        at = op1.begins(H.words(" ".join(base))[3], 50)[0].tolist()
+        for j, p in enumerate(at[:6]):
+            rows.append((2001 + 10 * i + j, " ".join(base[:p] + [f"other{i}{j}"] + base[p + 1 :])))
+    return rows
+
+
+def test_every_paragraph_is_compared(spark):
+    """Linked paragraphs are members of a cluster, also those whose begin occurs once; exact Jaccard over all pairs restated plainly."""
+    rows = changed_begins()
+    texts = sorted({(i, t or "") for i, t in rows if i is not None})
+    found, begun = [], collections.Counter()
+    for i, t in texts:
+        at, chosen = op1.begins(H.words(t)[3], 50)
+        begun.update(chosen.tolist())
+        w = plain_words(t)
+        found += [(i, p, x, {tuple(w[p + j : p + j + 5]) for j in range(17)}) for p, x in zip(at.tolist(), chosen.tolist(), strict=True)]
+    links = [(x, y) for x, y in itertools.combinations(range(len(found)), 2) if 100 * len(found[x][3] & found[y][3]) >= 80 * len(found[x][3] | found[y][3])]
+    cluster = closure(len(found), links)
+    size = collections.Counter(cluster)
+    want = collections.Counter((i, p) for (i, p, *_), c in zip(found, cluster, strict=True) if size[c] > 1)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = collections.Counter((r.doc_id, r.pos) for r in op1._members(op1.tagged(docs), 50, 80, True).collect())
+    assert got == want and sum(begun[found[x][2]] == 1 for x in range(len(found)) if size[cluster[x]] > 1) > 10
+
+
+def test_query_compares_every_paragraph(spark, tmp_path, monkeypatch):
+    """The query's spans are those of all paragraphs: a copy whose one changed word begins a paragraph is one span."""
+    begins, rows = op1.begins, [(r[0], r[1]) for r in corpus()]
+    with monkeypatch.context() as m:
+        m.setattr(op1, "begins", lambda h, n: (begins(h, n)[0], 0 * begins(h, n)[1]))  # one begin for all, which occurs often
+        want = plain_spans(rows)
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {}
+    for r in op1.op1_substring_dedup(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    assert {i: sorted(v) for i, v in got.items()} == {i: v for (i, _), v in want.items()} and got[57] == [(11, 120)]
+
+
 @pytest.mark.parametrize("seed", [4735, 6852])
 def test_link_without_a_band(seed):
     """Two of 12,000 pairs of paragraphs that differ in their last word share no band key; they share a link key."""
