@@ -315,6 +315,13 @@ def test_query_compares_every_paragraph(spark, tmp_path, monkeypatch):
     assert {i: sorted(v) for i, v in got.items()} == {i: v for (i, _), v in want.items()} and got[57] == [(11, 120)]
 
 
+def test_stage_compares_every_paragraph(spark, tmp_path):
+    """The pipeline's stage cuts a copy whose one changed word begins a paragraph, as one passage."""
+    rows = [(r[0], r[1]) for r in corpus()]
+    left = {r.text for r in corpus_pipeline.substring_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), str(tmp_path)).where("doc_id = 57").collect()}
+    assert left == {op1.cut(t, [(11, 120)]) for i, t in rows if i == 57}
+
+
 @pytest.mark.parametrize("seed", [4735, 6852])
 def test_link_without_a_band(seed):
     """Two of 12,000 pairs of paragraphs that differ in their last word share no band key; they share a link key."""
