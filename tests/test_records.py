@@ -98,6 +98,12 @@ def test_index(spark):
     assert ("x", "t", 2, 1, True) in rows(IX.tag_distribution(rec, p))
 
 
+def test_index_lists(spark):
+    """The index holds every entry and bucket of a keyword, not only how many there are; an id in two buckets is one entry."""
+    rec = spark.createDataFrame([("1", "r", "b", ["X ", "x", "", "y"]), ("2", "r", "c", ["x"]), ("2", "r", "d", ["x"])], "id string, repo string, branch string, keywords array<string>")
+    assert rows(IX.index_lists(IX.postings(rec))) == [("x", "1", "r/b", 2, 3), ("x", "2", "r/c", 2, 3), ("x", "2", "r/d", 2, 3), ("y", "1", "r/b", 1, 1)]
+
+
 def test_ranked_search(spark):
     rec = spark.createDataFrame([("1", "red fox", ["fox"], "the red fox", "active", 0, "1"), ("2", "Other", ["z"], "a fox", "Archived", 0, "1"), ("3", "none", [], "nothing", "", 0, "1"), ("4", None, None, None, None, None, None)], "id string, title string, tags array<string>, story string, status string, used_count bigint, ts string")
     q = spark.createDataFrame([(7, "red fox", ["red fox", "red", "fox"])], "query_id int, query string, terms array<string>")
