@@ -266,6 +266,35 @@ def test_title_bounds_at_once():
     assert time.perf_counter() - start < 5
 
 
+@pytest.mark.parametrize("part", [1000, 13])
+def test_title_candidates_lose_no_pair(monkeypatch, part):
+    """No pair above the threshold is left out, in either order, whatever the parts; texts of one alphabet, junk and empty ones among them."""
+    monkeypatch.setattr(SM, "PART", part)
+    left = sorted({t.lower() for _, _, _, t in title_rows() if t is not None})
+    left += ["ab" * 60, "ba" * 60, "a" * 119 + "b", "a" * 120, ""]
+    ratio = lambda p, q: difflib.SequenceMatcher(None, p, q).ratio()
+    want = {(i, j) for i, j in itertools.combinations(range(len(left)), 2) if max(ratio(left[i], left[j]), ratio(left[j], left[i])) > 0.8}
+    got = list(SM.candidates(left, left, 0.8, True))
+    assert want <= set(got) and len(got) == len(set(got)) and len(want) > 100
+    right = left[::2]
+    assert {(i, j) for i in range(len(left)) for j in range(len(right)) if max(ratio(left[i], right[j]), ratio(right[j], left[i])) > 0.8} <= set(SM.candidates(left, right, 0.8, False))
+
+
+def test_unlike_titles_cost_little(monkeypatch):
+    """Unlike titles of a few common words seldom come to the subsequences of whole titles."""
+    rng, whole, found = random.Random(11), [], SM.common_subsequences
+    words = ["".join(rng.choice("aeinorstl") for _ in range(rng.randint(2, 8))) for _ in range(40)]
+    left, right = ([" ".join(rng.choices(words, k=30))[:120] for _ in range(300)] for _ in "ab")
+
+    def count(x, y, n_codes, i, j):
+        whole.append(len(i) if x.shape[1] == 120 else 0)
+        return found(x, y, n_codes, i, j)
+
+    monkeypatch.setattr(SM, "common_subsequences", count)
+    list(SM.candidates(left, right, 0.8, False))
+    assert sum(whole) < 300 * 300 / 100
+
+
 @tables
 def test_similar_titles_of_records(spark):
     from lorekeep.plans.adapters import records
